@@ -72,67 +72,69 @@ def container_classes(entries: DataFrame) -> DataFrame:
 
 
 def _overlapping_classes(entries: DataFrame, least: int, heavy_entry: int,
-                         weighted: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs, classes); pairs of different class representatives.
-
-    Entries in at most ``heavy_entry`` containers are joined directly and
-    counted. For heavier ones every container keeps a short list of those it
-    has, and the shared part of two lists is added for pairs that come up.
-    A pair may consist of heavy entries only. Such a pair shares at least
-    ``least`` of them, so it still meets when each container leaves out its
-    ``least - 1`` most frequent ones (prefix filter: Chaudhuri et al. 2006).
-    Entries present in nearly all containers are thereby never joined unless
-    the pair belongs to the result.
+                         weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pairs, classes): overlapping pairs a < b of class representatives.
+
+    ``common`` counts different shared hashes, ``common_a`` the entries of a
+    (``common_b`` of b) that have one of them. ``weighted`` compares the larger
+    of the last two with ``least`` instead of the first.
+
+    Entries in at most ``heavy_entry`` containers are joined directly. Heavier
+    ones would produce almost every pair, so they are joined only where a pair
+    can still belong to the result: it met at a lighter entry, or it shares at
+    least ``least`` entries that are all heavy. In the second case it still
+    meets after each container leaves out its ``least - 1`` most frequent
+    entries (prefix filter: Chaudhuri, Ganti, Kaushik 2006). An entry present
+    in most containers thus costs nothing unless the pairs are part of the
+    answer.
     """
     contents, classes = container_profile(entries)
-    reps = classes.where(F.col("container") == F.col("rep"))
-    slim = reused(
-        contents.join(reps.select("container"), "container", "left_semi")
-    )
-    # How many different contents an entry is in; once is not enough for a pair.
-    spread = slim.groupBy("hash").agg(F.count("*").alias("in_"))
-    light = slim.join(spread.where((F.col("in_") > 1) & (F.col("in_") <= heavy_entry)).select("hash"), "hash")
-    heavy = reused(slim.join(spread.where(F.col("in_") > heavy_entry), "hash"))
-
-    l, r = light.alias("l"), light.alias("r")
-    met = l.join(r, (F.col("l.hash") == F.col("r.hash")) & (F.col("l.container") < F.col("r.container")))
-    counted = met.groupBy(
-        F.col("l.container").alias("a"), F.col("r.container").alias("b")
-    ).agg(F.count("*").alias("common"), F.sum("l.m").alias("common_a"))
+    spare = classes.where(F.col("container") != F.col("rep")).select("container")
+    slim = contents.join(spare, "container", "left_anti")
+    # In how many different contents an entry is; in one only is never shared.
+    spread = slim.groupBy("hash").agg(F.count("*").alias("in_")).where("in_ > 1")
+    known = reused(skew.join_to_groups(slim, spread, "hash", "in_", "container"))
+    light = known.where(F.col("in_") <= heavy_entry)
+    heavy = known.where(F.col("in_") > heavy_entry)
+
+    def met(a: str = "l.container", b: str = "r.container") -> list:
+        return [
+            F.col(a).alias("a"), F.col(b).alias("b"),
+            F.col("l.m").alias("m_a"), F.col("r.m").alias("m_b"),
+        ]
+
+    at_light = light.alias("l").join(
+        light.alias("r"),
+        (F.col("l.hash") == F.col("r.hash")) & (F.col("l.container") < F.col("r.container")),
+    ).select(*met())
 
     needed = 1 if weighted else least
-    order = Window.partitionBy("container").orderBy(F.col("in_").desc(), F.col("hash").desc())
-    probes = heavy.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") > needed - 1)
-    parts = F.lit(HEAVY_PARTS)
+    probes = heavy
+    if needed > 1:
+        order = Window.partitionBy("container").orderBy(F.col("in_").desc(), F.col("hash").desc())
+        left_out = heavy.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") < needed)
+        probes = heavy.join(left_out.select("container", "hash"), ["container", "hash"], "left_anti")
     by_heavy = skew.spread_self_join(
-        probes, probes, "hash", "container", parts, F.col("l.container") < F.col("r.container")
-    ).select(F.col("l.container").alias("a"), F.col("r.container").alias("b"),
-             F.lit(0).cast("bigint").alias("common"), F.lit(0).cast("bigint").alias("common_a"))
-
-    # Row hashes stand for the heavy entries; at most rows / heavy_entry kinds exist.
-    lists = heavy.groupBy("container").agg(
-        F.collect_set("hash").alias("kinds"),
-        F.map_from_entries(F.collect_set(F.struct("hash", "m"))).alias("m"),
-    )
-    candidates = counted.unionByName(by_heavy).groupBy("a", "b").agg(
-        F.sum("common").alias("common"), F.sum("common_a").alias("common_a")
+        probes, probes, "hash", "container", F.lit(HEAVY_PARTS),
+        F.col("l.container") < F.col("r.container"),
+    ).select(F.col("l.container").alias("a"), F.col("r.container").alias("b"))
+    having = heavy.select("container").distinct()
+    by_light = at_light.join(having.withColumnRenamed("container", "a"), "a", "left_semi").join(
+        having.withColumnRenamed("container", "b"), "b", "left_semi"
+    ).select("a", "b")
+    candidates = by_light.unionByName(by_heavy).distinct()
+    at_heavy = (
+        candidates.alias("p")
+        .join(heavy.alias("l"), F.col("p.a") == F.col("l.container"))
+        .join(heavy.alias("r"), (F.col("p.b") == F.col("r.container")) & (F.col("l.hash") == F.col("r.hash")))
+        .select(*met("p.a", "p.b"))
     )
-    list_a = lists.select(F.col("container").alias("a"), F.col("kinds").alias("_ka"), F.col("m").alias("_ma"))
-    list_b = lists.select(F.col("container").alias("b"), F.col("kinds").alias("_kb"))
-    both = F.array_intersect("_ka", "_kb")
     pairs = (
-        candidates.join(list_a, "a", "left").join(list_b, "b", "left")
-        .withColumn("_both", F.coalesce(both, F.array().cast("array<string>")))
-        .select(
-            "a", "b",
-            (F.col("common") + F.size("_both")).alias("common"),
-            (F.col("common_a") + F.aggregate(
-                "_both", F.lit(0).cast("bigint"), lambda acc, h: acc + F.element_at("_ma", h)
-            )).alias("common_a"),
-        )
-        .where(F.col("common_a" if weighted else "common") >= least)
+        at_light.unionByName(at_heavy).groupBy("a", "b")
+        .agg(F.count("*").alias("common"), F.sum("m_a").alias("common_a"), F.sum("m_b").alias("common_b"))
     )
-    return pairs, classes
+    measure = F.greatest("common_a", "common_b") if weighted else F.col("common")
+    return pairs.where(measure >= least), classes
 
 
 def overlap_classes(entries: DataFrame, min_overlap: int = 2, heavy_entry: int = HEAVY_ENTRY) -> DataFrame:
@@ -159,19 +161,19 @@ def overlap_classes(entries: DataFrame, min_overlap: int = 2, heavy_entry: int =
     return across.unionByName(within)
 
 
-def _listed(pairs: DataFrame, classes: DataFrame, own: str, least: int) -> DataFrame:
+def _listed(pairs: DataFrame, classes: DataFrame, weighted: bool, least: int) -> DataFrame:
     """Write class pairs out as container pairs, smaller name first."""
-    everyone = classes.select("container", "rep", "total", "kinds")
-    left = everyone.select(F.col("rep").alias("a"), F.col("container").alias("x"), F.col("total").alias("tx"))
-    right = everyone.select(F.col("rep").alias("b"), F.col("container").alias("y"), F.col("total").alias("ty"))
-    across = pairs.join(left, "a").join(right, "b")
+    left = classes.select(F.col("rep").alias("a"), F.col("container").alias("x"), F.col("total").alias("tx"))
+    right = classes.select(F.col("rep").alias("b"), F.col("container").alias("y"), F.col("total").alias("ty"))
     forward = F.col("x") < F.col("y")
-    out = across.select(
+    shared = F.when(forward, F.col("common_a")).otherwise(F.col("common_b")) if weighted else F.col("common")
+    across = pairs.join(left, "a").join(right, "b").select(
         F.least("x", "y").alias("container_a"), F.greatest("x", "y").alias("container_b"),
-        F.when(forward, F.col("common_a")).otherwise(F.col("common_b")).alias("common"),
+        shared.alias("common"),
         F.when(forward, F.col("tx")).otherwise(F.col("ty")).alias("total_a"),
         F.when(forward, F.col("ty")).otherwise(F.col("tx")).alias("total_b"),
     )
+    own = "total" if weighted else "kinds"
     same = classes.where((F.col("copies") > 1) & (F.col(own) >= least))
     twins = skew.spread_self_join(
         same, same, "rep", "container", F.least(F.col("copies"), F.lit(skew.SALTS)),
@@ -181,7 +183,7 @@ def _listed(pairs: DataFrame, classes: DataFrame, own: str, least: int) -> DataF
         F.col(f"l.{own}").alias("common"),
         F.col("l.total").alias("total_a"), F.col("r.total").alias("total_b"),
     )
-    return out.unionByName(twins)
+    return across.where(F.col("common") >= least).unionByName(twins)
 
 
 def container_overlap(entries: DataFrame, min_overlap: int = 2, heavy_entry: int = HEAVY_ENTRY) -> DataFrame:
@@ -191,9 +193,8 @@ def container_overlap(entries: DataFrame, min_overlap: int = 2, heavy_entry: int
     for many identical containers is large; ``overlap_classes`` says the same
     compactly.
     """
-    pairs, classes = _overlapping_classes(entries, min_overlap, heavy_entry, weighted=False)
-    symmetric = pairs.select("a", "b", F.col("common").alias("common_a"), F.col("common").alias("common_b"))
-    return _listed(symmetric, classes, "kinds", min_overlap)
+    pairs, classes = _overlapping_classes(entries, min_overlap, heavy_entry)
+    return _listed(pairs, classes, False, min_overlap)
 
 
 def container_overlap_entries(entries: DataFrame, min_overlap: int = 2,
@@ -203,19 +204,126 @@ def container_overlap_entries(entries: DataFrame, min_overlap: int = 2,
     An entry that occurs three times in the first container counts three
     times when the second one has it. Containers are ordered by name.
     """
-    flipped = entries.where(F.col("hash").isNotNull())
-    pairs, classes = _overlapping_classes(flipped, 1, heavy_entry, weighted=False)
-    return _weighted_listing(flipped, pairs, classes, min_overlap)
-
-
-def _weighted_listing(entries: DataFrame, pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    raise NotImplementedError
+    pairs, classes = _overlapping_classes(entries, min_overlap, heavy_entry, weighted=True)
+    return _listed(pairs, classes, True, min_overlap)
 
 
 def overlap_ratios(pairs: DataFrame) -> DataFrame:
     """Shared part of either container in percent, one decimal, 0 for empty ones."""
     def ratio(total: str):
-        value = F.col("common") / F.nullif(F.col(total), F.lit(0).cast("bigint")) * 100
-        return F.coalesce(F.round(value, 1), F.lit(0.0))
+        share = F.try_divide(F.col("common"), F.col(total)) * 100
+        return F.coalesce(F.bround(share, 1), F.lit(0.0))
 
     return pairs.withColumn("ratio_a", ratio("total_a")).withColumn("ratio_b", ratio("total_b"))
+
+
+def shared_hashes(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The shared hashes of the given pairs, one row each.
+
+    Long form on purpose: two large copies of one container share everything,
+    which does not belong into a single array.
+    """
+    contents = entries.where(F.col("hash").isNotNull()).select("container", "hash").distinct()
+    of_a = contents.select(F.col("container").alias("container_a"), "hash")
+    of_b = contents.select(F.col("container").alias("container_b"), "hash")
+    return (
+        pairs.select("container_a", "container_b")
+        .join(of_a, "container_a").join(of_b, ["container_b", "hash"])
+        .select("container_a", "container_b", "hash")
+    )
+
+
+def top_overlaps(pairs: DataFrame, n: int = 5) -> DataFrame:
+    return pairs.orderBy(F.col("common").desc(), "container_a", "container_b").limit(n)
+
+
+def container_groups(entries: DataFrame, min_overlap: int = 2, heavy_entry: int = HEAVY_ENTRY,
+                     sizes: DataFrame | None = None) -> DataFrame:
+    """Containers joined to groups through overlapping pairs.
+
+    ``root`` is the smallest container of the group, ``shared`` the largest
+    overlap of a pair in it, ``total`` the container's number of entries. The
+    largest container (by ``sizes``, then by name) is kept; ``savable`` is the
+    size of the others. Works on distinct contents; copies are linked to
+    their representative only.
+    """
+    pairs, classes = _overlapping_classes(entries, min_overlap, heavy_entry)
+    pairs, classes = reused(pairs), reused(classes)
+    twins = classes.where((F.col("copies") > 1) & (F.col("kinds") >= min_overlap))
+    links = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
+        twins.select(F.col("container").alias("src"), F.col("rep").alias("dst"))
+    )
+    roots = connected_components(links).withColumnsRenamed({"node": "container", "component": "root"})
+    strongest = (
+        pairs.select(F.col("a").alias("container"), "common").unionByName(
+            pairs.select(F.col("b").alias("container"), "common")
+        ).unionByName(twins.select("container", F.col("kinds").alias("common")))
+        .groupBy("container").agg(F.max("common").alias("best"))
+    )
+    placed = roots.join(strongest, "container", "left").join(
+        classes.select("container", "total"), "container"
+    )
+    if sizes is None:
+        placed = placed.withColumn("size", F.lit(0).cast("bigint"))
+    else:
+        placed = placed.join(sizes.select("container", "size"), "container", "left").fillna(0, ["size"])
+    groups = placed.groupBy("root").agg(
+        F.max("best").alias("shared"), F.count("*").alias("n"),
+        (F.sum("size") - F.max("size")).alias("savable"),
+        F.min(F.struct((-F.col("size")).alias("_size"), F.col("container").alias("name"))).alias("_kept"),
+    )
+    joined = skew.join_to_groups(placed.drop("best"), groups, "root", "n", "container")
+    return joined.select(
+        "container", "root", "n", "shared", "total", "size", "savable",
+        (F.col("container") == F.col("_kept.name")).alias("keep"),
+    )
+
+
+def container_pair_groups(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One group per overlapping pair: the first is kept, the smaller size is savable."""
+    a = sizes.select(F.col("container").alias("container_a"), F.col("size").alias("size_a"))
+    b = sizes.select(F.col("container").alias("container_b"), F.col("size").alias("size_b"))
+    return (
+        pairs.join(a, "container_a", "left").join(b, "container_b", "left")
+        .withColumn("size_a", F.coalesce("size_a", F.lit(0).cast("bigint")))
+        .withColumn("size_b", F.coalesce("size_b", F.lit(0).cast("bigint")))
+        .withColumn("savable", F.least("size_a", "size_b"))
+    )
+
+
+def container_collapse(members: DataFrame, key: str = "hash") -> DataFrame:
+    """Per group: plain items as they are, entries folded into their container.
+
+    ``matched`` is the number of entries of the container in the group,
+    ``total`` the number of entries it has in all.
+    """
+    inside = is_entry(F.col("path"))
+    return (
+        members.withColumn("_inside", inside)
+        .groupBy(key, F.when(F.col("_inside"), container_of(F.col("path"))).otherwise(F.col("path")).alias("path"),
+                 "_inside")
+        .agg(F.count("*").alias("_n"), F.max("size").alias("size"), F.max("total").alias("_total"))
+        .select(
+            key, "path", "size",
+            F.when(F.col("_inside"), "archive").otherwise("file").alias("type"),
+            F.when(F.col("_inside"), F.col("_n")).alias("matched"),
+            F.when(F.col("_inside"), F.col("_total")).alias("total"),
+        )
+    )
+
+
+def container_pair_rollup(members: DataFrame, key: str = "hash",
+                          heavy_entry: int = HEAVY_ENTRY) -> DataFrame:
+    """Pairs of containers with the number of groups found in nothing but entries.
+
+    Groups that also have a plain item are left out: their copy to keep is a
+    file, and they are reported as ordinary groups.
+    """
+    entries = members.where(is_entry(F.col("path"))).select(
+        container_of(F.col("path")).alias("container"), F.col(key).alias("hash")
+    )
+    with_file = members.where(~is_entry(F.col("path"))).select(F.col(key).alias("hash")).distinct()
+    inner = entries.join(with_file, "hash", "left_anti")
+    return container_overlap(inner, 1, heavy_entry).select(
+        "container_a", "container_b", F.col("common").alias("shared")
+    )
