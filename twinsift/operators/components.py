@@ -19,35 +19,45 @@ def _neighbour_minimum(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _linked_to_minimum(edges: DataFrame, lows: DataFrame, hot_rows: int, hot: bool) -> DataFrame:
+    if not hot:
+        return edges.join(lows, "u")
+    return skew.join_to_groups(edges, lows, "u", "n", "v", hot_rows, settle=False)
+
+
+def _large_star(edges: DataFrame, hot_rows: int, hot: bool) -> DataFrame:
     """Link every larger neighbour of u to the smallest node around u."""
-    both = edges.select("u", "v").unionByName(
-        edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    )
+    both = edges.select(F.explode(F.array(
+        F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    )).alias("e")).select("e.*")
     lows = _neighbour_minimum(both).withColumn("low", F.least("u", "low"))
-    linked = skew.join_to_groups(both, lows, "u", "n", "v", hot_rows)
+    linked = _linked_to_minimum(both, lows, hot_rows, hot)
     return linked.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int, hot: bool) -> DataFrame:
     """``edges`` point from u to a smaller v: link u and its v to the smallest."""
     lows = _neighbour_minimum(edges)
-    linked = skew.join_to_groups(edges, lows, "u", "n", "v", hot_rows)
+    linked = _linked_to_minimum(edges, lows, hot_rows, hot)
     moved = linked.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(lows.select("u", F.col("low").alias("v"))).distinct()
 
 
-def _is_star_forest(edges: DataFrame) -> bool:
-    """True when no node has two links and no centre is linked further."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in_")).unionByName(
-        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in_"))
-    )
-    open_ends = (
-        ends.groupBy("node")
-        .agg(F.sum("out").alias("out"), F.max("in_").alias("in_"))
-        .where("out > 1 OR (out = 1 AND in_ = 1)")
-    )
-    return open_ends.isEmpty()
+def _shape(edges: DataFrame) -> tuple[bool, int]:
+    """Whether the links are stars already, and the largest number of links of a node.
+
+    Stars: no node has two outgoing links, and no centre is linked further.
+    """
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("out")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("out")),
+    )).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count("*").alias("links"))
+    row = nodes.agg(
+        F.max((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("links") > 1))).alias("unsettled"),
+        F.max("links").alias("links"),
+    ).first()
+    return not row.unsettled, row.links or 0
 
 
 def connected_components(
@@ -67,9 +77,11 @@ def connected_components(
         edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
     for _ in range(max_rounds):
-        if _is_star_forest(links):
+        settled, links_of_one = _shape(links)
+        if settled:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        links = durable(_small_star(_large_star(links, hot_rows), hot_rows))
+        hot = links_of_one > hot_rows
+        links = durable(_small_star(_large_star(links, hot_rows, hot), hot_rows, hot))
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")

@@ -5,12 +5,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import container_of, is_entry
 from . import skew
 from .components import connected_components
-from .durable import reused
+from .durable import durable
 
 HEAVY_ENTRY = 1_000     # entries found in more containers are treated apart
 HEAVY_PARTS = 16        # tasks a heavy entry is divided into
@@ -33,53 +36,73 @@ def min_container_entries(entries: DataFrame, least: int, hot_rows: int = skew.H
     return skew.join_to_groups(entries, big, "container", "_n", "hash", hot_rows).drop("_n")
 
 
-def container_profile(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(contents, classes) of an entry table.
+@dataclass(frozen=True)
+class _Profile:
+    """An entry table in the forms the overlap operators need.
+
+    Different contents are numbered. Everything between the entry table and
+    the result works on these numbers, which are a fraction of the names.
+    """
+
+    contents: DataFrame     # container, hash, m: each hash once with its multiplicity
+    kinds: DataFrame        # id, rep, kinds, total, copies: each content once
+    copied: DataFrame       # id, container, kinds, total, copies: contents with several copies
+    any_copied: bool
+
+    @property
+    def classes(self) -> DataFrame:
+        """(container, id, rep, kinds, total, copies) for every container."""
+        single = self.kinds.where("copies = 1").withColumn("container", F.col("rep"))
+        return single.unionByName(self.copied) if self.any_copied else single
+
+
+def _profile(entries: DataFrame) -> _Profile:
+    """Find containers with equal contents.
 
-    ``contents`` has each (container, hash) once with its multiplicity ``m``.
-    ``classes`` maps every container to ``rep``, the smallest container with
-    the same contents. Equality is decided on the number of hashes and two
-    64-bit sums of row hashes, both plain aggregates: no set is collected.
+    ``rep`` is the smallest container with the same contents. Equality is
+    decided on the number of hashes and two 64-bit combinations of row hashes,
+    all plain aggregates: no set is collected.
     """
-    contents = reused(
+    contents = durable(
         entries.where(F.col("hash").isNotNull())
         .groupBy("container", "hash").agg(F.count("*").alias("m"))
     )
-    profile = contents.groupBy("container").agg(
+    signature = F.struct(
         F.count("*").alias("kinds"),
         F.sum("m").alias("total"),
-        F.bit_xor(F.xxhash64("hash", "m")).alias("_x"),
-        F.bit_xor(F.xxhash64("m", "hash")).alias("_y"),
+        F.bit_xor(F.xxhash64("hash", "m")).alias("x"),
+        F.bit_xor(F.xxhash64("m", "hash")).alias("y"),
     )
-    signature = ["kinds", "total", "_x", "_y"]
-    twins = profile.groupBy(*signature).agg(F.min("container").alias("rep"), F.count("*").alias("copies"))
-    single = twins.where("copies = 1").select(
-        F.col("rep").alias("container"), "rep", "kinds", "total", "copies"
+    profile = durable(contents.groupBy("container").agg(signature.alias("_key")))
+    twins = durable(
+        profile.groupBy("_key").agg(F.min("container").alias("rep"), F.count("*").alias("copies"))
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    # Only the copied classes need their members looked up again.
-    several = twins.where("copies > 1").withColumn("_key", F.struct(*signature))
-    members = skew.join_to_groups(
-        profile.withColumn("_key", F.struct(*signature)).select("container", "_key"),
-        several.select("_key", "rep", "kinds", "total", "copies"),
-        "_key", "copies", "container",
-    ).select("container", "rep", "kinds", "total", "copies")
-    return contents, single.unionByName(members)
+    facts = ["id", "rep", "_key.kinds", "_key.total", "copies"]
+    several = twins.where("copies > 1")
+    any_copied = not several.isEmpty()
+    copied = twins.limit(0).select(F.col("rep").alias("container"), *facts)
+    if any_copied:
+        # Only contents with several copies need their containers looked up again.
+        copied = durable(
+            skew.join_to_groups(profile, several, "_key", "copies", "container").select("container", *facts)
+        )
+    return _Profile(contents, twins.select(*facts), copied, any_copied)
 
 
 def container_classes(entries: DataFrame) -> DataFrame:
     """(container, rep, kinds, total, copies): containers with equal contents share ``rep``."""
-    return container_profile(entries)[1]
+    return _profile(entries).classes.drop("id")
 
 
-def _overlapping_classes(entries: DataFrame, least: int, heavy_entry: int,
-                         weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(pairs, classes): overlapping pairs a < b of class representatives.
+def _overlapping(found: _Profile, least: int, heavy_entry: int, weighted: bool = False) -> DataFrame:
+    """Overlapping pairs a < b of different contents (their numbers).
 
-    ``common`` counts different shared hashes, ``common_a`` the entries of a
-    (``common_b`` of b) that have one of them. ``weighted`` compares the larger
-    of the last two with ``least`` instead of the first.
+    ``common`` counts different shared hashes. With ``weighted`` there are
+    also ``common_a``, the entries of a that have one of them, and
+    ``common_b``; the larger of the two is compared with ``least``.
 
-    Entries in at most ``heavy_entry`` containers are joined directly. Heavier
+    Entries in at most ``heavy_entry`` contents are joined directly. Heavier
     ones would produce almost every pair, so they are joined only where a pair
     can still belong to the result: it met at a lighter entry, or it shares at
     least ``least`` entries that are all heavy. In the second case it still
@@ -88,83 +111,100 @@ def _overlapping_classes(entries: DataFrame, least: int, heavy_entry: int,
     in most containers thus costs nothing unless the pairs are part of the
     answer.
     """
-    contents, classes = container_profile(entries)
-    spare = classes.where(F.col("container") != F.col("rep")).select("container")
-    slim = contents.join(spare, "container", "left_anti")
+    numbered = found.contents.join(
+        found.kinds.select(F.col("rep").alias("container"), "id"), "container"
+    ).select("id", "hash", "m")
     # In how many different contents an entry is; in one only is never shared.
-    spread = slim.groupBy("hash").agg(F.count("*").alias("in_")).where("in_ > 1")
-    known = reused(skew.join_to_groups(slim, spread, "hash", "in_", "container"))
+    spread = (
+        numbered.groupBy("hash").agg(F.count("*").alias("in_")).where("in_ > 1")
+        .withColumn("entry", F.monotonically_increasing_id())
+    )
+    known = durable(
+        skew.join_to_groups(numbered, spread, "hash", "in_", "id").select("id", "entry", "in_", "m")
+    )
     light = known.where(F.col("in_") <= heavy_entry)
     heavy = known.where(F.col("in_") > heavy_entry)
 
-    def met(a: str = "l.container", b: str = "r.container") -> list:
-        return [
-            F.col(a).alias("a"), F.col(b).alias("b"),
-            F.col("l.m").alias("m_a"), F.col("r.m").alias("m_b"),
-        ]
+    def met(a: str = "l.id", b: str = "r.id") -> list:
+        weights = [F.col("l.m").alias("m_a"), F.col("r.m").alias("m_b")] if weighted else []
+        return [F.col(a).alias("a"), F.col(b).alias("b"), *weights]
 
-    at_light = light.alias("l").join(
-        light.alias("r"),
-        (F.col("l.hash") == F.col("r.hash")) & (F.col("l.container") < F.col("r.container")),
+    meetings = light.alias("l").join(
+        light.alias("r"), (F.col("l.entry") == F.col("r.entry")) & (F.col("l.id") < F.col("r.id"))
     ).select(*met())
+    if not heavy.isEmpty():
+        meetings = meetings.unionByName(_heavy_meetings(meetings, heavy, 1 if weighted else least, met))
+    sums = [F.sum("m_a").alias("common_a"), F.sum("m_b").alias("common_b")] if weighted else []
+    measure = F.greatest("common_a", "common_b") if weighted else F.col("common")
+    return meetings.groupBy("a", "b").agg(F.count("*").alias("common"), *sums).where(measure >= least)
+
 
-    needed = 1 if weighted else least
+def _heavy_meetings(meetings: DataFrame, heavy: DataFrame, needed: int, met: Callable[..., list]) -> DataFrame:
+    """Meetings at heavy entries, of the pairs that can still reach the result."""
     probes = heavy
     if needed > 1:
-        order = Window.partitionBy("container").orderBy(F.col("in_").desc(), F.col("hash").desc())
+        order = Window.partitionBy("id").orderBy(F.col("in_").desc(), F.col("entry").desc())
         left_out = heavy.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") < needed)
-        probes = heavy.join(left_out.select("container", "hash"), ["container", "hash"], "left_anti")
+        probes = heavy.join(left_out.select("id", "entry"), ["id", "entry"], "left_anti")
     by_heavy = skew.spread_self_join(
-        probes, probes, "hash", "container", F.lit(HEAVY_PARTS),
-        F.col("l.container") < F.col("r.container"),
-    ).select(F.col("l.container").alias("a"), F.col("r.container").alias("b"))
-    having = heavy.select("container").distinct()
-    by_light = at_light.join(having.withColumnRenamed("container", "a"), "a", "left_semi").join(
-        having.withColumnRenamed("container", "b"), "b", "left_semi"
-    ).select("a", "b")
+        probes, probes, "entry", "id", F.lit(HEAVY_PARTS), F.col("l.id") < F.col("r.id")
+    ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    having = heavy.select("id").distinct()
+    by_light = (
+        meetings.select("a", "b")
+        .join(having.withColumnRenamed("id", "a"), "a", "left_semi")
+        .join(having.withColumnRenamed("id", "b"), "b", "left_semi")
+    )
     candidates = by_light.unionByName(by_heavy).distinct()
-    at_heavy = (
+    return (
         candidates.alias("p")
-        .join(heavy.alias("l"), F.col("p.a") == F.col("l.container"))
-        .join(heavy.alias("r"), (F.col("p.b") == F.col("r.container")) & (F.col("l.hash") == F.col("r.hash")))
+        .join(heavy.alias("l"), F.col("p.a") == F.col("l.id"))
+        .join(heavy.alias("r"), (F.col("p.b") == F.col("r.id")) & (F.col("l.entry") == F.col("r.entry")))
         .select(*met("p.a", "p.b"))
     )
-    pairs = (
-        at_light.unionByName(at_heavy).groupBy("a", "b")
-        .agg(F.count("*").alias("common"), F.sum("m_a").alias("common_a"), F.sum("m_b").alias("common_b"))
-    )
-    measure = F.greatest("common_a", "common_b") if weighted else F.col("common")
-    return pairs.where(measure >= least), classes
 
 
 def overlap_classes(entries: DataFrame, min_overlap: int = 2, heavy_entry: int = HEAVY_ENTRY) -> DataFrame:
     """Overlap in compact form: one row per pair of different contents.
 
-    ``copies_a`` containers have contents ``rep_a``. Contents with several
-    copies overlap with themselves: those rows have ``rep_a = rep_b``. Nothing
-    is lost against the pair listing, and nothing grows with the square of the
-    number of copies.
+    ``copies_a`` containers have the contents of ``rep_a``. Contents with
+    several copies overlap with themselves: those rows have ``rep_a = rep_b``.
+    Nothing is lost against the pair listing, and nothing grows with the square
+    of the number of copies.
     """
-    pairs, classes = _overlapping_classes(entries, min_overlap, heavy_entry, weighted=False)
-    reps = classes.where(F.col("container") == F.col("rep"))
-    a = reps.select(F.col("rep").alias("a"), F.col("total").alias("total_a"), F.col("copies").alias("copies_a"))
-    b = reps.select(F.col("rep").alias("b"), F.col("total").alias("total_b"), F.col("copies").alias("copies_b"))
-    across = pairs.join(a, "a").join(b, "b").select(
-        F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "common",
-        "total_a", "total_b", "copies_a", "copies_b",
-    )
-    within = reps.where((F.col("copies") > 1) & (F.col("kinds") >= min_overlap)).select(
-        F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.col("kinds").alias("common"),
+    found = _profile(entries)
+    pairs = _overlapping(found, min_overlap, heavy_entry)
+
+    def side(s: str) -> DataFrame:
+        return found.kinds.select(
+            F.col("id").alias(s), F.col("rep").alias(f"rep_{s}"),
+            F.col("total").alias(f"total_{s}"), F.col("copies").alias(f"copies_{s}"),
+        )
+
+    swap = F.col("rep_a") > F.col("rep_b")
+
+    def ordered(name: str, first: str, second: str) -> Column:
+        return F.when(swap, F.col(second)).otherwise(F.col(first)).alias(name)
+
+    columns = [
+        ordered(f"{c}_{s}", f"{c}_{s}", f"{c}_{o}")
+        for c in ("rep", "total", "copies") for s, o in (("a", "b"), ("b", "a"))
+    ]
+    across = pairs.join(side("a"), "a").join(side("b"), "b").select("common", *columns)
+    within = found.kinds.where((F.col("copies") > 1) & (F.col("kinds") >= min_overlap)).select(
+        F.col("kinds").alias("common"),
+        F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"),
         F.col("total").alias("total_a"), F.col("total").alias("total_b"),
         F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"),
     )
     return across.unionByName(within)
 
 
-def _listed(pairs: DataFrame, classes: DataFrame, weighted: bool, least: int) -> DataFrame:
-    """Write class pairs out as container pairs, smaller name first."""
-    left = classes.select(F.col("rep").alias("a"), F.col("container").alias("x"), F.col("total").alias("tx"))
-    right = classes.select(F.col("rep").alias("b"), F.col("container").alias("y"), F.col("total").alias("ty"))
+def _listed(pairs: DataFrame, found: _Profile, weighted: bool, least: int) -> DataFrame:
+    """Write content pairs out as container pairs, smaller name first."""
+    classes = found.classes
+    left = classes.select(F.col("id").alias("a"), F.col("container").alias("x"), F.col("total").alias("tx"))
+    right = classes.select(F.col("id").alias("b"), F.col("container").alias("y"), F.col("total").alias("ty"))
     forward = F.col("x") < F.col("y")
     shared = F.when(forward, F.col("common_a")).otherwise(F.col("common_b")) if weighted else F.col("common")
     across = pairs.join(left, "a").join(right, "b").select(
@@ -172,18 +212,20 @@ def _listed(pairs: DataFrame, classes: DataFrame, weighted: bool, least: int) ->
         shared.alias("common"),
         F.when(forward, F.col("tx")).otherwise(F.col("ty")).alias("total_a"),
         F.when(forward, F.col("ty")).otherwise(F.col("tx")).alias("total_b"),
-    )
+    ).where(F.col("common") >= least)
+    if not found.any_copied:
+        return across
     own = "total" if weighted else "kinds"
-    same = classes.where((F.col("copies") > 1) & (F.col(own) >= least))
+    same = found.copied.where(F.col(own) >= least)
     twins = skew.spread_self_join(
-        same, same, "rep", "container", F.least(F.col("copies"), F.lit(skew.SALTS)),
+        same, same, "id", "container", F.least(F.col("copies"), F.lit(skew.SALTS)),
         F.col("l.container") < F.col("r.container"),
     ).select(
         F.col("l.container").alias("container_a"), F.col("r.container").alias("container_b"),
         F.col(f"l.{own}").alias("common"),
         F.col("l.total").alias("total_a"), F.col("r.total").alias("total_b"),
     )
-    return across.where(F.col("common") >= least).unionByName(twins)
+    return across.unionByName(twins)
 
 
 def container_overlap(entries: DataFrame, min_overlap: int = 2, heavy_entry: int = HEAVY_ENTRY) -> DataFrame:
@@ -193,8 +235,8 @@ def container_overlap(entries: DataFrame, min_overlap: int = 2, heavy_entry: int
     for many identical containers is large; ``overlap_classes`` says the same
     compactly.
     """
-    pairs, classes = _overlapping_classes(entries, min_overlap, heavy_entry)
-    return _listed(pairs, classes, False, min_overlap)
+    found = _profile(entries)
+    return _listed(_overlapping(found, min_overlap, heavy_entry), found, False, min_overlap)
 
 
 def container_overlap_entries(entries: DataFrame, min_overlap: int = 2,
@@ -204,8 +246,8 @@ def container_overlap_entries(entries: DataFrame, min_overlap: int = 2,
     An entry that occurs three times in the first container counts three
     times when the second one has it. Containers are ordered by name.
     """
-    pairs, classes = _overlapping_classes(entries, min_overlap, heavy_entry, weighted=True)
-    return _listed(pairs, classes, True, min_overlap)
+    found = _profile(entries)
+    return _listed(_overlapping(found, min_overlap, heavy_entry, True), found, True, min_overlap)
 
 
 def overlap_ratios(pairs: DataFrame) -> DataFrame:
@@ -247,22 +289,21 @@ def container_groups(entries: DataFrame, min_overlap: int = 2, heavy_entry: int
     size of the others. Works on distinct contents; copies are linked to
     their representative only.
     """
-    pairs, classes = _overlapping_classes(entries, min_overlap, heavy_entry)
-    pairs, classes = reused(pairs), reused(classes)
-    twins = classes.where((F.col("copies") > 1) & (F.col("kinds") >= min_overlap))
-    links = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
-        twins.select(F.col("container").alias("src"), F.col("rep").alias("dst"))
-    )
-    roots = connected_components(links).withColumnsRenamed({"node": "container", "component": "root"})
+    found = _profile(entries)
+    pairs = durable(_overlapping(found, min_overlap, heavy_entry))
+    parts = connected_components(pairs, "a", "b").withColumnRenamed("node", "id")
+    twins = found.kinds.where((F.col("copies") > 1) & (F.col("kinds") >= min_overlap))
     strongest = (
-        pairs.select(F.col("a").alias("container"), "common").unionByName(
-            pairs.select(F.col("b").alias("container"), "common")
-        ).unionByName(twins.select("container", F.col("kinds").alias("common")))
-        .groupBy("container").agg(F.max("common").alias("best"))
+        pairs.select(F.explode(F.array("a", "b")).alias("id"), "common")
+        .unionByName(twins.select("id", F.col("kinds").alias("common")))
+        .groupBy("id").agg(F.max("common").alias("best"))
     )
-    placed = roots.join(strongest, "container", "left").join(
-        classes.select("container", "total"), "container"
+    # Copies of one content are a group even when nothing else overlaps with it.
+    named = strongest.join(parts, "id", "left").join(found.classes, "id").select(
+        "container", "best", F.coalesce("component", "id").alias("part"), "total"
     )
+    roots = named.groupBy("part").agg(F.min("container").alias("root"))
+    placed = durable(named.join(roots, "part").select("container", "root", "best", "total"))
     if sizes is None:
         placed = placed.withColumn("size", F.lit(0).cast("bigint"))
     else:

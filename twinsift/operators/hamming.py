@@ -21,6 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hamming
+from .durable import durable
 
 BANDS = 4
 BAND_BITS = 16
@@ -109,7 +110,8 @@ def near_pairs(
 ) -> DataFrame:
     """All pairs of different fingerprints within ``threshold`` bits.
 
-    ``fingerprints`` holds each fingerprint once, in column ``h``. The result
+    ``fingerprints`` holds each fingerprint once, in column ``h``, and is read
+    several times: pass something stored. The result
     has ``<column>_a``, ``<column>_b`` for the given columns and ``dist``, with
     ``h_a < h_b`` unless ``both_ways``. ``condition`` may restrict the pairs in
     terms of the aliases ``l`` and ``r``.
@@ -131,43 +133,44 @@ def near_pairs(
         return moves.withColumn("bucket", _key(h, F.col("_move"))).drop("_move")
 
     left, right = side("left"), side("right")
-    hot = F.broadcast(
-        right.groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_bucket)
-        .select("bucket", F.lit(True).alias("_hot"))
-    )
-
-    def divide(rows_of_side: DataFrame, name: str) -> DataFrame:
-        """Give rows of a hot bucket one sub-key per near value of the other bands."""
-        sub = F.lit(None).cast("array<int>")
-        for band in bands:
-            others = _plan([i for i in range(BANDS) if i != band.index], threshold)
-            sub = F.when(
-                F.shiftright(F.col("bucket"), BAND_BITS) == band.index, _moves(others, name)
-            ).otherwise(sub)
-        moves = F.when(F.col("_hot"), sub).otherwise(F.array(F.lit(-1)))
-        moved = rows_of_side.join(hot, "bucket", "left").withColumn("_move", F.explode(moves))
-        key = F.when(F.col("_hot"), _key(h, F.col("_move"))).otherwise(F.lit(-1))
-        return moved.withColumn("sub", key).drop("_hot", "_move")
-
     a, b = F.col("l.h"), F.col("r.h")
-    bucket, sub = F.col("l.bucket"), F.col("l.sub")
-    sub_ok = F.lit(False)
-    for band in bands:
-        others = _plan([i for i in range(BANDS) if i != band.index], threshold)
-        sub_ok = F.when(
-            F.shiftright(bucket, BAND_BITS) == band.index, _counts_here(a, b, sub, others)
-        ).otherwise(sub_ok)
+    bucket = F.col("l.bucket")
     matched = (
         (F.col("l.bucket") == F.col("r.bucket"))
-        & (F.col("l.sub") == F.col("r.sub"))
         & ((a != b) if both_ways else (a < b))
         & (hamming(a, b) <= threshold)
         & _counts_here(a, b, bucket, bands)
-        & ((sub == -1) | sub_ok)
     )
     if condition is not None:
         matched = matched & condition
-    pairs = divide(left, "left").alias("l").join(divide(right, "right").alias("r"), matched)
+
+    hot = durable(
+        right.groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_bucket)
+        .select("bucket", F.lit(True).alias("_hot"))
+    )
+    if not hot.isEmpty():
+        others = {
+            band.index: _plan([i for i in range(BANDS) if i != band.index], threshold) for band in bands
+        }
+
+        def divide(rows_of_side: DataFrame, name: str) -> DataFrame:
+            """Give rows of a hot bucket one sub-key per near value of the other bands."""
+            sub = F.lit(None).cast("array<int>")
+            for index, rest in others.items():
+                sub = F.when(F.shiftright("bucket", BAND_BITS) == index, _moves(rest, name)).otherwise(sub)
+            moves = F.when(F.col("_hot"), sub).otherwise(F.array(F.lit(-1)))
+            moved = rows_of_side.join(F.broadcast(hot), "bucket", "left").withColumn("_move", F.explode(moves))
+            key = F.when(F.col("_hot"), _key(h, F.col("_move"))).otherwise(F.lit(-1))
+            return moved.withColumn("sub", key).drop("_hot", "_move")
+
+        left, right = divide(left, "left"), divide(right, "right")
+        sub = F.col("l.sub")
+        once = F.lit(False)
+        for index, rest in others.items():
+            once = F.when(F.shiftright(bucket, BAND_BITS) == index, _counts_here(a, b, sub, rest)).otherwise(once)
+        matched = matched & (F.col("l.sub") == F.col("r.sub")) & ((sub == -1) | once)
+
+    pairs = left.alias("l").join(right.alias("r"), matched)
     picked = [F.col(f"{s}.{c}").alias(f"{c}_{t}") for c in kept for s, t in (("l", "a"), ("r", "b"))]
     return pairs.select(*picked, hamming(a, b).cast("bigint").alias("dist"))
 
@@ -188,4 +191,4 @@ def hamming_join(items: DataFrame, threshold: int = 10, fingerprint: str = "h",
     Equal fingerprints are one row: ``n_a`` items carry ``h_a``. That says the
     same as listing item pairs and does not grow with the square of the copies.
     """
-    return near_pairs(collapse(items, fingerprint, item), threshold, ["h", "rep", "n"], hot_bucket)
+    return near_pairs(durable(collapse(items, fingerprint, item)), threshold, ["h", "rep", "n"], hot_bucket)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import aligned_distance, mean_min_distance
 from . import skew
 from .components import connected_components
-from .durable import durable, reused
+from .durable import durable
 from .hamming import HOT_BUCKET, near_pairs
 
 _DISTANCES = {"mean_min": mean_min_distance, "aligned": aligned_distance}
@@ -33,10 +33,10 @@ def _candidates(classes: DataFrame, threshold: float, hot_bucket: int, hot_rows:
     pair of frames within it: nothing is missed. Equal frames are compared
     once, however many sequences show them.
     """
-    shown = reused(
+    shown = durable(
         classes.select("rep", F.explode(F.array_distinct("frames")).alias("h"))
     )
-    kinds = shown.groupBy("h").agg(F.count("*").alias("in_"))
+    kinds = durable(shown.groupBy("h").agg(F.count("*").alias("in_")))
     near = near_pairs(kinds, math.floor(threshold), ["h"], hot_bucket, both_ways=True).select("h_a", "h_b")
     touching = near.unionByName(kinds.where("in_ > 1").select(F.col("h").alias("h_a"), F.col("h").alias("h_b")))
     weights = kinds.select(F.col("h").alias("h_a"), F.col("in_").alias("_rows"))
@@ -80,7 +80,7 @@ def sequence_similarity_join(
     (id_a, id_b, dist, n_a, n_b): ``id_a`` stands for the ``n_a`` items that
     have its exact frames; see ``sequence_classes`` for who they are.
     """
-    classes = reused(sequence_classes(sequences))
+    classes = durable(sequence_classes(sequences))
     pairs = _class_pairs(classes, threshold, measure, hot_bucket, hot_rows)
     a = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"))
     b = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"))
@@ -123,9 +123,9 @@ def similar_sequences(
     A group is ``exact`` when no two neighbours in it are further apart than
     ``exact``.
     """
-    classes = reused(sequence_classes(sequences))
+    classes = durable(sequence_classes(sequences))
     pairs = durable(_class_pairs(classes, similar, measure, hot_bucket, hot_rows))
-    parts = _grouped(classes, pairs, similar)
+    parts = durable(_grouped(classes, pairs, similar))
     groups = (
         parts.groupBy("root").agg(F.sum("n").alias("members"), F.max("far").alias("_far"))
         .where("members > 1")
@@ -144,13 +144,13 @@ def similar_sequences_two_level(
     hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Exact groups, and similar groups that have no member in an exact one."""
-    classes = reused(sequence_classes(sequences))
+    classes = durable(sequence_classes(sequences))
     pairs = durable(_class_pairs(classes, max(exact, similar), measure, hot_bucket, hot_rows))
-    near = _grouped(classes, pairs, exact)
+    near = durable(_grouped(classes, pairs, exact))
     exact_groups = near.groupBy("root").agg(F.sum("n").alias("members")).where("members > 1")
     exact_parts = skew.join_to_groups(near.drop("far"), exact_groups, "root", "members", "rep", hot_rows)
     taken = exact_parts.select("rep", F.lit(True).alias("_taken"))
-    wide = _grouped(classes, pairs, similar).drop("far").join(taken, "rep", "left")
+    wide = durable(_grouped(classes, pairs, similar).drop("far").join(taken, "rep", "left"))
     similar_only = (
         wide.groupBy("root")
         .agg(F.sum("n").alias("members"), F.max(F.coalesce("_taken", F.lit(False))).alias("_mixed"))

@@ -73,7 +73,7 @@ def similar_groups(
     Groups are the components at the ``similar`` threshold. A group is
     ``exact`` when no two neighbours in it differ by more than ``exact`` bits.
     """
-    parts = _components(collapse(items, fingerprint), similar, hot_bucket, hot_rows)
+    parts = durable(_components(durable(collapse(items, fingerprint)), similar, hot_bucket, hot_rows))
     groups = (
         parts.groupBy("root").agg(F.sum("n").alias("members"), F.max("far").alias("_far"))
         .where("members > 1")
@@ -96,12 +96,12 @@ def similar_groups_two_level(
     Components at ``exact`` are the exact groups. Components at ``similar``
     count only when none of their members is in an exact group.
     """
-    fingerprints = collapse(items, fingerprint)
-    near = _components(fingerprints, exact, hot_bucket, hot_rows)
+    fingerprints = durable(collapse(items, fingerprint))
+    near = durable(_components(fingerprints, exact, hot_bucket, hot_rows))
     exact_groups = near.groupBy("root").agg(F.sum("n").alias("members")).where("members > 1")
     exact_parts = skew.join_to_groups(near.select("h", "n", "root"), exact_groups, "root", "members", "h", hot_rows)
     taken = exact_parts.select("h", F.lit(True).alias("_taken"))
-    wide = _components(fingerprints, similar, hot_bucket, hot_rows).join(taken, "h", "left")
+    wide = durable(_components(fingerprints, similar, hot_bucket, hot_rows).join(taken, "h", "left"))
     similar_only = (
         wide.groupBy("root")
         .agg(F.sum("n").alias("members"), F.max(F.coalesce("_taken", F.lit(False))).alias("_mixed"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .durable import durable
+
 HOT_ROWS = 1_000_000    # keys with more rows are spread over several tasks
 HOT_KEYS = 1_000        # at most so many keys are spread, the largest ones
 SALTS = 64              # tasks a spread key is divided into
@@ -17,20 +19,27 @@ def join_to_groups(
     spread_by: str,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
-    how: str = "inner",
+    settle: bool = True,
 ) -> DataFrame:
     """Attach one row per key (``groups``) to many rows per key.
 
     ``groups[count]`` is the number of rows the key has. Keys above
-    ``hot_rows`` are divided by a hash of ``spread_by`` and their single group
+    ``hot_rows`` are divided by a hash of ``spread_by``, and their single group
     row is repeated once per part. The list of such keys is broadcast: it is
     cut to the ``HOT_KEYS`` largest, a fixed bound. A key beyond that list is
     merely joined without division, so the result is the same either way.
+
+    ``settle`` writes the groups out first. They are then computed once, plans
+    of chained operators stay short, and without hot keys (one look at the
+    written table) the division is left out.
     """
+    if settle:
+        groups = durable(groups)
+    largest = groups.where(F.col(count) > hot_rows)
+    if settle and largest.isEmpty():
+        return rows.join(groups, key)
     hot = (
-        groups.where(F.col(count) > hot_rows)
-        .orderBy(F.col(count).desc(), F.col(key))
-        .limit(HOT_KEYS)
+        largest.orderBy(F.col(count).desc(), F.col(key)).limit(HOT_KEYS)
         .select(key, F.lit(True).alias("_hot"))
     )
     part = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
@@ -41,7 +50,7 @@ def join_to_groups(
         F.col(count) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))
     ).otherwise(F.array(F.lit(0)))
     right = groups.withColumn("_part", F.explode(parts))
-    return left.join(right, [key, "_part"], how).drop("_part")
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
 def spread_self_join(left: DataFrame, right: DataFrame, key: str, spread_by: str,

@@ -292,8 +292,8 @@ def sequence_sample(t: Tables) -> DataFrame:
 def sequence_sample_seconds(t: Tables) -> DataFrame:
     """Sample times for media as long as each user's time span."""
     span = t.table("events").groupBy("user_id").agg(
-        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("us")
-    ).select("user_id", (F.floor(F.col("us") / 1000000) % 4000).cast("double").alias("seconds"))
+        F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).alias("whole")
+    ).select("user_id", (F.col("whole") % 4000).cast("double").alias("seconds"))
     return span.select(
         "user_id",
         long(F.size(fn.sample_seconds(F.col("seconds"), 10))).alias("samples"),

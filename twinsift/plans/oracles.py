@@ -138,7 +138,7 @@ SELECT root, sum(n)::BIGINT AS members, coalesce(max(far), 0) AS far FROM fp_par
 JOIN kinds ON rep = node LEFT JOIN (
   SELECT a, max(dist) AS far FROM (SELECT a, dist FROM near UNION ALL SELECT b, dist FROM near) GROUP BY a) ON a = node
 GROUP BY root HAVING sum(n) > 1"""
-CTE["similar"] = """
+CTE["alike"] = """
 SELECT fp.id, fp.bits, root, members, CASE WHEN far <= 0 THEN 'exact' ELSE 'similar' END AS category
 FROM fp JOIN kinds USING (bits) JOIN fp_parts ON node = rep JOIN fp_groups USING (root)"""
 CTE["seq_groups"] = """
@@ -181,7 +181,7 @@ WHERE hash NOT IN (
   HAVING bool_and(contains(path, '::')) AND count(DISTINCT split_part(path, '::', 1)) = 1)
 UNION ALL
 SELECT 'image', 'i:'||root, i.path, i.size, 'file', NULL, category, NULL, NULL,
-       i.path = min(i.path) OVER (PARTITION BY root) FROM similar JOIN images i USING (id)
+       i.path = min(i.path) OVER (PARTITION BY root) FROM alike JOIN images i USING (id)
 UNION ALL
 SELECT 'video', 'v:'||root, c.path, c.size, 'file', NULL, category, frame_count, NULL,
        c.path = min(c.path) OVER (PARTITION BY root) FROM similar_seq JOIN clips c USING (id)
@@ -369,12 +369,12 @@ SELECT inode, size, path, count(*) OVER w AS n, path = min(path) OVER w AS keep
 WINDOW w AS (PARTITION BY inode, size) QUALIFY count(*) OVER w > 1""")
 sql("hardlink_representatives", "SELECT hash, path, n, keep FROM item_members")
 sql("connected_components", "SELECT node, root AS component FROM basket_parts")
-sql("similar_groups", "SELECT id, root, members, category FROM similar")
+sql("similar_groups", "SELECT id, root, members, category FROM alike")
 sql("similar_groups_two_level", """
 SELECT id, rep AS root, n AS members, 'exact' AS category FROM fp JOIN kinds USING (bits) WHERE n > 1
 UNION ALL
-SELECT id, root, members, 'similar' FROM similar WHERE root NOT IN (
-  SELECT root FROM similar JOIN kinds USING (bits) WHERE n > 1)""")
+SELECT id, root, members, 'similar' FROM alike WHERE root NOT IN (
+  SELECT root FROM alike JOIN kinds USING (bits) WHERE n > 1)""")
 sql("similar_sequences", "SELECT id, root, members, category, frame_count FROM similar_seq")
 CTE["seq3"] = """
 SELECT s.id, s.f, p.root, count(*) OVER (PARTITION BY p.root) AS members FROM seqs s JOIN seq_kinds USING (f)
@@ -476,7 +476,7 @@ FROM (SELECT *, size AS n FROM collapsed WHERE hash IN (SELECT hash FROM collaps
 UNION ALL SELECT 'pairs', container_a, container_b, '', 'archive', shared::VARCHAR FROM rollup""")
 sql("export_similar_csv", """
 SELECT category, 'i:'||root AS group_id, i.path, i.size::VARCHAR AS size_bytes, 'file' AS type, i.bits,
-  CASE WHEN i.path = min(i.path) OVER (PARTITION BY root) THEN 'YES' ELSE 'NO' END AS keep FROM similar JOIN images i USING (id)""")
+  CASE WHEN i.path = min(i.path) OVER (PARTITION BY root) THEN 'YES' ELSE 'NO' END AS keep FROM alike JOIN images i USING (id)""")
 sql("export_sequence_csv", """
 SELECT category, 'v:'||root AS group_id, c.path, c.size::VARCHAR AS size_bytes, frame_count::VARCHAR AS frame_count,
   CASE WHEN c.path = min(c.path) OVER (PARTITION BY root) THEN 'YES' ELSE 'NO' END AS keep

@@ -17,7 +17,10 @@ _SIGN = 1 << 63
 
 def _as_bits(value: Column) -> Column:
     """The BIGINT with the same 64 bits as an unsigned number."""
-    wrapped = F.when(value >= F.lit(_SIGN).cast("decimal(20,0)"), value - F.lit(_UNSIGNED).cast("decimal(20,0)"))
+    def number(n: int) -> Column:
+        return F.lit(str(n)).cast("decimal(20,0)")
+
+    wrapped = F.when(value >= number(_SIGN), value - number(_UNSIGNED))
     return wrapped.otherwise(value).cast("bigint")
 
 
