@@ -144,11 +144,12 @@ def near_pairs(
     if condition is not None:
         matched = matched & condition
 
-    hot = durable(
+    # A fingerprint is in a bucket once at most, so small tables have no hot one.
+    hot = None if rows.count() <= hot_bucket else durable(
         right.groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_bucket)
         .select("bucket", F.lit(True).alias("_hot"))
     )
-    if not hot.isEmpty():
+    if hot is not None and not hot.isEmpty():
         others = {
             band.index: _plan([i for i in range(BANDS) if i != band.index], threshold) for band in bands
         }

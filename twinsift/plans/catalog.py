@@ -75,11 +75,23 @@ def _container_sizes(t: Tables) -> DataFrame:
     return t.entries.groupBy("container").agg(F.sum("size").alias("size"))
 
 
+def _scan(t: Tables) -> DataFrame:
+    return scan(t.hashed.select("path", "size", "hash"), t.entries, _images(t), _clips(t), _container_sizes(t))
+
+
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _all_tabs(t: Tables) -> DataFrame:
-    """Result members of all four tables, as a full scan produces them."""
-    return op.reused(scan(
-        t.hashed.select("path", "size", "hash"), t.entries, _images(t), _clips(t), _container_sizes(t)
-    ))
+    """The stored result of a full scan, which the review works on.
+
+    Scanned once per application and folder, like a result that stays on
+    screen while it is filtered, summed up and marked.
+    """
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORED:
+        _STORED[key] = op.durable(_scan(t))
+    return _STORED[key]
 
 
 def _marked(t: Tables) -> DataFrame:
@@ -586,7 +598,7 @@ def overlap_header(t: Tables) -> DataFrame:
 @query
 def full_scan(t: Tables) -> DataFrame:
     """All four result tables."""
-    return _all_tabs(t).select("tab", "group_id", "path", "size", "category", "frame_count", "shared", "keep")
+    return _scan(t).select("tab", "group_id", "path", "size", "category", "frame_count", "shared", "keep")
 
 
 # -- ranking -----------------------------------------------------------------

@@ -64,16 +64,14 @@ def file_inventory(spark: SparkSession, roots: Sequence[str], exclude: Sequence[
     level = spark.createDataFrame([(r.rstrip("/") or "/",) for r in roots], "path string")
     level = level.distinct().where(~rules.skips_directory(path))
     levels = []
-    while True:
-        # Next to nothing to do per row here, a lot of waiting: use many tasks.
-        listing = durable(
-            level.repartition(spark.sparkContext.defaultParallelism * 2, "path")
-            .mapInPandas(_list_directories, _LISTING)
-        )
+    while waiting := level.count():
+        # Little work per row but a lot of waiting: more tasks than bytes suggest.
+        tasks = min(waiting, spark.sparkContext.defaultParallelism * 2)
+        listing = durable(level.repartition(tasks, "path").mapInPandas(_list_directories, _LISTING))
         levels.append(listing.where(~F.col("is_dir")))
         level = listing.where(F.col("is_dir") & open_dir).select("path").distinct()
-        if level.isEmpty():
-            break
+    if not levels:
+        levels = [spark.createDataFrame([], _LISTING)]
     files = reduce(DataFrame.unionByName, levels)
     return multi_root_union(
         files.where(~is_junk(path) & ~rules.skips_file(path)).select(
