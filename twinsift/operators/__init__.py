@@ -19,7 +19,6 @@ from .containers import (
 from .durable import durable, new_folder, release, reused, shared_folder
 from .exact import (
     drop_single_container_groups,
-    duplicate_groups,
     duplicate_members,
     exact_duplicates,
     fingerprint_items,

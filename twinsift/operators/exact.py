@@ -52,40 +52,27 @@ def head_tail_candidates(items: DataFrame, content: str = "content", kib: int =
     return repeated(narrow, ["size", "head", "tail"]).drop("head", "tail")
 
 
-def duplicate_groups(items: DataFrame, key: str = "hash") -> DataFrame:
-    """One row per key that occurs more than once.
+def duplicate_members(items: DataFrame, key: str = "hash", hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+    """Items whose key occurs more than once, with ``n``, ``savable`` and ``keep``.
 
-    ``first`` is the member with the smallest path; ``savable`` is the size of
-    all other members.
+    The first aggregate runs over all items and moves only keys and two
+    numbers. Paths, needed to pick the first member, are compared among the
+    duplicates alone. ``items`` is read twice: pass something cheap to read.
     """
+    keyed = items.where(F.col(key).isNotNull())
+    counts = keyed.groupBy(key).agg(F.count("*").alias("n"), F.sum("size").alias("_total")).where("n > 1")
+    members = reused(skew.join_to_groups(keyed, counts, key, "n", "path", hot_rows))
+    firsts = members.groupBy(key).agg(
+        F.min(F.struct("path", "size")).alias("_first"), F.count("*").alias("_n")
+    )
     return (
-        items.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(
-            F.count("*").alias("n"),
-            F.min(F.struct("path", "size")).alias("_first"),
-            F.sum("size").alias("total"),
-        )
-        .where("n > 1")
-        .select(
-            key,
-            "n",
-            F.col("_first.path").alias("first"),
-            F.col("total"),
-            (F.col("total") - F.col("_first.size")).alias("savable"),
-            (F.col("_first.size") * (F.col("n") - 1)).alias("wasted"),
-        )
+        skew.join_to_groups(members, firsts, key, "_n", "path", hot_rows)
+        .withColumn("savable", F.col("_total") - F.col("_first.size"))
+        .withColumn("keep", F.col("path") == F.col("_first.path"))
+        .drop("_total", "_first", "_n")
     )
 
 
-def duplicate_members(items: DataFrame, groups: DataFrame, key: str = "hash",
-                      hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Members of the groups with their keep mark: the first one is kept."""
-    slim = groups.select(key, "n", "first", "savable")
-    joined = skew.join_to_groups(items, slim, key, "n", "path", hot_rows)
-    return joined.withColumn("keep", F.col("path") == F.col("first")).drop("first")
-
-
 def exact_duplicates(
     items: DataFrame,
     content: str | None = "content",
@@ -110,7 +97,7 @@ def exact_duplicates(
         items = reused(fingerprint_items(items, content))
     else:
         items = min_size_filter(items, min_kib)
-    return duplicate_members(items, duplicate_groups(items), hot_rows=hot_rows)
+    return duplicate_members(items, hot_rows=hot_rows)
 
 
 def drop_single_container_groups(members: DataFrame, key: str = "hash",
@@ -136,7 +123,7 @@ def hardlink_groups(items: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFram
     keyed = items.where(F.col("inode").isNotNull()).withColumn(
         "link", F.concat_ws(":", "inode", "size")
     )
-    return duplicate_members(keyed, duplicate_groups(keyed, "link"), "link", hot_rows)
+    return duplicate_members(keyed, "link", hot_rows)
 
 
 def hardlink_representatives(items: DataFrame) -> DataFrame:

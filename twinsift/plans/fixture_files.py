@@ -65,7 +65,8 @@ def _pack(t: Tables, write: Callable[[io.BytesIO, list[tuple[str, bytes]]], None
             yield pd.DataFrame({"path": frame["path"], "content": contents})
 
     path = F.concat(F.lit("/data/"), F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".zip"))
-    return t.table("documents").select(path.alias("path"), "text").mapInPandas(run, _CONTAINERS)
+    documents = t.table("documents").select(path.alias("path"), "text").repartition("path")
+    return documents.mapInPandas(run, _CONTAINERS)
 
 
 def _write_zip(buffer: io.BytesIO, lines: list[tuple[str, bytes]]) -> None:

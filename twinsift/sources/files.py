@@ -15,7 +15,7 @@ from ..functions import file_name
 from ..operators import skew
 from ..operators.durable import durable, reused
 from ..operators.exact import (
-    duplicate_groups, duplicate_members, hardlink_representatives, min_size_filter, repeated, size_candidates,
+    duplicate_members, hardlink_representatives, min_size_filter, repeated, size_candidates,
 )
 from ..operators.filters import JUNK_NAMES, ExcludeRules, is_junk
 
@@ -161,4 +161,4 @@ def exact_duplicate_files(
         files = repeated(reused(hash_files(files, "_tail", "tail", head_kib)), ["size", "_head", "_tail"])
         files = files.drop("_head", "_tail")
     hashed = reused(hash_files(files))
-    return duplicate_members(hashed, duplicate_groups(hashed), hot_rows=hot_rows)
+    return duplicate_members(hashed, hot_rows=hot_rows)
