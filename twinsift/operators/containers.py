@@ -299,11 +299,16 @@ def container_groups(entries: DataFrame, min_overlap: int = 2, heavy_entry: int
         .groupBy("id").agg(F.max("common").alias("best"))
     )
     # Copies of one content are a group even when nothing else overlaps with it.
-    named = strongest.join(parts, "id", "left").join(found.classes, "id").select(
-        "container", "best", F.coalesce("component", "id").alias("part"), "total"
+    labelled = strongest.join(parts, "id", "left").join(found.kinds.select("id", "copies"), "id").select(
+        "id", "best", F.coalesce("component", "id").alias("part"), "copies"
+    )
+    named = durable(
+        skew.join_to_groups(found.classes.select("container", "id", "total"), labelled, "id", "copies", "container")
+    )
+    roots = named.groupBy("part").agg(F.min("container").alias("root"), F.count("*").alias("_n"))
+    placed = durable(
+        skew.join_to_groups(named, roots, "part", "_n", "container").select("container", "root", "best", "total")
     )
-    roots = named.groupBy("part").agg(F.min("container").alias("root"))
-    placed = durable(named.join(roots, "part").select("container", "root", "best", "total"))
     if sizes is None:
         placed = placed.withColumn("size", F.lit(0).cast("bigint"))
     else:
@@ -360,11 +365,11 @@ def container_pair_rollup(members: DataFrame, key: str = "hash",
     Groups that also have a plain item are left out: their copy to keep is a
     file, and they are reported as ordinary groups.
     """
-    entries = members.where(is_entry(F.col("path"))).select(
-        container_of(F.col("path")).alias("container"), F.col(key).alias("hash")
-    )
-    with_file = members.where(~is_entry(F.col("path"))).select(F.col(key).alias("hash")).distinct()
-    inner = entries.join(with_file, "hash", "left_anti")
+    only_entries = members.groupBy(F.col(key).alias("hash")).agg(
+        F.count("*").alias("_n"), F.bool_and(is_entry(F.col("path"))).alias("_inside")
+    ).where("_inside").select("hash", "_n")
+    entries = members.select(container_of(F.col("path")).alias("container"), F.col(key).alias("hash"))
+    inner = skew.join_to_groups(entries, only_entries, "hash", "_n", "container")
     return container_overlap(inner, 1, heavy_entry).select(
         "container_a", "container_b", F.col("common").alias("shared")
     )

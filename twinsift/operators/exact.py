@@ -23,14 +23,17 @@ def min_size_filter(items: DataFrame, min_kib: int = 0) -> DataFrame:
     return items.where(F.col("size") >= min_kib * 1024)
 
 
-def repeated(items: DataFrame, keys: list[str]) -> DataFrame:
+def repeated(items: DataFrame, keys: list[str], hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Items whose key values occur more than once.
 
     The count is a hash aggregate with map-side partials over the key columns
-    only, so a frequent key never has its rows gathered in one place.
+    only; a frequent key is divided when it is joined back.
     """
-    counts = items.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    return items.join(counts, keys, "left_semi")
+    key = F.struct(*keys)
+    counts = items.groupBy(key.alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    return skew.join_to_groups(
+        items.withColumn("_key", key), counts, "_key", "_n", "path", hot_rows
+    ).drop("_key", "_n")
 
 
 def size_candidates(items: DataFrame) -> DataFrame:
@@ -138,5 +141,5 @@ def hardlink_representatives(items: DataFrame) -> DataFrame:
 
 def skip_known_duplicates(items: DataFrame, members: DataFrame) -> DataFrame:
     """Items that are not a second or later member of an exact group."""
-    known = members.where(~F.col("keep")).select("path").distinct()
+    known = members.where(~F.col("keep")).select("path")
     return items.join(known, "path", "left_anti")

@@ -171,7 +171,9 @@ def near_pairs(
             once = F.when(F.shiftright(bucket, BAND_BITS) == index, _counts_here(a, b, sub, rest)).otherwise(once)
         matched = matched & (F.col("l.sub") == F.col("r.sub")) & ((sub == -1) | once)
 
-    pairs = left.alias("l").join(right.alias("r"), matched)
+    # Sizes are estimated before the keys are multiplied, so the exploded side
+    # would look small enough to broadcast when it is not: ask for a merge.
+    pairs = left.alias("l").join(right.alias("r").hint("merge"), matched)
     picked = [F.col(f"{s}.{c}").alias(f"{c}_{t}") for c in kept for s, t in (("l", "a"), ("r", "b"))]
     return pairs.select(*picked, hamming(a, b).cast("bigint").alias("dist"))
 

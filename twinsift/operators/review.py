@@ -187,7 +187,7 @@ def deletion_total(plan: DataFrame) -> DataFrame:
 def apply_deletions(members: DataFrame, deleted: DataFrame, keys: Sequence[str] = ("tab", "group_id"),
                     hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Remove deleted paths from all result tables; keep groups with two or more left."""
-    left = members.join(deleted.select("path").distinct(), "path", "left_anti")
+    left = members.join(deleted.select("path"), "path", "left_anti")
     group = F.concat_ws("\u0001", *keys)
     counted = left.withColumn("_group", group)
     groups = counted.groupBy("_group").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
@@ -200,7 +200,7 @@ def _on_disk(path: Column) -> Column:
 
 def drop_missing(members: DataFrame, inventory: DataFrame) -> DataFrame:
     """Members whose file (or container) is still in the inventory."""
-    present = inventory.select(F.col("path").alias("_disk")).distinct()
+    present = inventory.select(F.col("path").alias("_disk"))
     return members.withColumn("_disk", _on_disk(F.col("path"))).join(
         present, "_disk", "left_semi"
     ).drop("_disk")
@@ -208,7 +208,7 @@ def drop_missing(members: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def missing_paths(members: DataFrame, inventory: DataFrame) -> DataFrame:
     """Distinct member paths whose file (or container) is gone."""
-    present = inventory.select(F.col("path").alias("_disk")).distinct()
+    present = inventory.select(F.col("path").alias("_disk"))
     return members.select("path").distinct().withColumn("_disk", _on_disk(F.col("path"))).join(
         present, "_disk", "left_anti"
     ).drop("_disk")

@@ -59,9 +59,10 @@ def spread_self_join(left: DataFrame, right: DataFrame, key: str, spread_by: str
 
     ``parts`` is the number of parts of the row's key and must be the same
     expression value on both sides. The left row goes to one part, the right
-    row to all of them, so every combination meets exactly once.
+    row to all of them, so every combination meets exactly once. The repeated
+    side is never broadcast, as its size is not what estimates say.
     """
     one = left.withColumn("_part", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
     every = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
     same = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l._part") == F.col("r._part"))
-    return one.alias("l").join(every.alias("r"), same & condition, "inner")
+    return one.alias("l").join(every.alias("r").hint("merge"), same & condition, "inner")
