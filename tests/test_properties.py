@@ -158,15 +158,15 @@ def test_container_groups(spark):
 
 
 @pytest.mark.parametrize("measure", ["mean_min", "aligned"])
-@pytest.mark.parametrize("hot_rows", [skew.HOT_ROWS, 64])
-def test_sequences(spark, measure, hot_rows):
+@pytest.mark.parametrize("hot_rows, hot_frame", [(skew.HOT_ROWS, 1000), (64, 12)])
+def test_sequences(spark, measure, hot_rows, hot_frame):
     rnd = random.Random(11)
     base = [[rnd.getrandbits(64) for _ in range(4)] for _ in range(12)]
     rows, n = [], 0
     for frames in base:
         for flips in (0, 0, 1, 4, 12):
             noisy = [f ^ sum(1 << b for b in rnd.sample(range(64), flips)) for f in frames]
-            noisy = noisy[: rnd.choice([3, 4])] + ([0] if n % 2 else [])
+            noisy = noisy[: rnd.choice([3, 4])] + [0, 1, 3][: rnd.choice([0, 0, 1, 1, 3])]
             rows.append((n, [signed(f) for f in noisy]))
             n += 1
     rows.append((n, []))
@@ -189,7 +189,8 @@ def test_sequences(spark, measure, hot_rows):
     for (a, _), d in edges.items():
         far[root[a]] = max(far[root[a]], d)
     want = {(i, root[i], "exact" if far[root[i]] <= 3 else "similar") for i, _ in shown if size[root[i]] > 1}
-    got = {(r.id, r.root, r.category) for r in op.similar_sequences(frame, measure=measure, hot_rows=hot_rows).collect()}
+    got = {(r.id, r.root, r.category) for r in op.similar_sequences(
+        frame, measure=measure, hot_rows=hot_rows, hot_frame=hot_frame).collect()}
     assert got == want
 
 

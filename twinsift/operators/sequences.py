@@ -13,7 +13,10 @@ from ..functions import aligned_distance, mean_min_distance
 from . import skew
 from .components import connected_components
 from .durable import durable
-from .hamming import HOT_BUCKET, near_pairs
+from .hamming import HOT_BUCKET, MAX_THRESHOLD, near_pairs
+
+HOT_FRAME = 1_000       # frames shown more often are not used to find candidates
+HOT_SLACK = 1.5         # up to a third of a sequence may be hot
 
 _DISTANCES = {"mean_min": mean_min_distance, "aligned": aligned_distance}
 
@@ -26,42 +29,109 @@ def sequence_classes(sequences: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(classes: DataFrame, threshold: float, hot_bucket: int, hot_rows: int) -> DataFrame:
-    """(a, b): sequences with a frame of one within the threshold of a frame of the other.
+def _meet(left: DataFrame, touching: DataFrame, right: DataFrame, kinds: DataFrame, hot_rows: int) -> DataFrame:
+    """(a, b) for every frame of ``left`` that touches a frame of ``right``.
 
-    Both distances are means, so a pair within the threshold has at least one
-    pair of frames within it: nothing is missed. Equal frames are compared
-    once, however many sequences show them.
+    A frame many sequences show is divided over tasks.
     """
-    shown = durable(
-        classes.select("rep", F.explode(F.array_distinct("frames")).alias("h"))
-    )
-    kinds = durable(shown.groupBy("h").agg(F.count("*").alias("in_")))
-    near = near_pairs(kinds, math.floor(threshold), ["h"], hot_bucket, both_ways=True).select("h_a", "h_b")
-    touching = near.unionByName(kinds.where("in_ > 1").select(F.col("h").alias("h_a"), F.col("h").alias("h_b")))
-    weights = kinds.select(F.col("h").alias("h_a"), F.col("in_").alias("_rows"))
-    left = shown.select(F.col("rep").alias("a"), F.col("h").alias("h_a"))
-    right = shown.select(F.col("rep").alias("b"), F.col("h").alias("h_b"))
-    # A frame many sequences show (black, title card) is divided over tasks.
-    parts = F.least(F.lit(skew.SALTS), F.ceil(F.col("_rows") / F.lit(max(hot_rows // skew.SALTS, 1)))).cast("int")
-    divided = touching.join(weights, "h_a").withColumn("_parts", F.greatest(parts, F.lit(1)))
-    first = left.join(weights, "h_a").withColumn("_parts", F.greatest(parts, F.lit(1))).withColumn(
+    parts = F.least(F.lit(skew.SALTS), F.ceil(F.col("in_") / F.lit(max(hot_rows // skew.SALTS, 1))))
+    weights = kinds.select(F.col("h").alias("h_a"), F.greatest(parts, F.lit(1)).cast("int").alias("_parts"))
+    one = left.select(F.col("rep").alias("a"), F.col("h").alias("h_a")).join(weights, "h_a").withColumn(
         "_part", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int")
-    ).drop("_rows", "_parts")
-    spread = divided.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_rows", "_parts")
-    return (
-        right.join(spread, "h_b").join(first, ["h_a", "_part"])
-        .where("a < b").select("a", "b").distinct()
+    ).drop("_parts")
+    every = touching.select("h_a", "h_b").join(weights, "h_a").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    ).drop("_parts")
+    other = right.select(F.col("rep").alias("b"), F.col("h").alias("h_b"))
+    return other.join(every, "h_b").join(one, ["h_a", "_part"]).select("a", "b")
+
+
+def _touching(kinds: DataFrame, threshold: float, hot_bucket: int, of: str | None = None) -> DataFrame:
+    """(h_a, h_b, dist): frames within the threshold, equal ones included.
+
+    ``of`` names a flag: only frames that have it are looked at from.
+    """
+    columns = ["h"] if of is None else ["h", of]
+    near = near_pairs(
+        kinds, math.floor(threshold), columns, hot_bucket, both_ways=True,
+        condition=None if of is None else F.col(f"l.{of}"),
+    ).select("h_a", "h_b", "dist")
+    same = kinds if of is None else kinds.where(of)
+    return near.unionByName(same.select(
+        F.col("h").alias("h_a"), F.col("h").alias("h_b"), F.lit(0).cast("bigint").alias("dist")
+    ))
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _candidates(classes: DataFrame, threshold: float, hot_bucket: int, hot_rows: int, hot_frame: int) -> DataFrame:
+    """(a, b): all pairs that can be within the threshold, and not many more.
+
+    Both distances are means over the frames of one sequence (for the aligned
+    one, the shorter), so a pair within the threshold has a pair of frames
+    within it. Equal frames are compared once, however many sequences show
+    them.
+    """
+    shown = durable(classes.select("rep", F.explode(F.array_distinct("frames")).alias("h")))
+    kinds = durable(shown.groupBy("h").agg(F.count("*").alias("in_")))
+    if kinds.where(F.col("in_") > hot_frame).isEmpty():
+        return _unordered(_meet(shown, _touching(kinds, threshold, hot_bucket), shown, kinds, hot_rows))
+    return _candidates_beside_hot(classes, shown, kinds, threshold, hot_bucket, hot_rows, hot_frame)
+
+
+def _candidates_beside_hot(classes: DataFrame, shown: DataFrame, kinds: DataFrame, threshold: float,
+                           hot_bucket: int, hot_rows: int, hot_frame: int) -> DataFrame:
+    """Candidates when some frames (black, title cards) are shown by very many sequences.
+
+    A frame is hot when it and the frames around it are shown more than
+    ``hot_frame`` times. A sequence with n frames, r of them not hot, that is
+    within the threshold t of another has one of these r within t * n / r of a
+    frame of the other: the r distances sum to t * n at most. So sequences that
+    are at least two thirds not hot are looked up by those frames alone, with
+    their own limit. The others are looked up by all their frames.
+    """
+    slack = min(HOT_SLACK, MAX_THRESHOLD / max(threshold, 1.0))
+    widest = threshold * slack
+    around = near_pairs(kinds, math.floor(widest), ["in_"], hot_bucket, both_ways=True).groupBy(
+        F.col("h_a").alias("h")
+    ).agg(F.sum("in__b").alias("_near"))
+    cold = durable(kinds.join(around, "h", "left").select(
+        "h", "in_", (F.col("in_") + F.coalesce("_near", F.lit(0)) <= hot_frame).alias("cold")
+    ))
+    positions = classes.select("rep", F.explode("frames").alias("h")).join(cold.select("h", "cold"), "h")
+    limits = durable(positions.groupBy("rep").agg(
+        F.count("*").alias("n"), F.count_if("cold").alias("r")
+    ).select("rep", F.when(
+        # The small addition guards whole limits against a quotient just below.
+        F.col("n") <= F.col("r") * F.lit(slack), F.floor(F.col("n") * F.lit(threshold) / F.col("r") + 1e-9)
+    ).alias("limit")))
+    flagged = shown.join(limits, "rep").join(cold.select("h", "cold"), "h")
+    strong = flagged.where("limit IS NOT NULL AND cold")
+    weak = durable(flagged.where("limit IS NULL").select("rep", "h"))
+    by_cold = (
+        strong.select(F.col("rep").alias("a"), F.col("h").alias("h_a"), "limit")
+        .join(_touching(cold, widest, hot_bucket, of="cold"), "h_a").where(F.col("dist") <= F.col("limit"))
+        .join(shown.select(F.col("rep").alias("b"), F.col("h").alias("h_b")), "h_b")
+        .select("a", "b")
     )
+    if weak.isEmpty():
+        return _unordered(by_cold)
+    in_weak = weak.select("h").distinct().withColumn("weak", F.lit(True))
+    marked = durable(kinds.join(in_weak, "h", "left").select("h", "in_", F.coalesce("weak", F.lit(False)).alias("weak")))
+    by_all = _meet(weak, _touching(marked, threshold, hot_bucket, of="weak"), shown, kinds, hot_rows)
+    return _unordered(by_cold.unionByName(by_all))
 
 
-def _class_pairs(classes: DataFrame, threshold: float, measure: str, hot_bucket: int, hot_rows: int) -> DataFrame:
+def _class_pairs(classes: DataFrame, threshold: float, measure: str, hot_bucket: int, hot_rows: int,
+                 hot_frame: int) -> DataFrame:
     """(a, b, dist) over class representatives, a < b, dist <= threshold."""
     distance = _DISTANCES[measure]
     arrays_a = classes.select(F.col("rep").alias("a"), F.col("frames").alias("_fa"))
     arrays_b = classes.select(F.col("rep").alias("b"), F.col("frames").alias("_fb"))
     return (
-        _candidates(classes, threshold, hot_bucket, hot_rows)
+        _candidates(classes, threshold, hot_bucket, hot_rows, hot_frame)
         .join(arrays_a, "a").join(arrays_b, "b")
         .select("a", "b", distance(F.col("_fa"), F.col("_fb")).alias("dist"))
         .where(F.col("dist") <= threshold)
@@ -74,6 +144,7 @@ def sequence_similarity_join(
     measure: str = "mean_min",
     hot_bucket: int = HOT_BUCKET,
     hot_rows: int = skew.HOT_ROWS,
+    hot_frame: int = HOT_FRAME,
 ) -> DataFrame:
     """Pairs of different sequences within the threshold.
 
@@ -81,7 +152,7 @@ def sequence_similarity_join(
     have its exact frames; see ``sequence_classes`` for who they are.
     """
     classes = durable(sequence_classes(sequences))
-    pairs = _class_pairs(classes, threshold, measure, hot_bucket, hot_rows)
+    pairs = _class_pairs(classes, threshold, measure, hot_bucket, hot_rows, hot_frame)
     a = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"))
     b = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"))
     return pairs.join(a, "a").join(b, "b").select(
@@ -117,6 +188,7 @@ def similar_sequences(
     measure: str = "mean_min",
     hot_bucket: int = HOT_BUCKET,
     hot_rows: int = skew.HOT_ROWS,
+    hot_frame: int = HOT_FRAME,
 ) -> DataFrame:
     """Items with ``root``, ``category`` and ``frame_count``; one grouping.
 
@@ -124,7 +196,7 @@ def similar_sequences(
     ``exact``.
     """
     classes = durable(sequence_classes(sequences))
-    pairs = durable(_class_pairs(classes, similar, measure, hot_bucket, hot_rows))
+    pairs = durable(_class_pairs(classes, similar, measure, hot_bucket, hot_rows, hot_frame))
     parts = durable(_grouped(classes, pairs, similar))
     groups = (
         parts.groupBy("root").agg(F.sum("n").alias("members"), F.max("far").alias("_far"))
@@ -142,10 +214,11 @@ def similar_sequences_two_level(
     measure: str = "mean_min",
     hot_bucket: int = HOT_BUCKET,
     hot_rows: int = skew.HOT_ROWS,
+    hot_frame: int = HOT_FRAME,
 ) -> DataFrame:
     """Exact groups, and similar groups that have no member in an exact one."""
     classes = durable(sequence_classes(sequences))
-    pairs = durable(_class_pairs(classes, max(exact, similar), measure, hot_bucket, hot_rows))
+    pairs = durable(_class_pairs(classes, max(exact, similar), measure, hot_bucket, hot_rows, hot_frame))
     near = durable(_grouped(classes, pairs, exact))
     exact_groups = near.groupBy("root").agg(F.sum("n").alias("members")).where("members > 1")
     exact_parts = skew.join_to_groups(near.drop("far"), exact_groups, "root", "members", "rep", hot_rows)
