@@ -93,7 +93,7 @@ def _candidates_beside_hot(classes: DataFrame, shown: DataFrame, kinds: DataFram
     their own limit. The others are looked up by all their frames.
     """
     slack = min(HOT_SLACK, MAX_THRESHOLD / max(threshold, 1.0))
-    widest = threshold * slack
+    widest = threshold * slack + 1e-9
     around = near_pairs(kinds, math.floor(widest), ["in_"], hot_bucket, both_ways=True).groupBy(
         F.col("h_a").alias("h")
     ).agg(F.sum("in__b").alias("_near"))
