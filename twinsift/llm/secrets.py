@@ -1,0 +1,136 @@
+"""Secret scans with linking of credentials that come in several parts.
+
+Strong patterns are reported where they stand. Weak ones, which clean texts
+have as well, are candidates: account identifiers, opaque values, endpoints.
+They are reported only where complementary parts start in one scope, a
+distance in characters.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import text_of
+
+# The base patterns, and by which group of what least length a match counts.
+ASSIGN = (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6)
+ACCESS = (r"AKIA[A-Z0-9]+", 0, 20)
+HEX = (r"[0-9a-f]{24,}", 0, 24)
+# Weak candidates: identifier of an account, opaque value, endpoint.
+IDENTIFIER = (r"""\b(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 1, 3)
+OPAQUE = (r"\b(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}", 0, 20)
+ENDPOINT = (r"\b(?:https?|postgres(?:ql)?|mysql|redis|mongodb|amqp|s3|ftp)://[^\x20\x09-\x0D\"'<>]+", 0, 8)
+
+KINDS = ["assign", "access", "hex", "identifier", "opaque", "endpoint"]
+_PATTERNS = [ASSIGN, ACCESS, HEX, IDENTIFIER, OPAQUE, ENDPOINT]
+#: Which other kinds make a weak kind a finding: an identifier or endpoint with
+#: a secret value beside it, a value with the identifier it belongs to or with
+#: an endpoint to use it at.
+COMPLEMENTS = {
+    "identifier": ["assign", "hex", "opaque"], "opaque": ["access", "identifier", "endpoint"],
+    "endpoint": ["assign", "access", "opaque"],
+}
+_SPANS = "array<struct<start:int,kind_no:int,end:int>>"
+
+
+def pattern_spans(text: Column, matches: Column, pattern: str, group: int, least: int, kind_no: int) -> Column:
+    """Code-point spans of the matches, leftmost and non-overlapping.
+
+    ``matches`` are the whole matches; what stands between them comes from
+    splitting at the same pattern, and running lengths give the positions.
+    Matches whose group is shorter than ``least`` are dropped at the end.
+    """
+    none = F.array().cast(_SPANS)
+    gaps = F.split(text, pattern, -1)
+    walked = F.aggregate(
+        F.sequence(F.lit(0), F.size(matches) - 1),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda s, i: F.struct(
+            (s["at"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).alias("at"),
+            F.when(
+                F.length(F.regexp_extract(F.get(matches, i), pattern, group)) >= least,
+                F.concat(s["out"], F.array(F.struct(
+                    (s["at"] + F.length(F.get(gaps, i))).alias("start"), F.lit(kind_no).alias("kind_no"),
+                    (s["at"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).alias("end")))),
+            ).otherwise(s["out"]).alias("out")),
+        lambda s: s["out"])
+    return F.when(F.size(matches) > 0, walked).otherwise(none)
+
+
+def _linked(spans: Column, scope: int) -> Column:
+    """Drop weak spans without a complementary part that starts within ``scope`` characters.
+
+    Spans are sorted by their start. Those of one kind do not overlap and have
+    eight characters at least, so at most ``near`` starts lie within reach on
+    either side: the interval join looks at that many neighbours and misses
+    nothing, and takes time in proportion to the spans.
+    """
+    near = len(KINDS) * (scope // 8 + 2)
+
+    def stays(p: Column, i: Column) -> Column:
+        beside = F.slice(spans, F.greatest(i - near + 1, F.lit(1)), 2 * near + 1)
+
+        def completes(kinds: Sequence[str]) -> Column:
+            numbers = [KINDS.index(k) for k in kinds]
+            return F.exists(beside, lambda q: q["kind_no"].isin(numbers) & (
+                F.abs(q["start"] - p["start"]) <= scope))
+
+        weak = F.lit(True)
+        for kind, others in COMPLEMENTS.items():
+            weak = F.when(p["kind_no"] == KINDS.index(kind), completes(others)).otherwise(weak)
+        return weak
+
+    return F.filter(spans, stays)
+
+
+def secret_spans(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", scope: int = 160) -> DataFrame:
+    """The ``keep`` columns of every row and ``found``: array of (start, kind_no, end).
+
+    Positions are code points, end exclusive; ``KINDS[kind_no]`` names the kind.
+    Strong kinds are always there. Weak ones are there if a complementary part
+    starts at most ``scope`` characters before or after their start. A weak span equal to or inside a
+    strong one is the strong one's part and not reported again.
+
+    Null and empty texts have no spans; repeated rows are scanned each; an
+    empty table gives no rows. Columns not in ``keep`` are left out.
+    """
+    step = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), text_of(text_col).alias("_text"))
+    for k, (pattern, _, _) in enumerate(_PATTERNS):
+        step = step.withColumn(f"_m{k}", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
+    spans = [pattern_spans(F.col("_text"), F.col(f"_m{k}"), p, group, least, k)
+             for k, (p, group, least) in enumerate(_PATTERNS)]
+    step = step.select("_row", F.concat(*spans[:3]).alias("_strong"), F.concat(*spans[3:]).alias("_weak"))
+    new = F.filter("_weak", lambda w: ~F.exists("_strong", lambda s: (
+        s["start"] <= w["start"]) & (w["end"] <= s["end"])))
+    every = F.when(F.size("_weak") > 0, F.concat("_strong", new)).otherwise(F.col("_strong"))
+    step = step.withColumn("_all", F.sort_array(every))
+    return step.select("_row.*", F.when(F.size("_weak") > 0, _linked(F.col("_all"), scope)).otherwise(
+        F.col("_all")).alias("found"))
+
+
+def span_text(spans: Column) -> Column:
+    """``kind:start:end`` of each span, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", F.get(names, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redact(docs: DataFrame, text_col: str = "text", scope: int = 160, mark: str = "[SECRET]") -> DataFrame:
+    """Rows with ``mark`` in place of each found span; other columns pass through.
+
+    Overlapping spans are covered by one mark. A null text stays null.
+    """
+    names = docs.columns
+    found = secret_spans(docs, names, text_col, scope)
+    text = F.col(text_col)
+    pieces = F.aggregate(
+        "found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda s, p: F.struct(
+            F.greatest(s["at"], p["end"]).alias("at"),
+            F.when(p["start"] >= s["at"], F.concat(
+                s["out"], F.substr(text, s["at"] + 1, p["start"] - s["at"]), F.lit(mark)),
+            ).otherwise(s["out"]).alias("out")),
+        lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    return found.withColumn(text_col, F.when(F.size("found") > 0, pieces).otherwise(text)).select(*names)
