@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from twinsift.llm import chat, mixing, quality, secrets, urls
+from twinsift.llm import chat, credentials, mixing, quality, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -170,7 +170,7 @@ def test_secrets(which, spark, small_docs, odd_docs):
     made = ["token=token:abcdef api_key = 'aaaaaa'", "😀 PASSWORD:'12345' Passwd=1234567 secrettoken: x.y-z_=", "ab" * 12 + "g" + "0" * 23,
             "AKIA" + "AKIA" + "X" * 9 + " AKIA" + "Z" * 16, "token=a token=abcdefg" * 50, "tokeN\"  =   \"qwertyui"]
     docs = {"small": small_docs, "odd": odd_docs}.get(which) or spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
-    out = secrets.secret_spans(docs).collect()
+    out = credentials.secret_spans(docs).collect()
     got = Counter((r.doc_id, tuple((s.start, s.kind_no, s.end) for s in r.found if s.kind_no < 3)) for r in out)
     assert got == Counter((r.doc_id, tuple(base_spans(r.text))) for r in docs.collect())
     if which != "small":
@@ -181,18 +181,18 @@ def test_linking(spark):
     value = "Ab1" + "xYz09" * 5
     texts = [f"login: admin42 uses {value}", f"nothing but {value} here", "login: admin42 alone", f"login: admin42 {'far ' * 60}{value}",
              f"https://db.example.net/x {value}", f"token={value} at https://db.example.net/x", "see https://www.example.org/"]
-    out = {r.doc_id: [secrets.KINDS[s.kind_no] for s in r.found] for r in secrets.secret_spans(
+    out = {r.doc_id: [credentials.KINDS[s.kind_no] for s in r.found] for r in credentials.secret_spans(
         spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert out == {0: ["identifier", "opaque"], 1: [], 2: [], 3: [], 4: ["endpoint", "opaque"], 5: ["assign", "endpoint"], 6: []}
 
 
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a password=abcdef b"), (2, None), (3, "clean")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {1: "a [SECRET] b", 2: None, 3: "clean"}
+    assert {r.doc_id: r.text for r in credentials.redact(docs).collect()} == {1: "a [SECRET] b", 2: None, 3: "clean"}
 
 
 def test_secrets_nothing(no_docs):
-    assert secrets.secret_spans(no_docs).count() == 0
+    assert credentials.secret_spans(no_docs).count() == 0
 
 
 # -- URLs --------------------------------------------------------------------

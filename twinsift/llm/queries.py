@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, quality, secrets, urls
+from . import chat, credentials, mixing, quality, simhash, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +30,7 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of each document: strong patterns and linked weak parts."""
-    found = secrets.secret_spans(table(spark, folder, "documents"))
+    found = credentials.secret_spans(table(spark, folder, "documents"))
     base = F.filter("found", lambda s: s["kind_no"] < 3)
 
     def count(kind_no: int) -> Column:
@@ -38,7 +38,7 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        _sha(secrets.span_text(base)).alias("base_sha256"), secrets.span_text(F.col("found")).alias("spans"))
+        _sha(credentials.span_text(base)).alias("base_sha256"), credentials.span_text(F.col("found")).alias("spans"))
 
 
 @query
@@ -68,3 +68,11 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, rule and verdict of each page."""
     return urls.filter_urls(table(spark, folder, "pages"))
+
+
+@query
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of each document and the smallest id it is linked to."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    digits = F.lpad(F.lower(F.hex(F.get("code", F.lit(0)))), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
