@@ -138,6 +138,7 @@ def mix_sources(
     placed = durable(
         sized.join(sources, "_s")
         .withColumn("_shard", F.pmod(F.xxhash64("_key"), F.col("_shards")))
+        .repartition("_s", "_shard")    # the join leaves a whole source together
         .withColumn("_end", F.sum("size").over(
             Window.partitionBy("_s", "_shard").orderBy("_key", "_id", "size")
             .rowsBetween(Window.unboundedPreceding, 0)))

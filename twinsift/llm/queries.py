@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, credentials, mixing, quality, simhash, urls
+from . import chat, credentials, mixing, quality, simhash, tiling, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,17 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     digits = F.lpad(F.lower(F.hex(F.get("code", F.lit(0)))), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that contain benchmark items, reordered or not."""
+    return tiling.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability that each document is toxic; every fifth id is held out."""
+    return toxicity.toxicity(
+        table(spark, folder, "documents"), table(spark, folder, "labels"),
+        lambda i: F.crc32(i.cast("string").cast("binary")) % 5 != 0)
