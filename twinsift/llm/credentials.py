@@ -35,15 +35,15 @@ COMPLEMENTS = {
 _SPANS = "array<struct<start:int,kind_no:int,end:int>>"
 
 
-def pattern_spans(text: Column, matches: Column, pattern: str, group: int, least: int, kind_no: int) -> Column:
+def pattern_spans(matches: Column, gaps: Column, pattern: str, group: int, least: int, kind_no: int) -> Column:
     """Code-point spans of the matches, leftmost and non-overlapping.
 
-    ``matches`` are the whole matches; what stands between them comes from
-    splitting at the same pattern, and running lengths give the positions.
+    ``matches`` are the whole matches, ``gaps`` what stands between them, from
+    splitting at the same pattern; running lengths give the positions. Both
+    have to be columns, not expressions, which would be computed per match.
     Matches whose group is shorter than ``least`` are dropped at the end.
     """
     none = F.array().cast(_SPANS)
-    gaps = F.split(text, pattern, -1)
     walked = F.aggregate(
         F.sequence(F.lit(0), F.size(matches) - 1),
         F.struct(F.lit(0).alias("at"), none.alias("out")),
@@ -99,7 +99,9 @@ def secret_spans(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: s
     step = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), text_of(text_col).alias("_text"))
     for k, (pattern, _, _) in enumerate(_PATTERNS):
         step = step.withColumn(f"_m{k}", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
-    spans = [pattern_spans(F.col("_text"), F.col(f"_m{k}"), p, group, least, k)
+    for k, (pattern, _, _) in enumerate(_PATTERNS):
+        step = step.withColumn(f"_g{k}", F.when(F.size(f"_m{k}") > 0, F.split("_text", pattern, -1)))
+    spans = [pattern_spans(F.col(f"_m{k}"), F.col(f"_g{k}"), p, group, least, k)
              for k, (p, group, least) in enumerate(_PATTERNS)]
     step = step.select("_row", F.concat(*spans[:3]).alias("_strong"), F.concat(*spans[3:]).alias("_weak"))
     new = F.filter("_weak", lambda w: ~F.exists("_strong", lambda s: (

@@ -21,11 +21,11 @@ from .common import durable, lower_az, text_of, word_list
 WINDOWS = (1, 4, 32)
 
 
-def _pairs(text: Column) -> Column:
-    """(word before, word) of each word, ASCII-lower-cased; the first has "" before it."""
-    words = word_list(lower_az(text))
-    return F.transform(words, lambda w, i: F.struct(
-        F.coalesce(F.get(words, i - 1), F.lit("")).alias("v"), w.alias("w")))
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(toxic, v, w): each word, ASCII-lower-cased, and the one before, "" for the first."""
+    words = rows.select("toxic", word_list(lower_az(F.col("_text"))).alias("_words"))
+    return words.select("toxic", F.inline(F.transform("_words", lambda w, i: F.struct(
+        F.coalesce(F.get("_words", i - 1), F.lit("")).alias("v"), w.alias("w")))))
 
 
 def class_models(rows: DataFrame, least: int, discount: float, most: int) -> tuple[list, list]:
@@ -35,7 +35,7 @@ def class_models(rows: DataFrame, least: int, discount: float, most: int) -> tup
     ``least`` times in both classes together, the ``most`` frequent ones of
     each order. A class without texts leaves nothing to compare.
     """
-    seen = rows.select("toxic", F.explode(_pairs(F.col("_text"))).alias("p")).groupBy("p.v", "p.w").agg(
+    seen = _pairs(rows).groupBy("v", "w").agg(
         F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") == 0, 1)).alias("o"))
     bigrams = durable(seen)
     words = durable(bigrams.groupBy("w").agg(
