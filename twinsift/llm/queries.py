@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, credentials, mixing, quality, simhash, tiling, toxicity, urls
+from . import chat, credentials, mixing, quality, simhash, suffixes, tiling, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(
         table(spark, folder, "documents"), table(spark, folder, "labels"),
         lambda i: F.crc32(i.cast("string").cast("binary")) % 5 != 0)
+
+
+@query
+def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of each document without strings of 50 bytes that an earlier one has."""
+    return suffixes.remove_repeats(table(spark, folder, "documents"))
