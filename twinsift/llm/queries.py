@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, credentials, mixing, quality, simhash, suffixes, tiling, toxicity, urls
+from . import chat, credentials, language_model, mixing, quality, simhash, suffixes, tiling, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,10 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     """What stays of each document without strings of 50 bytes that an earlier one has."""
     return suffixes.remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Model and base log-probability of each document; every seventh id is held out."""
+    return language_model.score_texts(
+        table(spark, folder, "documents"), lambda i: F.crc32(i.cast("string").cast("binary")) % 7 == 2)
