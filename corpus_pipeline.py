@@ -6,35 +6,65 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinsift.llm import mixing, quality
+from twinsift.llm import credentials, mixing, quality, simhash, tiling
 from twinsift.llm.common import new_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: SQL has neither the hashes of the near-duplicate stage nor tiling.
 ORACLE_SQL = None
 
 
-def _keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text) is among ``verdicts`` (doc_id, fp)."""
-    key = F.xxhash64("text", "lang")
-    marked = docs.select(*COLUMNS).withColumn("_fp", key)
-    return marked.join(
-        verdicts, marked["doc_id"].eqNullSafe(verdicts["doc_id"]) & (marked["_fp"] == verdicts["fp"]), "left_semi",
-    ).select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key that only equal rows share: the id, and a hash of the rest."""
+    rest = F.hex(F.xxhash64("text", "lang", "source"))
+    return docs.select(*COLUMNS, F.concat_ws(":", F.col("doc_id").cast("string"), rest).alias("_k"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    judged = quality.quality_rules(docs.withColumn("fp", F.xxhash64("text", "lang")), ["doc_id", "fp"])
-    return _keep_rows(docs, judged.where("kept").select("doc_id", "fp"))
+    """Documents that the rules reject go; null texts count as empty and go."""
+    keyed = _keyed(docs)
+    kept = quality.quality_rules(keyed, ["_k"]).where("kept").select("_k")
+    return keyed.join(kept, "_k", "left_semi").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Near are texts whose sets of five-word shingles are similar by 0.8 or
+    more, as 256-bit fingerprints tell: 38 differing bits are the angle of
+    that similarity. Of repeated rows one stays; of a group without ids, one
+    of each text.
+    """
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(keyed, ["doc_id", "_k"], shingle=5, limit=38, words64=4, bands=32)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("code")).alias("_c")).agg(
+        F.min("_k").alias("_k")).select("_k")
+    return keyed.join(stays, "_k", "left_semi").dropDuplicates(["_k"]).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item of ``benchmark`` go."""
+    keyed = _keyed(docs)
+    found = tiling.contaminated(keyed, table(spark, sf_dir, "benchmark"), ["_k"]).select("_k").distinct()
+    return keyed.join(found, "_k", "left_anti").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, secrets in their texts are replaced by a mark."""
+    return credentials.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How much the mix takes of each document; documents it takes nothing of go."""
-    return mixing.mix_sources(docs).where("taken > 0")
+    """How many words the mix takes of each document; 0 where it takes none."""
+    return mixing.mix_sources(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("redact_secrets", redact_secrets),
     ("mix_sources", mix_sources),
 ]
 
