@@ -22,7 +22,7 @@ def _neighbour_minimum(edges: DataFrame) -> DataFrame:
 def _linked_to_minimum(edges: DataFrame, lows: DataFrame, hot_rows: int, hot: bool) -> DataFrame:
     if not hot:
         return edges.join(lows, "u")
-    return skew.join_to_groups(edges, lows, "u", "n", "v", hot_rows, settle=False)
+    return skew.join_to_groups(edges, lows, "u", "n", "v", hot_rows, settle=True)
 
 
 def _large_star(edges: DataFrame, hot_rows: int, hot: bool) -> DataFrame:
@@ -64,19 +64,19 @@ def connected_components(
     edges: DataFrame,
     src: str = "src",
     dst: str = "dst",
-    max_rounds: int = 100,
     hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """(node, component) with the smallest node of each component as its name.
 
     Nodes without an edge to another node do not appear. The driver only
-    steers the rounds: it asks whether the links have become stars.
+    steers the rounds: it asks whether the links have become stars, which every
+    round brings closer, so it goes on until they are.
     """
     a, b = F.col(src), F.col(dst)
     links = durable(
         edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
-    for _ in range(max_rounds):
+    while True:
         settled, links_of_one = _shape(links)
         if settled:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -84,4 +84,3 @@ def connected_components(
             )
         hot = links_of_one > hot_rows
         links = durable(_small_star(_large_star(links, hot_rows, hot), hot_rows, hot))
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

@@ -22,7 +22,7 @@ HEAVY_PARTS = 16        # tasks a heavy entry is divided into
 def container_entry_total(entries: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Attach the number of entries of the row's container."""
     totals = entries.groupBy("container").agg(F.count("*").alias("total"))
-    return skew.join_to_groups(entries, totals, "container", "total", "path", hot_rows)
+    return skew.join_to_groups(entries, totals, "container", "total", "path", hot_rows, settle=True)
 
 
 def min_container_entries(entries: DataFrame, least: int, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
@@ -33,7 +33,7 @@ def min_container_entries(entries: DataFrame, least: int, hot_rows: int = skew.H
         entries.where(F.col("hash").isNotNull())
         .groupBy("container").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     )
-    return skew.join_to_groups(entries, big, "container", "_n", "hash", hot_rows).drop("_n")
+    return skew.join_to_groups(entries, big, "container", "_n", "hash", hot_rows, settle=True).drop("_n")
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def _profile(entries: DataFrame) -> _Profile:
     if any_copied:
         # Only contents with several copies need their containers looked up again.
         copied = durable(
-            skew.join_to_groups(profile, several, "_key", "copies", "container").select("container", *facts)
+            skew.join_to_groups(profile, several, "_key", "copies", "container", settle=True).select("container", *facts)
         )
     return _Profile(contents, twins.select(*facts), copied, any_copied)
 
@@ -120,7 +120,7 @@ def _overlapping(found: _Profile, least: int, heavy_entry: int, weighted: bool =
         .withColumn("entry", F.monotonically_increasing_id())
     )
     known = durable(
-        skew.join_to_groups(numbered, spread, "hash", "in_", "id").select("id", "entry", "in_", "m")
+        skew.join_to_groups(numbered, spread, "hash", "in_", "id", settle=True).select("id", "entry", "in_", "m")
     )
     light = known.where(F.col("in_") <= heavy_entry)
     heavy = known.where(F.col("in_") > heavy_entry)
@@ -303,11 +303,11 @@ def container_groups(entries: DataFrame, min_overlap: int = 2, heavy_entry: int
         "id", "best", F.coalesce("component", "id").alias("part"), "copies"
     )
     named = durable(
-        skew.join_to_groups(found.classes.select("container", "id", "total"), labelled, "id", "copies", "container")
+        skew.join_to_groups(found.classes.select("container", "id", "total"), labelled, "id", "copies", "container", settle=True)
     )
     roots = named.groupBy("part").agg(F.min("container").alias("root"), F.count("*").alias("_n"))
     placed = durable(
-        skew.join_to_groups(named, roots, "part", "_n", "container").select("container", "root", "best", "total")
+        skew.join_to_groups(named, roots, "part", "_n", "container", settle=True).select("container", "root", "best", "total")
     )
     if sizes is None:
         placed = placed.withColumn("size", F.lit(0).cast("bigint"))
@@ -318,7 +318,7 @@ def container_groups(entries: DataFrame, min_overlap: int = 2, heavy_entry: int
         (F.sum("size") - F.max("size")).alias("savable"),
         F.min(F.struct((-F.col("size")).alias("_size"), F.col("container").alias("name"))).alias("_kept"),
     )
-    joined = skew.join_to_groups(placed.drop("best"), groups, "root", "n", "container")
+    joined = skew.join_to_groups(placed.drop("best"), groups, "root", "n", "container", settle=True)
     return joined.select(
         "container", "root", "n", "shared", "total", "size", "savable",
         (F.col("container") == F.col("_kept.name")).alias("keep"),
@@ -369,7 +369,7 @@ def container_pair_rollup(members: DataFrame, key: str = "hash",
         F.count("*").alias("_n"), F.bool_and(is_entry(F.col("path"))).alias("_inside")
     ).where("_inside").select("hash", "_n")
     entries = members.select(container_of(F.col("path")).alias("container"), F.col(key).alias("hash"))
-    inner = skew.join_to_groups(entries, only_entries, "hash", "_n", "container")
+    inner = skew.join_to_groups(entries, only_entries, "hash", "_n", "container", settle=True)
     return container_overlap(inner, 1, heavy_entry).select(
         "container_a", "container_b", F.col("common").alias("shared")
     )

@@ -121,19 +121,24 @@ def drop_single_container_groups(members: DataFrame, key: str = "hash",
     return skew.join_to_groups(members, kept, key, "_n", "path", hot_rows).drop("_n")
 
 
+def _link(items: DataFrame) -> list[str]:
+    return [c for c in ("device", "inode", "size") if c in items.columns]
+
+
 def hardlink_groups(items: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Items that are the same (inode, size): one is kept, none is read."""
-    keyed = items.where(F.col("inode").isNotNull()).withColumn(
-        "link", F.concat_ws(":", "inode", "size")
-    )
+    """Items that are the same (device, inode, size): one is kept, none is read.
+
+    Without a ``device`` column all items are taken to be on one device.
+    """
+    keyed = items.where(F.col("inode").isNotNull()).withColumn("link", F.concat_ws(":", *_link(items)))
     return duplicate_members(keyed, "link", hot_rows)
 
 
 def hardlink_representatives(items: DataFrame) -> DataFrame:
-    """One item per (inode, size) for hashing; items without inode all stay."""
+    """One item per (device, inode, size) for hashing; items without inode all stay."""
     columns = items.columns
     linked = items.where(F.col("inode").isNotNull())
-    one = linked.groupBy("inode", "size").agg(
+    one = linked.groupBy(*_link(items)).agg(
         F.min_by(F.struct(*columns), F.col("path")).alias("_item")
     ).select("_item.*")
     return items.where(F.col("inode").isNull()).unionByName(one)

@@ -26,7 +26,8 @@ from .durable import durable
 BANDS = 4
 BAND_BITS = 16
 BUCKETS = BANDS << BAND_BITS        # bound on the bucket table
-MAX_THRESHOLD = 35
+MAX_THRESHOLD = 35                  # above it most pairs match, and no key tells them apart
+WIDE_ROWS = 4_000                   # fingerprints of a side in one task of such a join
 HOT_BUCKET = 50_000                 # buckets with more rows are divided further
 
 
@@ -100,6 +101,30 @@ def _counts_here(a: Column, b: Column, code: Column, bands: list[_Band]) -> Colu
     return code == chosen
 
 
+def _wide_pairs(fingerprints: DataFrame, threshold: int, columns: list[str], both_ways: bool,
+                condition: Column | None) -> DataFrame:
+    """Pairs at limits that random fingerprints keep: the answer is most of all pairs.
+
+    The table is cut into parts, and every part of one side meets every part
+    of the other in a task of its own.
+    """
+    kept = list(dict.fromkeys(["h", *columns]))
+    rows = fingerprints.select(*kept)
+    n = max(1, -(-rows.count() // WIDE_ROWS))
+    part = F.pmod(F.xxhash64("h"), F.lit(n))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = rows.withColumns({"_i": part}).withColumn("_j", every)
+    right = rows.withColumns({"_j": part}).withColumn("_i", every)
+    a, b = F.col("l.h"), F.col("r.h")
+    matched = (F.col("l._i") == F.col("r._i")) & (F.col("l._j") == F.col("r._j")) & (
+        (a != b) if both_ways else (a < b)) & (hamming(a, b) <= threshold)
+    if condition is not None:
+        matched = matched & condition
+    pairs = left.alias("l").join(right.alias("r").hint("merge"), matched)
+    picked = [F.col(f"{s}.{c}").alias(f"{c}_{t}") for c in kept for s, t in (("l", "a"), ("r", "b"))]
+    return pairs.select(*picked, hamming(a, b).cast("bigint").alias("dist"))
+
+
 def near_pairs(
     fingerprints: DataFrame,
     threshold: int,
@@ -121,8 +146,10 @@ def near_pairs(
     pair. The list of such buckets is broadcast; there are at most
     4 * 65536 buckets whatever the table size.
     """
-    if not 0 <= threshold <= MAX_THRESHOLD:
-        raise ValueError(f"threshold must be between 0 and {MAX_THRESHOLD}")
+    if not 0 <= threshold <= 64:
+        raise ValueError("64-bit fingerprints differ in 0 to 64 bits")
+    if threshold > MAX_THRESHOLD:
+        return _wide_pairs(fingerprints, threshold, columns, both_ways, condition)
     bands = _plan(list(range(BANDS)), threshold)
     kept = list(dict.fromkeys(["h", *columns]))
     rows = fingerprints.select(*kept)

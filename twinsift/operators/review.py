@@ -46,28 +46,33 @@ def resolve_keepers(
     key: str = "group_id",
     mark: str = "mark",
     hot_rows: int = skew.HOT_ROWS,
+    files_only: bool = True,
 ) -> DataFrame:
     """Add ``status`` and ``remove``.
 
     ``marked``      every member carries YES or NO: those marks count
     ``ruled``       one member alone has the highest rule score: it stays
     ``unresolved``  neither: nothing is removed
+
+    Container entries have no say and are not removed, unless ``files_only``
+    is switched off.
     """
+    counts = ~is_entry(F.col("path")) if files_only else F.lit(True)
     said = F.upper(F.trim(F.coalesce(F.col(mark), F.lit(""))))
-    scored = members.withColumn("_said", said).withColumn(
+    scored = members.withColumn("_said", said).withColumn("_counts", counts).withColumn(
         "score", rule_score(F.col("path"), prefer, reject)
     )
     # Scores are few per group (one per rule combination), so this first
     # aggregate already reduces a large group to a handful of rows.
     by_score = scored.groupBy(key, "score").agg(
-        F.count("*").alias("_rows"),
-        F.min("path").alias("_path"),
-        F.bool_and(F.col("_said").isin("YES", "NO")).alias("_marked"),
+        F.count_if("_counts").alias("_rows"),
+        F.min(F.when(F.col("_counts"), F.col("path"))).alias("_path"),
+        F.bool_and(~F.col("_counts") | F.col("_said").isin("YES", "NO")).alias("_marked"),
     )
     groups = by_score.groupBy(key).agg(
         F.sum("_rows").alias("_n"),
-        F.bool_and("_marked").alias("_marked"),
-        F.max(F.struct("score", "_rows", "_path")).alias("_top"),
+        (F.bool_and("_marked") & (F.sum("_rows") > 0)).alias("_marked"),
+        F.max(F.when(F.col("_rows") > 0, F.struct("score", "_rows", "_path"))).alias("_top"),
     )
     has_rules = F.lit(bool(prefer or reject))
     status = (
@@ -82,8 +87,8 @@ def resolve_keepers(
     )
     return (
         _with_group(scored, groups, key, hot_rows)
-        .withColumn("status", status).withColumn("remove", remove)
-        .drop("_said", "_marked", "_top")
+        .withColumn("status", status).withColumn("remove", F.col("_counts") & remove)
+        .drop("_said", "_counts", "_marked", "_top")
     )
 
 
@@ -173,10 +178,21 @@ def toggle_members(members: DataFrame, toggles: DataFrame, keys: Sequence[str] =
 
 
 def deletion_plan(members: DataFrame) -> DataFrame:
-    """Paths to remove. Container entries cannot be removed on their own."""
+    """Paths to remove. Container entries cannot be removed on their own.
+
+    A path that any group keeps stays, so plans over several tabs do not undo
+    each other; of a group that keeps nothing, the first path stays.
+    """
+    group = [c for c in ("tab", "group_id") if c in members.columns]
+    stays = members.where("keep").select("path")
+    if group:
+        nothing = members.groupBy(*group).agg(
+            F.bool_or("keep").alias("_any"), F.min("path").alias("path")).where("NOT _any")
+        stays = stays.unionByName(nothing.select("path"))
     return (
         members.where(~F.col("keep") & ~is_entry(F.col("path")))
         .groupBy("path").agg(F.max("size").alias("size"))
+        .join(stays, "path", "left_anti")
     )
 
 

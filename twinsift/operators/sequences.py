@@ -15,6 +15,7 @@ from .components import connected_components
 from .durable import durable
 from .hamming import HOT_BUCKET, MAX_THRESHOLD, near_pairs
 
+PER_TASK = 64           # a part of a frame has this fraction of what a hot key has
 HOT_FRAME = 1_000       # frames shown more often are not used to find candidates
 HOT_SLACK = 1.5         # up to a third of a sequence may be hot
 
@@ -34,7 +35,7 @@ def _meet(left: DataFrame, touching: DataFrame, right: DataFrame, kinds: DataFra
 
     A frame many sequences show is divided over tasks.
     """
-    parts = F.least(F.lit(skew.SALTS), F.ceil(F.col("in_") / F.lit(max(hot_rows // skew.SALTS, 1))))
+    parts = F.ceil(F.col("in_") / F.lit(max(hot_rows // PER_TASK, 1)))
     weights = kinds.select(F.col("h").alias("h_a"), F.greatest(parts, F.lit(1)).cast("int").alias("_parts"))
     one = left.select(F.col("rep").alias("a"), F.col("h").alias("h_a")).join(weights, "h_a").withColumn(
         "_part", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int")
@@ -175,7 +176,7 @@ def _grouped(classes: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
 def _to_items(sequences: DataFrame, classes: DataFrame, grouped: DataFrame, hot_rows: int) -> DataFrame:
     labelled = classes.select("frames", "rep", "n").join(grouped.drop("n"), "rep")
     kept = sequences.where(F.size("frames") > 0)
-    return skew.join_to_groups(kept, labelled.drop("rep"), "frames", "n", "id", hot_rows).select(
+    return skew.join_to_groups(kept, labelled.drop("rep"), "frames", "n", "id", hot_rows, settle=True).select(
         *[c for c in sequences.columns if c != "frames"],
         F.size("frames").cast("bigint").alias("frame_count"), "root", "members", "category",
     )
@@ -203,7 +204,7 @@ def similar_sequences(
         .where("members > 1")
         .select("root", "members", F.when(F.col("_far") <= exact, "exact").otherwise("similar").alias("category"))
     )
-    grouped = skew.join_to_groups(parts.drop("far"), groups, "root", "members", "rep", hot_rows)
+    grouped = skew.join_to_groups(parts.drop("far"), groups, "root", "members", "rep", hot_rows, settle=True)
     return _to_items(sequences, classes, grouped, hot_rows)
 
 
@@ -221,7 +222,7 @@ def similar_sequences_two_level(
     pairs = durable(_class_pairs(classes, max(exact, similar), measure, hot_bucket, hot_rows, hot_frame))
     near = durable(_grouped(classes, pairs, exact))
     exact_groups = near.groupBy("root").agg(F.sum("n").alias("members")).where("members > 1")
-    exact_parts = skew.join_to_groups(near.drop("far"), exact_groups, "root", "members", "rep", hot_rows)
+    exact_parts = skew.join_to_groups(near.drop("far"), exact_groups, "root", "members", "rep", hot_rows, settle=True)
     taken = exact_parts.select("rep", F.lit(True).alias("_taken"))
     wide = durable(_grouped(classes, pairs, similar).drop("far").join(taken, "rep", "left"))
     similar_only = (
@@ -229,7 +230,7 @@ def similar_sequences_two_level(
         .agg(F.sum("n").alias("members"), F.max(F.coalesce("_taken", F.lit(False))).alias("_mixed"))
         .where("members > 1 AND NOT _mixed").drop("_mixed")
     )
-    similar_parts = skew.join_to_groups(wide.drop("_taken"), similar_only, "root", "members", "rep", hot_rows)
+    similar_parts = skew.join_to_groups(wide.drop("_taken"), similar_only, "root", "members", "rep", hot_rows, settle=True)
     grouped = exact_parts.withColumn("category", F.lit("exact")).unionByName(
         similar_parts.withColumn("category", F.lit("similar"))
     )

@@ -56,7 +56,7 @@ def _to_items(items: DataFrame, grouped: DataFrame, fingerprint: str, hot_rows:
     """Give each item the group of its fingerprint."""
     return skew.join_to_groups(
         items.where(F.col(fingerprint).isNotNull()).withColumn("h", F.col(fingerprint)),
-        grouped, "h", "n", "id", hot_rows,
+        grouped, "h", "n", "id", hot_rows, settle=True,
     ).drop(*(["n"] + (["h"] if fingerprint != "h" else [])))
 
 
@@ -79,7 +79,7 @@ def similar_groups(
         .where("members > 1")
         .select("root", "members", F.when(F.col("_far") <= exact, "exact").otherwise("similar").alias("category"))
     )
-    grouped = skew.join_to_groups(parts.select("h", "n", "root"), groups, "root", "members", "h", hot_rows)
+    grouped = skew.join_to_groups(parts.select("h", "n", "root"), groups, "root", "members", "h", hot_rows, settle=True)
     return _to_items(items, grouped, fingerprint, hot_rows)
 
 
@@ -99,7 +99,7 @@ def similar_groups_two_level(
     fingerprints = durable(collapse(items, fingerprint))
     near = durable(_components(fingerprints, exact, hot_bucket, hot_rows))
     exact_groups = near.groupBy("root").agg(F.sum("n").alias("members")).where("members > 1")
-    exact_parts = skew.join_to_groups(near.select("h", "n", "root"), exact_groups, "root", "members", "h", hot_rows)
+    exact_parts = skew.join_to_groups(near.select("h", "n", "root"), exact_groups, "root", "members", "h", hot_rows, settle=True)
     taken = exact_parts.select("h", F.lit(True).alias("_taken"))
     wide = durable(_components(fingerprints, similar, hot_bucket, hot_rows).join(taken, "h", "left"))
     similar_only = (
@@ -108,7 +108,7 @@ def similar_groups_two_level(
         .where("members > 1 AND NOT _mixed").drop("_mixed")
     )
     similar_parts = skew.join_to_groups(
-        wide.select("h", "n", "root"), similar_only, "root", "members", "h", hot_rows
+        wide.select("h", "n", "root"), similar_only, "root", "members", "h", hot_rows, settle=True
     )
     grouped = exact_parts.withColumn("category", F.lit("exact")).unionByName(
         similar_parts.withColumn("category", F.lit("similar"))

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .durable import durable
 
 HOT_ROWS = 1_000_000    # keys with more rows are spread over several tasks
-HOT_KEYS = 1_000        # at most so many keys are spread, the largest ones
-SALTS = 64              # tasks a spread key is divided into
+SHARE = 10_000          # a key of under a 10,000th of the rows is no burden for one task
 
 
 def join_to_groups(
@@ -18,38 +17,32 @@ def join_to_groups(
     count: str,
     spread_by: str,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-    settle: bool = True,
+    settle: bool = False,
 ) -> DataFrame:
     """Attach one row per key (``groups``) to many rows per key.
 
-    ``groups[count]`` is the number of rows the key has. Keys above
-    ``hot_rows`` are divided by a hash of ``spread_by``, and their single group
-    row is repeated once per part. The list of such keys is broadcast: it is
-    cut to the ``HOT_KEYS`` largest, a fixed bound. A key beyond that list is
-    merely joined without division, so the result is the same either way.
+    By default this is the plain join, lazy and visible to the optimizer as a
+    whole: the adaptive skew join divides a large key's rows over tasks and
+    repeats its one group row, without any list of such keys.
 
-    ``settle`` writes the groups out first. They are then computed once, plans
-    of chained operators stay short, and without hot keys (one look at the
-    written table) the division is left out.
+    ``settle`` writes the groups out first, for plans that read them several
+    times, and then divides keys itself, by ``groups[count]``: one above the
+    limit gets ``count / limit`` parts, all of them, however many keys that
+    are. The limit is ``hot_rows`` or a ``SHARE``-th of all rows, so the list
+    of such keys that is broadcast has ``SHARE`` rows at most.
     """
-    if settle:
-        groups = durable(groups)
-    largest = groups.where(F.col(count) > hot_rows)
-    if settle and largest.isEmpty():
+    if not settle:
         return rows.join(groups, key)
-    hot = (
-        largest.orderBy(F.col(count).desc(), F.col(key)).limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    part = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    left = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_part", F.when(F.col("_hot"), part).otherwise(F.lit(0))
-    ).drop("_hot")
-    parts = F.when(
-        F.col(count) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))
-    ).otherwise(F.array(F.lit(0)))
-    right = groups.withColumn("_part", F.explode(parts))
+    groups = durable(groups)
+    seen = groups.agg(F.sum(count).alias("rows"), F.max(count).alias("most")).first()
+    limit = max(hot_rows, (seen.rows or 0) // SHARE)
+    if (seen.most or 0) <= limit:
+        return rows.join(groups, key)
+    parts = F.ceil(F.col(count) / F.lit(limit)).cast("int")
+    hot = groups.where(F.col(count) > limit).select(key, parts.alias("_parts"))
+    part = F.pmod(F.xxhash64(spread_by), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_part", part).drop("_parts")
+    right = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(right, [key, "_part"]).drop("_part")
 
 

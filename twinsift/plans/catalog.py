@@ -79,19 +79,9 @@ def _scan(t: Tables) -> DataFrame:
     return scan(t.hashed.select("path", "size", "hash"), t.entries, _images(t), _clips(t), _container_sizes(t))
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
-
-
 def _all_tabs(t: Tables) -> DataFrame:
-    """The stored result of a full scan, which the review works on.
-
-    Scanned once per application and folder, like a result that stays on
-    screen while it is filtered, summed up and marked.
-    """
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _STORED:
-        _STORED[key] = op.durable(_scan(t))
-    return _STORED[key]
+    """The stored result of a full scan, which the review works on."""
+    return op.durable(_scan(t))
 
 
 def _marked(t: Tables) -> DataFrame:

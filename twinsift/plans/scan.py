@@ -70,7 +70,15 @@ def scan(
     ``sequences``       id, path, size, frames
     ``container_sizes`` container, size
     """
-    items = exclude_rules(ignore_builtin(items), options.exclude)
+    def allowed(rows: DataFrame, path: str = "path") -> DataFrame:
+        """Rows whose file is neither junk nor excluded; of entries, the container counts."""
+        named = rows.withColumns({"_path": F.col("path"), "path": F.col(path)})
+        return exclude_rules(ignore_builtin(named), options.exclude).withColumn("path", F.col("_path")).drop("_path")
+
+    items = allowed(items)
+    entries = None if entries is None else allowed(entries, "container")
+    fingerprints = None if fingerprints is None else allowed(fingerprints)
+    sequences = None if sequences is None else allowed(sequences)
     if "type" not in items.columns:
         items = items.withColumn("type", F.lit("file"))
     columns = ["path", "size", "hash", "type"]

@@ -19,8 +19,8 @@ from ..operators.exact import (
 )
 from ..operators.filters import JUNK_NAMES, ExcludeRules, is_junk
 
-_LISTING = "path string, is_dir boolean, size bigint, inode bigint, mtime double, created double"
-_COLUMNS = ["path", "is_dir", "size", "inode", "mtime", "created"]
+_LISTING = "path string, is_dir boolean, size bigint, device bigint, inode bigint, mtime double, created double"
+_COLUMNS = ["path", "is_dir", "size", "device", "inode", "mtime", "created"]
 _ROWS_PER_FRAME = 10_000
 _CHUNK = 1 << 20
 
@@ -42,7 +42,7 @@ def _list_directories(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         continue
                     is_dir = stat.S_ISDIR(info.st_mode)
                     if is_dir or stat.S_ISREG(info.st_mode):
-                        rows.append((entry.path, is_dir, info.st_size, info.st_ino, info.st_mtime, info.st_ctime))
+                        rows.append((entry.path, is_dir, info.st_size, info.st_dev, info.st_ino, info.st_mtime, info.st_ctime))
                     if len(rows) >= _ROWS_PER_FRAME:
                         yield pd.DataFrame(rows, columns=_COLUMNS)
                         rows = []
@@ -51,7 +51,7 @@ def _list_directories(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def file_inventory(spark: SparkSession, roots: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
-    """Regular files below the roots: path, size, inode, mtime, created.
+    """Regular files below the roots: path, size, device, inode, mtime, created.
 
     Level by level: all directories of a level are spread over the tasks, so a
     deep or lopsided tree does not end up in one of them. Hidden files count;
@@ -75,7 +75,7 @@ def file_inventory(spark: SparkSession, roots: Sequence[str], exclude: Sequence[
     files = reduce(DataFrame.unionByName, levels)
     return multi_root_union(
         files.where(~is_junk(path) & ~rules.skips_file(path)).select(
-            "path", "size", "inode",
+            "path", "size", "device", "inode",
             F.timestamp_seconds(F.floor("mtime")).alias("mtime"),
             F.timestamp_seconds(F.floor("created")).alias("created"),
         )

@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 TABS = ["regular", "image", "video", "archive"]
 
 
 def save_session(members: DataFrame, folder: str, session_id: str | None = None) -> None:
-    """Write the members by tab, then the manifest.
+    """Write the members by tab into a folder of this session, then the manifest.
 
-    A reader that finds the manifest knows that everything else is there.
+    A reader that finds the manifest knows that everything it names is there:
+    an older session's members stay until the new manifest has replaced the old.
     """
-    members.write.mode("overwrite").partitionBy("tab").parquet(f"{folder}/members")
     spark = members.sparkSession
-    saved = spark.read.parquet(f"{folder}/members")
-    manifest = saved.groupBy("tab").agg(
-        F.countDistinct("group_id").alias("groups"), F.count("*").alias("members")
-    ).select(
-        F.lit(session_id or uuid.uuid4().hex).alias("session_id"),
-        F.current_timestamp().alias("saved_at"),
-        "tab", F.concat(F.lit("members/tab="), F.col("tab")).alias("folder"), "groups", "members",
-    )
+    session_id = session_id or uuid.uuid4().hex
+    place = f"members-{session_id}-{uuid.uuid4().hex[:8]}"
+    members.write.partitionBy("tab").parquet(f"{folder}/{place}")
+    saved = spark.read.schema(members.schema).parquet(f"{folder}/{place}")
+    counts = saved.groupBy("tab").agg(F.countDistinct("group_id").alias("groups"), F.count("*").alias("members"))
+    tabs = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in TABS])).alias("tab"))
+    manifest = tabs.join(counts, "tab", "left").select(
+        F.lit(session_id).alias("session_id"), F.current_timestamp().alias("saved_at"), "tab",
+        F.lit(place).alias("folder"), F.coalesce("groups", F.lit(0)).alias("groups"),
+        F.coalesce("members", F.lit(0)).alias("members"), F.lit(members.schema.json()).alias("columns"))
     manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
 
 
 def load_session(spark: SparkSession, folder: str) -> DataFrame:
-    """Members of all saved tabs."""
-    if spark.read.json(f"{folder}/manifest").isEmpty():
-        return spark.read.parquet(f"{folder}/members").limit(0)
-    return spark.read.parquet(f"{folder}/members")
+    """Members of all saved tabs; an empty result has its columns all the same."""
+    saved = spark.read.schema("folder string, columns string").json(f"{folder}/manifest").first()
+    return spark.read.schema(T.StructType.fromJson(json.loads(saved.columns))).parquet(f"{folder}/{saved.folder}")
 
 
 def load_session_csv(spark: SparkSession, folder: str, tab: str = "regular") -> DataFrame:
@@ -39,7 +41,7 @@ def load_session_csv(spark: SparkSession, folder: str, tab: str = "regular") ->
 
     Separator rows are skipped; sizes are read from ``size`` or ``size_bytes``
     and are 0 when unreadable; anything but NO counts as keep. ``ordinal``
-    follows the order of the file.
+    (file, row) follows the order of the files' names and rows.
     """
     raw = (
         spark.read.option("header", "true").option("quote", '"').option("escape", '"')
@@ -50,7 +52,9 @@ def load_session_csv(spark: SparkSession, folder: str, tab: str = "regular") ->
         return F.col(name) if name in raw.columns else F.lit(None).cast("string")
 
     size = F.coalesce(text("size"), text("size_bytes")).try_cast("bigint")
-    rows = raw.withColumn("ordinal", F.monotonically_increasing_id())
+    # Files are read in any order, each of them whole and in its own order.
+    rows = raw.withColumn("ordinal", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
     return rows.where(F.coalesce(text("group_id"), F.lit("")) != "").select(
         F.lit(tab).alias("tab"),
         F.trim(text("group_id")).alias("group_id"),
