@@ -1,3 +1,97 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others have hashes, trained models or tilings that SQL lacks; they are
+tested against brute force.
+"""
+
+from __future__ import annotations
+
+from . import chat, quality
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _listed(values: list[str]) -> str:
+    return "[" + ", ".join(_quoted(v) for v in values) + "]"
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, {_quoted(chat.ESCAPE)}, {_quoted(chat.ESCAPE * 2)})"
+    for c in chat.CONTROL:
+        out = f"replace({out}, {_quoted(c)}, {_quoted(c[0] + chat.ESCAPE + c[1:])})"
+    return out
+
+
+_MARKS = len(chat.START) + len(chat.MIDDLE) + len(chat.END)
+_SAID = "</s>[INST] ok [/INST]"
+
+CHAT = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'),
+e AS (SELECT *, {_escaped('role')} AS r, {_escaped('text')} AS x FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, x)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, x) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(r) + length(x) + {_MARKS})::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+_COUNTS = ", ".join(f"length(regexp_replace(text, {_quoted(p)}, '', 'g'))" for p in quality.CHAR_CLASSES.values())
+_SYMBOL = list(quality.CHAR_CLASSES).index("symbol") + 1
+
+QUALITY = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+l AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, [{_COUNTS}] AS classes FROM d),
+w AS (SELECT rid, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM l),
+g AS (SELECT rid, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+again AS (SELECT rid, i FROM g WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+inside AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range(3) r(k) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM (
+  SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+common AS (SELECT rid, a, count(*) AS n FROM w WHERE list_contains({_listed(quality.COMMON_WORDS)}, a) GROUP BY rid, a),
+facts AS (
+  SELECT l.rid, doc_id, lang, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+    classes[{_SYMBOL}] AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words,
+    greatest(length(text), 1)::DOUBLE AS whole, length(text) - list_sum(classes) AS rest, classes
+  FROM l LEFT JOIN lines USING (rid) LEFT JOIN inside USING (rid)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM facts),
+shares AS (
+  SELECT rid, 'c' AS kind, generate_subscripts(classes, 1)::VARCHAR AS bin, unnest(classes) / whole AS p FROM judged
+  UNION ALL SELECT rid, 'c', '0', rest / whole FROM judged
+  UNION ALL SELECT judged.rid, 'w', b, coalesce(common.n, 0) / greatest(n_words, 1)::DOUBLE
+    FROM judged, unnest({_listed(quality.COMMON_WORDS)}) u(b) LEFT JOIN common ON common.rid = judged.rid AND a = b
+  UNION ALL SELECT rid, 'w', '', (n_words - coalesce((SELECT sum(n) FROM common WHERE common.rid = judged.rid), 0))
+    / greatest(n_words, 1)::DOUBLE FROM judged),
+compared AS (SELECT shares.*, lang FROM shares JOIN judged USING (rid) WHERE NOT base_failed AND n_words >= 100),
+refs AS (SELECT lang, kind, bin, avg(p) AS q FROM compared GROUP BY ALL HAVING count(*) >= 20),
+far AS (SELECT rid, kind, sqrt(greatest(sum(
+    CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS js
+  FROM compared JOIN refs USING (lang, kind, bin) GROUP BY rid, kind),
+worst AS (SELECT rid, bool_or(js > CASE kind WHEN 'c' THEN 0.30 ELSE 0.55 END) AS far FROM far GROUP BY rid)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(far, false) AS kept
+FROM judged LEFT JOIN worst USING (rid)"""
+
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT *, octet_length(b) AS n FROM d),
+w AS (SELECT rid, doc_id, i, b[i:i + 49] AS x FROM s, LATERAL (SELECT unnest(range(1, n - 48)) AS i)
+      WHERE n >= 50 AND doc_id IS NOT NULL),
+gone AS (SELECT rid, i FROM w QUALIFY min(doc_id) OVER (PARTITION BY x) < doc_id),
+cut AS (SELECT rid, i, i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY rid ORDER BY i) IS NULL AS fresh FROM gone),
+runs AS (SELECT rid, min(i) AS low, max(i) + 50 AS high FROM (
+  SELECT *, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS k FROM cut) GROUP BY rid, k),
+ends AS (SELECT rid, high AS a, coalesce(lead(low) OVER (PARTITION BY rid ORDER BY low), n + 1) AS z FROM runs JOIN s USING (rid)
+  UNION ALL SELECT rid, 1, coalesce((SELECT min(low) FROM runs WHERE runs.rid = s.rid), n + 1) FROM s),
+kept AS (SELECT rid, string_agg(CASE WHEN z > a THEN hex(b[a:z - 1]) ELSE '' END, '' ORDER BY a) AS h FROM ends JOIN s USING (rid) GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce((SELECT sum(high - low) FROM runs WHERE runs.rid = s.rid), 0)::BIGINT AS n_removed,
+  (SELECT count(*) FROM runs WHERE runs.rid = s.rid)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM s JOIN kept USING (rid)"""
+
+ORACLES: dict[str, str] = {
+    "op4_repeated_passages": REPEATS, "op6_quality_rules": QUALITY, "op7_chat_format": CHAT,
+}

@@ -13,8 +13,8 @@ most significant digits; what stays equal to the end are the repeated windows.
 * Second pass, for one suffix of each context of a divided group: its windows
   by their whole bytes. Equal groups are the repeated windows.
 
-Digits are 64-bit hashes of the bytes; contexts and windows are told apart by
-two of them. Every task first keeps the smallest id of each key it meets, so a
+Digits and contexts are told apart by 32 bits each on top of the bucket's, which
+grow with the table; windows by two 64-bit hashes. Every task first keeps the smallest id of each key it meets, so a
 passage that many documents share is few rows by the time it is shuffled.
 """
 
@@ -134,21 +134,20 @@ class Anchored(_Text):
         self.at, self.first, self.last = (np.concatenate(x) if x else none for x in (at, first, last))
         self.digit = digits[self.at]
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of all bytes that windows with the anchor can have, cut at the ends."""
+    def contexts(self) -> np.ndarray:
+        """Hash of all bytes that windows with the anchor can have, cut at the ends."""
         span = self.depth - DIGIT
         size = self.depth + span
         lo = self.at - span
         whole = (lo >= 0) & (lo + size <= len(self.data))
-        out = [np.zeros(len(self.at), np.uint64) for _ in range(2)]
-        for seed, h in enumerate(out):
-            h[whole] = self._at(lo[whole], size, seed)
+        out = np.zeros(len(self.at), np.uint64)
+        out[whole] = self._at(lo[whole], size, 1)
         for k in np.flatnonzero(~whole).tolist():
             a = int(self.at[k])
             piece = self.data[max(0, a - span):a + self.depth].tobytes()
-            digest = hashlib.blake2b(piece, digest_size=16, salt=min(a, span).to_bytes(8, "little")).digest()
-            out[0][k], out[1][k] = np.frombuffer(digest, "<u8")
-        return out[0], out[1]
+            digest = hashlib.blake2b(piece, digest_size=8, salt=min(a, span).to_bytes(8, "little")).digest()
+            out[k] = int.from_bytes(digest, "little")
+        return out
 
 
 def _ramp(sizes: np.ndarray) -> np.ndarray:
@@ -156,7 +155,7 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-_KINDS = {"digit": np.int32, "c0": np.int64, "c1": np.int64, "id": np.int64, "tag": np.int32, "low": np.int32, "n": np.int32}
+_KINDS = {"digit": np.int32, "context": np.int32, "c0": np.int64, "c1": np.int64, "id": np.int64, "tag": np.int32, "low": np.int32, "n": np.int32}
 _SCHEMA = "dest int, settled boolean, " + ", ".join(
     f"{c} array<{'bigint' if t is np.int64 else 'int'}>" for c, t in _KINDS.items())
 
@@ -206,10 +205,10 @@ def _settle(rows: dict[str, np.ndarray], depth: int, parts: int) -> pa.RecordBat
 def _first_pass(depth: int, buckets: int, parts: int, flush: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def packed(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-        order = np.lexsort((rows["id"], rows["c0"], rows["whole"]))
+        order = np.lexsort((rows["id"], rows["context"], rows["whole"]))
         sorted_ids = rows["id"][order]
         least = np.empty_like(sorted_ids)
-        least[order] = _smallest(sorted_ids, _group_starts(rows["whole"][order], rows["c0"][order]))
+        least[order] = _smallest(sorted_ids, _group_starts(rows["whole"][order], rows["context"][order]))
         gone = rows["id"] > least
         yield _settle({c: v[gone] for c, v in rows.items()}, depth, parts)
         rest = {c: v[~gone] for c, v in rows.items()}
@@ -226,7 +225,7 @@ def _first_pass(depth: int, buckets: int, parts: int, flush: int) -> Callable[[I
                     continue
                 n = len(text.at)
                 held.append({
-                    "whole": text.digit, "c0": text.contexts()[0].view(np.int64), "id": np.full(n, i.as_py()),
+                    "whole": text.digit, "context": text.contexts().astype(np.uint32).view(np.int32), "id": np.full(n, i.as_py()),
                     "tag": np.full(n, tag.as_py(), np.int32), "low": text.first.astype(np.int32),
                     "n": (text.last - text.first + 1).astype(np.int32)})
                 size += len(text.data)
@@ -239,14 +238,22 @@ def _first_pass(depth: int, buckets: int, parts: int, flush: int) -> Callable[[I
     return run
 
 
+def _taken_apart(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Rows that are settled and only pass through, and the group's own."""
+    table = table.select(["dest", "settled", *_KINDS])
+    settled = table["settled"]
+    return table.filter(settled), table.filter(pa.compute.invert(settled))
+
+
 def _first_groups(depth: int, parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        done, table = _taken_apart(table)
         rows = _flat(table)
-        order = np.lexsort((rows["id"], rows["c0"], rows["digit"]))
+        order = np.lexsort((rows["id"], rows["context"], rows["digit"]))
         rows = {c: v[order] for c, v in rows.items() if len(v)}
         if not rows:
-            return pa.Table.from_batches([_packed(np.empty(0, np.int64), True)])
-        inner = _group_starts(rows["digit"], rows["c0"])
+            return done
+        inner = _group_starts(rows["digit"], rows["context"])
         least = _smallest(rows["id"], inner)
         gone = rows["id"] > least
         outer = _group_starts(rows["digit"])
@@ -256,9 +263,9 @@ def _first_groups(depth: int, parts: int) -> Callable[[pa.Table], pa.Table]:
         contexts = np.repeat(np.add.reduceat(np.isin(np.arange(len(order)), inner).astype(np.int64), outer), sizes)
         divided = ~gone & (contexts > 1) & (first < last)
         open_ = {c: rows[c][divided] for c in ("id", "tag", "low", "n")}
-        return pa.Table.from_batches([
+        return pa.concat_tables([done, pa.Table.from_batches([
             _settle({c: v[gone] for c, v in rows.items()}, depth, parts),
-            _packed(_part(open_["id"], open_["tag"], parts), False, **open_)])
+            _packed(_part(open_["id"], open_["tag"], parts), False, **open_)])])
 
     return run
 
@@ -317,12 +324,13 @@ def _second_pass(depth: int, buckets: int, parts: int) -> Callable[[pa.Table, pa
 
 def _second_groups(depth: int, parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        done, table = _taken_apart(table)
         rows = _flat(table)
         order = np.lexsort((rows["id"], rows["c1"], rows["c0"]))
         rows = {c: v[order] for c, v in rows.items() if c in ("c0", "c1", "id", "tag", "low")}
         gone = rows["id"] > _smallest(rows["id"], _group_starts(rows["c0"], rows["c1"]))
         rows["n"] = np.ones(len(gone), np.int32)
-        return pa.Table.from_batches([_settle({c: v[gone] for c, v in rows.items()}, depth, parts)])
+        return pa.concat_tables([done, pa.Table.from_batches([_settle({c: v[gone] for c, v in rows.items()}, depth, parts)])])
 
     return run
 
@@ -359,7 +367,7 @@ def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50,
-    part_bytes: int = 8 << 20, with_text: bool = False,
+    part_bytes: int = 16 << 20, with_text: bool = False,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, ``kept`` too if wanted.
 
@@ -382,14 +390,14 @@ def remove_repeats(
     placed = data.withColumn("_part", F.pmod(
         F.pmod("_id", F.lit(parts)) * 31 + F.pmod("_tag", F.lit(parts)), F.lit(parts)).cast("int"))
     long_enough = data.where(F.length("_data") >= depth)
-    first = durable(long_enough.mapInArrow(_first_pass(depth, parts, parts, 2 * part_bytes), _SCHEMA))
-    marks = first.where("settled").unionByName(
-        first.where("NOT settled").groupBy("dest").applyInArrow(_first_groups(depth, parts), _SCHEMA))
-    marks = durable(marks)
-    second = durable(placed.groupBy("_part").cogroup(marks.groupBy("dest")).applyInArrow(
-        _second_pass(depth, parts, parts), _SCHEMA))
-    settled = marks.where("settled").unionByName(second.where("settled")).unionByName(
-        second.where("NOT settled").groupBy("dest").applyInArrow(_second_groups(depth, parts), _SCHEMA))
+    first = long_enough.mapInArrow(_first_pass(depth, parts, parts, 2 * part_bytes), _SCHEMA)
+    # Groups and documents are dealt over the same numbers, so what a pass has
+    # settled goes along with its groups and no pass is read twice.
+    marks = durable(first.groupBy("dest").applyInArrow(_first_groups(depth, parts), _SCHEMA))
+    second = placed.groupBy("_part").cogroup(marks.groupBy("dest")).applyInArrow(
+        _second_pass(depth, parts, parts), _SCHEMA)
+    settled = marks.where("settled").unionByName(
+        second.groupBy("dest").applyInArrow(_second_groups(depth, parts), _SCHEMA))
     names = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
     if with_text:
         names["kept"] = "binary"
