@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import durable, text_of
@@ -231,12 +232,24 @@ class PartGrams:
             self.levels.append((distinct[order], bucket[order], counts[order], there[first][order]))
 
 
-_COUNTS = "dest int, part int, level int, k64 array<bigint>, k32 array<int>, n array<int>"
-_ANSWER = "dest int, part int, level int, c array<int>, total bigint, types bigint"
+_COUNTS = "dest int, part int, level int, keys binary, n binary"
+_ANSWER = "dest int, part int, level int, c binary, total bigint, types bigint"
 
 
-def _lists(values: np.ndarray, starts: np.ndarray, size: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[starts, size], pa.int32()), pa.array(values))
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as one compressed string, byte by byte of their width: most are small."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences."""
+    return np.diff(keys, prepend=keys.dtype.type(0))
 
 
 def _count(buckets: int) -> Callable[[pa.Table], pa.Table]:
@@ -244,16 +257,12 @@ def _count(buckets: int) -> Callable[[pa.Table], pa.Table]:
         part, out = docs["_part"][0].as_py(), []
         for level, (keys, bucket, counts, _) in enumerate(PartGrams(docs, buckets).levels, 1):
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
-            none = np.zeros(len(starts), np.int64)
             # The bucket and 32 more bits tell longer n-grams apart; words take all 64.
-            wide = _lists(keys.view(np.int64), starts, len(keys)) if level == 1 else _lists(np.empty(0, np.int64), none, 0)
-            short = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            narrow = _lists(short, starts, len(keys)) if level > 1 else _lists(np.empty(0, np.int32), none, 0)
-            n = len(starts)
-            out.append(pa.RecordBatch.from_arrays(
-                [pa.array(bucket[starts].astype(np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, level, np.int32)),
-                 wide, narrow, _lists(counts, starts, len(keys))], names=["dest", "part", "level", "k64", "k32", "n"]))
-        return pa.Table.from_batches(out)
+            sent = keys if level == 1 else (keys >> np.uint64(32)).astype(np.uint32)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                out.append((int(bucket[a]), part, level, _pack(_gaps(sent[a:b])), _pack(counts[a:b])))
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["dest", "part", "level", "keys", "n"])
 
     return run
 
@@ -262,24 +271,23 @@ def _add_up(table: pa.Table) -> pa.Table:
     """Counts of a bucket over all parts, answered to each in its own order."""
     dest, parts, levels, answers, totals, types = table["dest"][0].as_py(), [], [], [], [], []
     for level in range(1, ORDER + 1):
-        rows = table.filter(pa.compute.equal(table["level"], level)).combine_chunks()
+        rows = table.filter(pa.compute.equal(table["level"], level))
         if not rows.num_rows:
             continue
-        lists = rows["k64" if level == 1 else "k32"].combine_chunks()
-        keys = lists.flatten().to_numpy(zero_copy_only=False)
-        n = rows["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        _, inverse = np.unique(keys, return_inverse=True)
+        kind = np.uint64 if level == 1 else np.uint32
+        keys = [np.cumsum(_unpack(k.as_py(), kind), dtype=kind) for k in rows["keys"]]
+        n = np.concatenate([_unpack(x.as_py(), np.int32) for x in rows["n"]])
+        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(inverse, n).astype(np.int64)
-        sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
         found = np.minimum(sums, 2**31 - 1).astype(np.int32)[inverse]
         parts += [*rows["part"].to_pylist(), -1]
         levels += [level] * (rows.num_rows + 1)
-        answers += [*np.split(found, np.cumsum(sizes)[:-1]), np.empty(0, np.int32)]
+        answers += [*map(_pack, np.split(found, np.cumsum([len(k) for k in keys])[:-1])), b""]
         totals += [None] * rows.num_rows + [int(sums.sum())]
         types += [None] * rows.num_rows + [int((sums > 0).sum())]
     return pa.Table.from_arrays(
         [pa.array([dest] * len(parts), pa.int32()), pa.array(parts, pa.int32()), pa.array(levels, pa.int32()),
-         pa.array(answers, pa.list_(pa.int32())), pa.array(totals, pa.int64()), pa.array(types, pa.int64())],
+         pa.array(answers, pa.binary()), pa.array(totals, pa.int64()), pa.array(types, pa.int64())],
         names=["dest", "part", "level", "c", "total", "types"])
 
 
@@ -294,7 +302,7 @@ def _score(buckets: int, total: int, types: int, mu: Sequence[float]) -> Callabl
         counts = []
         for level in range(1, ORDER + 1):
             rows = answers.filter(pa.compute.equal(answers["level"], level)).sort_by("dest")
-            counts.append(np.concatenate([np.empty(0, np.int32), *[c.flatten().to_numpy(zero_copy_only=False) for c in rows["c"].chunks]]).astype(np.int64))
+            counts.append(np.concatenate([np.empty(0, np.int32), *[_unpack(c.as_py(), np.int32) for c in rows["c"]]]).astype(np.int64))
         # Levels 2 and 3 as word numbers, from where each n-gram stands first.
         t = grams.tokens
         seen = [np.flatnonzero(c > 0) for c in counts]
