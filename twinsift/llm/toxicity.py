@@ -3,8 +3,9 @@
 One bigram model of toxic and one of ordinary texts, interpolated Kneser-Ney,
 both backing off to the same shared continuation counts. Those stand for what
 is too rare to be told by class, so a frequent expression brings no more to
-them than a rare one may have. Expressions that are rare in both classes
-together take the shared counts alone and speak for neither. A text is scored by the difference of its length-normalised
+them than a rare one may have. A word that is rare in both classes together is
+told by its longest beginning that is not; if there is none, it takes the
+shared counts alone and speaks for neither. A text is scored by the difference of its length-normalised
 log-likelihoods, over the text and over its most suspicious window.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import durable, lower_az, text_of, word_list
 
 WINDOWS = (1, 4, 32)
+#: Lengths of the word beginnings, in characters.
+PIECES = (5, 6, 7, 8)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -28,8 +31,8 @@ def _pairs(rows: DataFrame) -> DataFrame:
         F.coalesce(F.get("_words", i - 1), F.lit("")).alias("v"), w.alias("w")))))
 
 
-def class_models(rows: DataFrame, least: int, discount: float, most: int) -> tuple[list, list]:
-    """Log-likelihood ratios (word, ratio) and (word before, word, ratio).
+def class_models(rows: DataFrame, least: int, discount: float, most: int) -> tuple[list, list, list]:
+    """Log-likelihood ratios (word, ratio), (word before, word, ratio) and (beginning, ratio).
 
     ``rows`` has ``_text`` and ``toxic``. Counted are expressions seen at least
     ``least`` times in both classes together, the ``most`` frequent ones of
@@ -44,13 +47,19 @@ def class_models(rows: DataFrame, least: int, discount: float, most: int) -> tup
     total = words.agg(*[F.sum(c).alias(c) for c in "tos"], F.count("*").alias("types"),
                       F.count(F.when(F.col("t") > 0, 1)).alias("t_types"), F.count(F.when(F.col("o") > 0, 1)).alias("o_types")).first()
     if not total.t or not total.o:
-        return [], []
+        return [], [], []
     shared = (F.col("s") + 1) / (total.s + total.types + 1)
 
     def unigram(c: str) -> Column:
         mass, types = total[c], total[f"{c}_types"]
         return (F.greatest(F.col(c) - discount, F.lit(0.0)) + discount * types * shared) / mass
 
+    begun = words.select(F.explode(F.filter(
+        F.array(*[F.when(F.length("w") > n, F.substr("w", F.lit(1), F.lit(n))) for n in PIECES]),
+        lambda x: x.isNotNull())).alias("w"), "n", "s", "t", "o")
+    pieces = begun.groupBy("w").agg(F.sum("n").alias("n"), F.least(F.sum("s"), F.lit(least)).alias("s"), *[
+        F.sum(c).alias(c) for c in "to"]).where(F.col("n") >= least).orderBy(F.col("n").desc(), "w").limit(most)
+
     known = words.where(F.col("n") >= least).orderBy(F.col("n").desc(), "w").limit(most).select(
         "w", unigram("t").alias("pt"), unigram("o").alias("po"))
     known = durable(known)
@@ -65,10 +74,11 @@ def class_models(rows: DataFrame, least: int, discount: float, most: int) -> tup
         return F.when(n > 0, F.greatest(F.col(c) - discount, F.lit(0.0)) / n).otherwise(F.lit(0.0)) + back * F.col(f"p{c}")
 
     pairs = common.join(contexts, "v").join(known, "w").select("v", "w", F.log(bigram("t") / bigram("o")).alias("r"))
-    return known.select("w", F.log(F.col("pt") / F.col("po")).alias("r")).collect(), pairs.collect()
+    return (known.select("w", F.log(F.col("pt") / F.col("po")).alias("r")).collect(), pairs.collect(),
+            pieces.select("w", F.log(unigram("t") / unigram("o")).alias("r")).collect())
 
 
-def _reader(words: list, pairs: list) -> Callable[[bytes], list[float]]:
+def _reader(words: list, pairs: list, pieces: list) -> Callable[[bytes], list[float]]:
     """Features of a text: mean ratio, and the highest mean over windows."""
     number = {r.w.encode(): i + 1 for i, r in enumerate(words)}
     ratio = np.array([0.0, *[r.r for r in words]])
@@ -77,6 +87,13 @@ def _reader(words: list, pairs: list) -> Callable[[bytes], list[float]]:
                    for r in pairs if r.v.encode() in number and r.w.encode() in number)
     keys = np.array([k for k, _ in keyed] + [np.iinfo(np.int64).max])
     values = np.array([x for _, x in keyed] + [0.0])
+    begun, told = {r.w: r.r for r in pieces}, {}
+
+    def by_beginning(word: bytes) -> float:
+        if word not in told:
+            text = word.decode()
+            told[word] = next((begun[text[:n]] for n in reversed(PIECES) if len(text) > n and text[:n] in begun), 0.0)
+        return told[word]
 
     def features(text: bytes) -> list[float]:
         tokens = text.lower().split()
@@ -84,6 +101,8 @@ def _reader(words: list, pairs: list) -> Callable[[bytes], list[float]]:
             return [0.0] * (1 + len(WINDOWS))
         ids = np.fromiter((number.get(t, 0) for t in tokens), np.int64, len(tokens))
         r = ratio[ids]
+        rare = np.flatnonzero(ids == 0)
+        r[rare] = [by_beginning(tokens[k]) for k in rare.tolist()]
         pair = ids[:-1] * stride + ids[1:]
         at = np.searchsorted(keys, pair)
         hit = (keys[at] == pair) & (ids[:-1] > 0) & (ids[1:] > 0)
@@ -98,10 +117,10 @@ def _reader(words: list, pairs: list) -> Callable[[bytes], list[float]]:
     return features
 
 
-def text_features(text: Column, words: list, pairs: list) -> Column:
+def text_features(text: Column, models: tuple[list, list, list]) -> Column:
     @F.arrow_udf("array<double>")
     def run(batch: pa.Array) -> pa.Array:
-        read = _reader(words, pairs)
+        read = _reader(*models)
         return pa.array([read(t.as_py() or b"") for t in batch.cast(pa.large_binary())], pa.list_(pa.float64()))
 
     return run(text)
@@ -155,14 +174,14 @@ def toxicity(
         sample = part if sample is None else sample.unionByName(part)
     learned = durable(rows.join(durable(sample), F.col(id_col) == F.col("_id")).select(
         "toxic", "_text", (F.xxhash64(F.lit(1), "_id") % 2 == 0).alias("_count")))
-    words, pairs = class_models(learned.where("_count"), least, discount, ngrams)
+    models = class_models(learned.where("_count"), least, discount, ngrams)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    fitted = learned.where("NOT _count").select("toxic", text_features(F.col("_text"), words, pairs).alias("x")).collect() if words else []
+    fitted = learned.where("NOT _count").select("toxic", text_features(F.col("_text"), models).alias("x")).collect() if models[0] else []
     y = np.array([r.toxic for r in fitted], float)
     if len(y) and 0 < y.sum() < len(y):
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
         beta = _fit(np.array([r.x for r in fitted]), y, weight)
-        found = text_features(F.col("_text"), words, pairs)
+        found = text_features(F.col("_text"), models)
         line = F.lit(float(beta[-1]))
         for i, b in enumerate(beta[:-1]):
             line = line + float(b) * F.get("_x", F.lit(i))
