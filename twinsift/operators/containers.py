@@ -16,7 +16,12 @@ from .components import connected_components
 from .durable import durable
 
 HEAVY_ENTRY = 1_000     # entries found in more containers are treated apart
-HEAVY_PARTS = 16        # tasks a heavy entry is divided into
+PART_ROWS = 1_000       # rows of one key that a task has on its divided side
+
+
+def _parts(count: str) -> Column:
+    """Parts of a key by the number of its rows."""
+    return F.ceil(F.col(count) / F.lit(PART_ROWS)).cast("int")
 
 
 def container_entry_total(entries: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
@@ -147,7 +152,7 @@ def _heavy_meetings(meetings: DataFrame, heavy: DataFrame, needed: int, met: Cal
         left_out = heavy.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") < needed)
         probes = heavy.join(left_out.select("id", "entry"), ["id", "entry"], "left_anti")
     by_heavy = skew.spread_self_join(
-        probes, probes, "entry", "id", F.lit(HEAVY_PARTS), F.col("l.id") < F.col("r.id")
+        probes, probes, "entry", "id", _parts("in_"), F.col("l.id") < F.col("r.id")
     ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     having = heavy.select("id").distinct()
     by_light = (
@@ -218,7 +223,7 @@ def _listed(pairs: DataFrame, found: _Profile, weighted: bool, least: int) -> Da
     own = "total" if weighted else "kinds"
     same = found.copied.where(F.col(own) >= least)
     twins = skew.spread_self_join(
-        same, same, "id", "container", F.least(F.col("copies"), F.lit(skew.SALTS)),
+        same, same, "id", "container", _parts("copies"),
         F.col("l.container") < F.col("r.container"),
     ).select(
         F.col("l.container").alias("container_a"), F.col("r.container").alias("container_b"),

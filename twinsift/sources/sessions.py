@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-TABS = ["regular", "image", "video", "archive"]
-
-
 def save_session(members: DataFrame, folder: str, session_id: str | None = None) -> None:
     """Write the members by tab into a folder of this session, then the manifest.
 
@@ -22,11 +19,11 @@ def save_session(members: DataFrame, folder: str, session_id: str | None = None)
     members.write.partitionBy("tab").parquet(f"{folder}/{place}")
     saved = spark.read.schema(members.schema).parquet(f"{folder}/{place}")
     counts = saved.groupBy("tab").agg(F.countDistinct("group_id").alias("groups"), F.count("*").alias("members"))
-    tabs = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in TABS])).alias("tab"))
-    manifest = tabs.join(counts, "tab", "left").select(
+    # One row per tab that has members; a session without any has a row without a tab.
+    rows = [(r.tab, r.groups, r.members) for r in counts.collect()] or [(None, 0, 0)]
+    manifest = spark.createDataFrame(rows, "tab string, groups long, members long").select(
         F.lit(session_id).alias("session_id"), F.current_timestamp().alias("saved_at"), "tab",
-        F.lit(place).alias("folder"), F.coalesce("groups", F.lit(0)).alias("groups"),
-        F.coalesce("members", F.lit(0)).alias("members"), F.lit(members.schema.json()).alias("columns"))
+        F.lit(place).alias("folder"), "groups", "members", F.lit(members.schema.json()).alias("columns"))
     manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
 
 
