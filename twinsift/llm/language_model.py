@@ -16,7 +16,7 @@ count plus ``mu``. They sum to one whatever is unseen.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ class EliasFano:
         self.shift = max(0, (universe // max(1, self.n)).bit_length() - 1)
         values = values.astype(np.uint64)
         low = values & np.uint64((1 << self.shift) - 1)
-        bits = (low[:, None] >> np.arange(self.shift, dtype=np.uint64)).astype(np.uint8) & 1
+        bits = np.unpackbits(low.view(np.uint8).reshape(-1, 8), axis=1, count=self.shift, bitorder="little")
         self.low = np.r_[np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8)]
         high = (values >> np.uint64(self.shift)).astype(np.int64)
         self.last = int(high[-1]) if self.n else 0
@@ -112,20 +112,26 @@ class Trie:
     """Three levels of n-grams with their counts: what a part of the documents asks for."""
 
     def __init__(self, words: np.ndarray, pairs: tuple, triples: tuple, total: int, types: int, mu: Sequence[float]):
-        """``words``: count of each word id; ``pairs``: (u, w, count); ``triples``: (u, v, w, count). Counts above 0."""
+        """``words``: count of each word id; ``pairs``: (u, w, count) sorted; ``triples``: (u, v, w, count).
+
+        Counts are above 0. A triple without its pairs, which a digest that two
+        n-grams share can leave, is passed over.
+        """
         self.size, self.mu = len(words), mu
         unigram = np.log10((words + 1) / (total + types + 1))
         u, w, n = pairs
-        order = np.lexsort((w, u))
-        u, w, n = u[order], w[order], n[order]
         p1 = 10.0 ** unigram
         p2 = (n + mu[0] * p1[w]) / (words[u] + mu[0])
-        self.second = EliasFano(u * self.size + w, max(1, self.size) ** 2)
+        keys = u * self.size + w
+        self.second = EliasFano(keys, max(1, self.size) ** 2)
         begins = np.searchsorted(u, np.arange(self.size + 1))
         self.widest = int(np.diff(begins).max(initial=0)) or 1
         a, b, c, m = triples
-        first, _ = self.second.successor(a * self.size + b)
-        after, _ = self.second.successor(b * self.size + c)
+        last = max(0, len(keys) - 1)
+        first = np.minimum(np.searchsorted(keys, a * self.size + b), last)
+        after = np.minimum(np.searchsorted(keys, b * self.size + c), last)
+        there = (keys[first] == a * self.size + b) & (keys[after] == b * self.size + c) if len(keys) else np.zeros(len(a), bool)
+        first, after, b, m = first[there], after[there], b[there], m[there]
         place = first * self.widest + after - begins[b]        # relative to the context's successors
         order = np.argsort(place, kind="stable")
         place, first, after, m = place[order], first[order], after[order], m[order]
@@ -201,8 +207,9 @@ class PartGrams:
     def __init__(self, docs: pa.Table, buckets: int):
         numbers: dict[bytes, int] = {}
         number, flat, self.lengths = numbers.setdefault, [], []
+        expand = zstandard.ZstdDecompressor().decompress
         for data in docs["_data"]:
-            words = data.as_py().lower().split()
+            words = expand(data.as_py()).lower().split()
             flat.extend([number(w, len(numbers)) for w in words])
             flat.append(-1)
             self.lengths.append(len(words) + 1)
@@ -236,6 +243,14 @@ _COUNTS = "dest int, part int, level int, keys binary, n binary"
 _ANSWER = "dest int, part int, level int, c binary, total bigint, types bigint"
 
 
+def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they are dealt twice, as a whole."""
+    shrink = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        data = pa.array([shrink(x.as_py()) for x in batch.column("_data")], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_held", "_part")), data], names=["_id", "_held", "_part", "_data"])
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Numbers as one compressed string, byte by byte of their width: most are small."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
@@ -309,19 +324,9 @@ def _score(buckets: int, total: int, types: int, mu: Sequence[float]) -> Callabl
         at2, at3 = grams.levels[1][3][seen[1]], grams.levels[2][3][seen[2]]
         words = np.zeros(len(grams.keys), np.int64)
         words[t[grams.levels[0][3]]] = counts[0]
-        pairs = (t[at2 - 1], t[at2], counts[1][seen[1]])
-        # A digest that two n-grams share can leave a triple without its pair.
-        stride = len(words)
-        known = np.sort(pairs[0] * stride + pairs[1])
-
-        def there(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-            k = u * stride + w
-            i = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
-            return known[i] == k if len(known) else np.zeros(len(k), bool)
-
-        fine = there(t[at3 - 2], t[at3 - 1]) & there(t[at3 - 1], t[at3])
-        at3 = at3[fine]
-        trie = Trie(words, pairs, (t[at3 - 2], t[at3 - 1], t[at3], counts[2][seen[2]][fine]), total, types, mu)
+        order = np.argsort(t[at2 - 1] * len(words) + t[at2])
+        at2, pair_counts = at2[order], counts[1][seen[1]][order]
+        trie = Trie(words, (t[at2 - 1], t[at2], pair_counts), (t[at3 - 2], t[at3 - 1], t[at3], counts[2][seen[2]]), total, types, mu)
         starts = np.r_[0, np.cumsum(grams.lengths)[:-1]].astype(np.int64)
         c = words[t]
         base = np.add.reduceat(np.log10((c + 1) / (total + types + 1)), starts)
@@ -364,7 +369,7 @@ def score_texts(
     parts = max(1, -(-size // part_bytes))
     rows = docs.select(
         F.col(id_col).cast("long").alias("_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("_held"),
-        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(parts)).cast("int").alias("_part"), text.cast("binary").alias("_data"))
+        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(parts)).cast("int").alias("_part"), text.cast("binary").alias("_data")).mapInArrow(_compressed, "_id long, _held boolean, _part int, _data binary")
     counts = rows.groupBy("_part").applyInArrow(_count(parts), _COUNTS)
     answers = durable(counts.groupBy("dest").applyInArrow(_add_up, _ANSWER))
     sums = answers.where("part = -1 AND level = 1").agg(F.sum("total").alias("n"), F.sum("types").alias("v")).first()
