@@ -14,7 +14,7 @@ most significant digits; what stays equal to the end are the repeated windows.
   by their whole bytes. Equal groups are the repeated windows.
 
 Digits and contexts are told apart by 32 bits each on top of the bucket's, which
-grow with the table; windows by two 64-bit hashes. Every task first keeps the smallest id of each key it meets, so a
+grow with the table; windows by 96 bits. Every task first keeps the smallest id of each key it meets, so a
 passage that many documents share is few rows by the time it is shuffled.
 """
 
@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, text_of
@@ -155,11 +156,24 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-_KINDS = {"digit": np.int32, "context": np.int32, "c0": np.int64, "c1": np.int64, "id": np.int64, "tag": np.int32, "low": np.int32, "n": np.int32}
+_KINDS = {"digit": np.int32, "context": np.int32, "c0": np.int64, "c1": np.int32, "id": np.int64, "tag": np.int32, "low": np.int32, "n": np.int32}
 _SCHEMA = "dest int, settled boolean, " + ", ".join(
     f"{c} array<{'bigint' if t is np.int64 else 'int'}>" for c, t in _KINDS.items())
 
 
+def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, to be dealt by part."""
+    shrink = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        data = pa.array([shrink(x.as_py()) for x in batch.column("_data")], pa.binary())
+        names = ["_id", "_tag", "_part"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), data], names=[*names, "_data"])
+
+
+def _expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _packed(dest: np.ndarray, settled: bool, **columns: np.ndarray) -> pa.RecordBatch:
     """One row per destination, with its values as arrays in the given order."""
     order = np.argsort(dest, kind="stable")
@@ -302,8 +316,8 @@ def _second_pass(depth: int, buckets: int, parts: int) -> Callable[[pa.Table, pa
                                       (settled["low"][done[key]] + settled["n"][done[key]]).astype(np.int64))
                 at = np.searchsorted(lows, where, "right") - 1
                 where = where[(at < 0) | (where + depth > highs[at])]
-            h0, h1 = _Text(data.as_py(), depth).windows(where)
-            held.append({"c0": h0.view(np.int64), "c1": h1.view(np.int64), "id": np.full(len(where), key[0]),
+            h0, h1 = _Text(_expand(data.as_py()), depth).windows(where)
+            held.append({"c0": h0.view(np.int64), "c1": (h1 >> np.uint64(32)).astype(np.uint32).view(np.int32), "id": np.full(len(where), key[0]),
                          "tag": np.full(len(where), key[1], np.int32), "low": where.astype(np.int32)})
         if not held:
             return pa.Table.from_batches([_packed(np.empty(0, np.int64), True)])
@@ -340,7 +354,7 @@ def _finish(names: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
         settled = _sorted_ranges(marks, True)
         done, out = _by_document(settled), []
         for i, tag, data in zip(*(docs[c] for c in ("_id", "_tag", "_data"))):
-            text, rows = data.as_py(), done.get((i.as_py(), tag.as_py()))
+            text, rows = _expand(data.as_py()), done.get((i.as_py(), tag.as_py()))
             low = high = np.empty(0, np.int64)
             if rows is not None:
                 low, high = _merged(settled["low"][rows].astype(np.int64), (settled["low"][rows] + settled["n"][rows]).astype(np.int64))
@@ -388,7 +402,8 @@ def remove_repeats(
         F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("_tag"),
         text.cast("binary").alias("_data"))
     placed = data.withColumn("_part", F.pmod(
-        F.pmod("_id", F.lit(parts)) * 31 + F.pmod("_tag", F.lit(parts)), F.lit(parts)).cast("int"))
+        F.pmod("_id", F.lit(parts)) * 31 + F.pmod("_tag", F.lit(parts)), F.lit(parts)).cast("int")).select(
+        "_id", "_tag", "_part", "_data").mapInArrow(_compressed, "_id long, _tag int, _part int, _data binary")
     long_enough = data.where(F.length("_data") >= depth)
     first = long_enough.mapInArrow(_first_pass(depth, parts, parts, 2 * part_bytes), _SCHEMA)
     # Groups and documents are dealt over the same numbers, so what a pass has
