@@ -16,7 +16,10 @@ count plus ``mu``. They sum to one whatever is unseen.
 from __future__ import annotations
 
 import tempfile
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,20 @@ _END = xxhash.xxh64_intdigest(b"\n")        # no word has a line break in it
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def sorted_order(keys: np.ndarray, universe: int) -> np.ndarray:
+    """Like argsort of numbers below ``universe``, by one sort of keys that carry their places."""
+    bits = len(keys).bit_length()
+    spare = max(0, bits + (universe - 1).bit_length() - 64)
+    packed = (keys.astype(np.uint64) >> np.uint64(spare)) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if spare:
+        there = keys[order]
+        if (there[1:] < there[:-1]).any():          # some differ in the bits that gave way only
+            order = order[np.argsort(there, kind="stable")]
+    return order
+
+
 # -- Elias-Fano --------------------------------------------------------------
 
 
@@ -52,14 +69,28 @@ class EliasFano:
         unary = unary[:len(unary) // 64 * 64]
         self.high = np.packbits(unary, bitorder="little").view(np.uint64)
         self.zeros = np.r_[0, np.cumsum(64 - np.bitwise_count(self.high).astype(np.int64))].astype(np.uint32)
+        # The word that holds every 32nd zero, and beyond the last one.
+        self.hints = np.r_[np.searchsorted(self.zeros, np.arange(0, int(self.zeros[-1]), 32), "right") - 1, len(self.high) - 1]
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"low": self.low, "high": self.high, "zeros": self.zeros}
+        return {"low": self.low, "high": self.high, "zeros": self.zeros, "hints": self.hints}
+
+    def _word(self, asked: np.ndarray) -> np.ndarray:
+        """The word that holds each of these zeros."""
+        lo, hi = self.hints[asked >> 5], self.hints[(asked >> 5) + 1]
+        while True:
+            open_ = np.flatnonzero(lo < hi)
+            if not len(open_):
+                return lo
+            middle = (lo[open_] + hi[open_] + 1) // 2
+            before = self.zeros[middle] <= asked[open_]
+            lo[open_[before]] = middle[before]
+            hi[open_[~before]] = middle[~before] - 1
 
     def _upto(self, high: np.ndarray) -> np.ndarray:
         """How many values have high bits of at most ``high`` (-1: none)."""
         asked = np.clip(high, 0, self.last)
-        word = np.searchsorted(self.zeros, asked, "right") - 1
+        word = self._word(asked)
         rest = asked - self.zeros[word].astype(np.int64)      # which zero of the word, from 0
         flipped, at = ~self.high[word], np.zeros(len(asked), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
@@ -70,6 +101,16 @@ class EliasFano:
             at += np.where(over, width, 0)
         return np.where(high < 0, 0, word * 64 + at - asked)
 
+    def _run_end(self, begin: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """``begin`` plus the ones that follow there: as ``_upto(high)``, mostly from one word."""
+        at = np.minimum(begin + np.maximum(high, 0), len(self.high) * 64 - 1)
+        zeros = ~self.high[at >> 6] >> (at & 63).astype(np.uint64)
+        ones = np.bitwise_count((zeros & (~zeros + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        end = begin + ones
+        further = np.flatnonzero(zeros == 0)
+        end[further] = self._upto(high[further])
+        return end
+
     def _low_at(self, index: np.ndarray) -> np.ndarray:
         bit = index * self.shift
         eights = np.ndarray(len(self.low) - 7, "<u8", self.low, strides=(1,))
@@ -81,7 +122,8 @@ class EliasFano:
         high = (keys >> np.uint64(self.shift)).astype(np.int64)
         low = keys & np.uint64((1 << self.shift) - 1)
         beyond = high > self.last
-        lo, end = self._upto(high - 1), self._upto(high)
+        lo = self._upto(high - 1)
+        end = self._run_end(lo, high)
         lo, end = np.where(beyond, self.n, lo), np.where(beyond, self.n, end)
         hi = end.copy()
         while True:
@@ -112,28 +154,25 @@ class Trie:
     """Three levels of n-grams with their counts: what a part of the documents asks for."""
 
     def __init__(self, words: np.ndarray, pairs: tuple, triples: tuple, total: int, types: int, mu: Sequence[float]):
-        """``words``: count of each word id; ``pairs``: (u, w, count) sorted; ``triples``: (u, v, w, count).
+        """``words``: count of each word id; ``pairs``: (u, w, count), sorted.
 
-        Counts are above 0. A triple without its pairs, which a digest that two
-        n-grams share can leave, is passed over.
+        ``triples``: (index of the pair (u, v), index of (v, w), count).
+        Counts are above 0. A triple without its pairs (index -1), which a
+        digest that two n-grams share can leave, is passed over.
         """
         self.size, self.mu = len(words), mu
         unigram = np.log10((words + 1) / (total + types + 1))
         u, w, n = pairs
         p1 = 10.0 ** unigram
         p2 = (n + mu[0] * p1[w]) / (words[u] + mu[0])
-        keys = u * self.size + w
-        self.second = EliasFano(keys, max(1, self.size) ** 2)
+        self.second = EliasFano(u * self.size + w, max(1, self.size) ** 2)
         begins = np.searchsorted(u, np.arange(self.size + 1))
         self.widest = int(np.diff(begins).max(initial=0)) or 1
-        a, b, c, m = triples
-        last = max(0, len(keys) - 1)
-        first = np.minimum(np.searchsorted(keys, a * self.size + b), last)
-        after = np.minimum(np.searchsorted(keys, b * self.size + c), last)
-        there = (keys[first] == a * self.size + b) & (keys[after] == b * self.size + c) if len(keys) else np.zeros(len(a), bool)
-        first, after, b, m = first[there], after[there], b[there], m[there]
-        place = first * self.widest + after - begins[b]        # relative to the context's successors
-        order = np.argsort(place, kind="stable")
+        first, after, m = triples
+        there = (first >= 0) & (after >= 0)
+        first, after, m = first[there], after[there], m[there]
+        place = first * self.widest + after - begins[w[first]]        # relative to the context's successors
+        order = sorted_order(place, max(1, len(u) * self.widest))
         place, first, after, m = place[order], first[order], after[order], m[order]
         p3 = (m + mu[1] * p2[after]) / (n[first] + mu[1])
         self.third = EliasFano(place, max(1, len(u) * self.widest))
@@ -163,23 +202,30 @@ class Trie:
             values = np.frombuffer(self.file, kind, n, at)
             setattr(self if name is None else getattr(self, name), key, values)
 
-    def scores(self, tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; ``place`` is its position in its document."""
+    def scores(self, grams: "PartGrams") -> np.ndarray:
+        """log10 probability of each token. Every n-gram of the part is asked for once."""
+        tokens, place = grams.tokens, grams.place
         one = self.books[0][self.p1[tokens]]
         u = np.r_[0, tokens[:-1]]
-        has = place > 0
-        at, seen = self.second.successor(u * self.size + tokens)
-        seen &= has
-        two = one + np.where(has, self.books[3][self.b1[u]], 0.0)
+        two = one + np.where(place > 0, self.books[3][self.b1[u]], 0.0)
+        where = grams.levels[1][3]
+        at, seen = self.second.successor(u[where] * self.size + tokens[where])
+        at, seen = grams.spread(1, at), grams.spread(1, seen)
         two[seen] = self.books[1][self.p2[at[seen]]]
         # Below the context (u, v): its index, and the token's place among v's successors.
         context, known = np.r_[0, at[:-1]], np.r_[False, seen[:-1]] & (place > 1)
         three = two.copy()
         three[known] += self.books[4][self.b2[context[known]]]
-        asked = np.flatnonzero(known & seen)
-        begin = self._begin(u[asked])
-        deep, hit = self.third.successor(context[asked] * self.widest + at[asked] - begin)
-        three[asked[hit]] = self.books[2][self.p3[deep[hit]]]
+        where = grams.levels[2][3]
+        asked = np.flatnonzero(known[where] & seen[where])
+        where = where[asked]
+        begins = self._begin(np.arange(self.size))
+        found, hits = self.third.successor(context[where] * self.widest + at[where] - begins[u[where]])
+        values = np.full(len(grams.levels[2][0]), np.nan)
+        values[asked[hits]] = self.books[2][self.p3[found[hits]]]
+        values = grams.spread(2, values)
+        hit = ~np.isnan(values) & (place > 1)
+        three[hit] = values[hit]
         return three
 
     def _begin(self, words: np.ndarray) -> np.ndarray:
@@ -202,41 +248,69 @@ class Trie:
 
 
 class PartGrams:
-    """Tokens of a part's documents and its distinct n-grams, in an order that depends on them alone."""
+    """Tokens of a part's documents and its distinct n-grams, in an order that depends on them alone.
+
+    ``levels`` has per length: keys in order, the bucket's bounds among them,
+    how often each is learnt from, one place of each, and at each place the
+    number of the n-gram that ends there.
+    """
 
     def __init__(self, docs: pa.Table, buckets: int):
-        numbers: dict[bytes, int] = {}
-        number, flat, self.lengths = numbers.setdefault, [], []
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        flat, self.lengths = array("q"), []
         expand = zstandard.ZstdDecompressor().decompress
         for data in docs["_data"]:
             words = expand(data.as_py()).lower().split()
-            flat.extend([number(w, len(numbers)) for w in words])
+            flat.extend(map(numbers.__getitem__, words))
             flat.append(-1)
             self.lengths.append(len(words) + 1)
-        keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
         keys = np.r_[keys, np.uint64(_END)]
-        tokens = np.array(flat, np.int64)
+        tokens = np.frombuffer(flat, np.int64).copy()
         tokens[tokens < 0] = len(numbers)
-        self.place = np.concatenate([np.arange(n) for n in self.lengths]) if self.lengths else np.empty(0, np.int64)
-        held = np.repeat(docs["_held"].to_numpy(zero_copy_only=False).astype(bool), self.lengths) if self.lengths else np.empty(0, bool)
-        self.levels = []        # (keys, bucket) sorted by both, and train count
-        order = np.lexsort((keys, keys % np.uint64(buckets)))
+        lengths = np.array(self.lengths, np.int64)
+        self.place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        learnt = ~np.repeat(docs["_held"].to_numpy(zero_copy_only=False).astype(bool), lengths)
+        order = sorted_order(keys, 1 << 64)
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         self.tokens, self.keys = back[tokens], keys[order]
+        where = np.zeros(len(self.keys), np.int64)
+        where[self.tokens] = np.arange(len(tokens))
+        counts = np.bincount(self.tokens, learnt, len(self.keys)).astype(np.int32)
+        self.levels = [(self.keys, _bounds(self.keys, buckets), counts, where, self.tokens)]
         mine = self.keys[self.tokens]
         grams = mine
-        for level in range(1, ORDER + 1):
-            if level > 1:
-                x = (np.r_[np.uint64(0), grams[:-1]] ^ (np.uint64(level) * _B)) * _A
-                grams = ((x ^ (x >> np.uint64(29))) * _B + mine) * _A
-                grams ^= grams >> np.uint64(32)
+        for level in range(2, ORDER + 1):
+            x = (np.r_[np.uint64(0), grams[:-1]] ^ np.uint64(level * int(_B) % 2**64)) * _A
+            grams = ((x ^ (x >> np.uint64(29))) * _B + mine) * _A
+            grams ^= grams >> np.uint64(32)
             there = np.flatnonzero(self.place >= level - 1)
-            distinct, first, inverse = np.unique(grams[there], return_index=True, return_inverse=True)
-            counts = np.bincount(inverse, ~held[there], len(distinct)).astype(np.int32)
-            bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((distinct, bucket))
-            self.levels.append((distinct[order], bucket[order], counts[order], there[first][order]))
+            there = there[sorted_order(grams[there], 1 << 64)]
+            ordered = grams[there]
+            new = np.ones(len(there), bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            starts = np.flatnonzero(new)
+            counts = np.add.reduceat(learnt[there], starts, dtype=np.int32) if len(starts) else np.empty(0, np.int32)
+            number = np.zeros(len(tokens), np.int64)
+            number[there] = np.cumsum(new) - 1
+            self.levels.append((ordered[starts], _bounds(ordered[starts], buckets), counts, there[starts], number))
+
+    def spread(self, level: int, values: np.ndarray) -> np.ndarray:
+        """Values of the distinct n-grams at every place; where none ends, zero."""
+        out = np.zeros(len(self.tokens), values.dtype)
+        there = self.place >= level
+        out[there] = values[self.levels[level][4][there]]
+        return out
+
+
+def _bucket_starts(buckets: int) -> np.ndarray:
+    """First key of each bucket: buckets are equal ranges of keys."""
+    return np.arange(buckets, dtype=np.uint64) * np.uint64(-(-2**64 // buckets) % 2**64)
+
+
+def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return np.r_[np.searchsorted(keys, _bucket_starts(buckets)), len(keys)]
 
 
 _COUNTS = "dest int, part int, level int, keys binary, n binary"
@@ -251,14 +325,18 @@ def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_held", "_part")), data], names=["_id", "_held", "_part", "_data"])
 
 
-def _pack(values: np.ndarray) -> bytes:
+def _packer() -> Callable[[np.ndarray], bytes]:
     """Numbers as one compressed string, byte by byte of their width: most are small."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    shrink = zstandard.ZstdCompressor(level=1).compress
+
+    def pack(values: np.ndarray) -> bytes:
+        return shrink(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+
+    return pack
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
@@ -269,13 +347,14 @@ def _gaps(keys: np.ndarray) -> np.ndarray:
 
 def _count(buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(docs: pa.Table) -> pa.Table:
-        part, out = docs["_part"][0].as_py(), []
-        for level, (keys, bucket, counts, _) in enumerate(PartGrams(docs, buckets).levels, 1):
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
-            # The bucket and 32 more bits tell longer n-grams apart; words take all 64.
-            sent = keys if level == 1 else (keys >> np.uint64(32)).astype(np.uint32)
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
-                out.append((int(bucket[a]), part, level, _pack(_gaps(sent[a:b])), _pack(counts[a:b])))
+        part, out, pack, first = docs["_part"][0].as_py(), [], _packer(), _bucket_starts(buckets)
+        spare = np.uint64(max(0, (-(-2**64 // buckets) - 1).bit_length() - 32))
+        for level, (keys, bounds, counts, _, _) in enumerate(PartGrams(docs, buckets).levels, 1):
+            for k in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+                a, b = bounds[k], bounds[k + 1]
+                # The bucket and 32 bits after it tell longer n-grams apart; words take all 64.
+                sent = keys[a:b] if level == 1 else ((keys[a:b] - first[k]) >> spare).astype(np.uint32)
+                out.append((k, part, level, pack(_gaps(sent)), pack(counts[a:b])))
         types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["dest", "part", "level", "keys", "n"])
 
@@ -284,20 +363,24 @@ def _count(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 def _add_up(table: pa.Table) -> pa.Table:
     """Counts of a bucket over all parts, answered to each in its own order."""
-    dest, parts, levels, answers, totals, types = table["dest"][0].as_py(), [], [], [], [], []
+    dest, pack, parts, levels, answers, totals, types = table["dest"][0].as_py(), _packer(), [], [], [], [], []
     for level in range(1, ORDER + 1):
         rows = table.filter(pa.compute.equal(table["level"], level))
         if not rows.num_rows:
             continue
         kind = np.uint64 if level == 1 else np.uint32
         keys = [np.cumsum(_unpack(k.as_py(), kind), dtype=kind) for k in rows["keys"]]
-        n = np.concatenate([_unpack(x.as_py(), np.int32) for x in rows["n"]])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, n).astype(np.int64)
-        found = np.minimum(sums, 2**31 - 1).astype(np.int32)[inverse]
+        n = np.concatenate([_unpack(x.as_py(), np.int32) for x in rows["n"]]).astype(np.int64)
+        every = np.concatenate(keys)
+        order = sorted_order(every, 1 << (64 if level == 1 else 32))
+        every = every[order]
+        starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        sums = np.add.reduceat(n[order], starts)
+        found = np.empty(len(every), np.int32)
+        found[order] = np.repeat(np.minimum(sums, 2**31 - 1), np.diff(np.r_[starts, len(every)]))
         parts += [*rows["part"].to_pylist(), -1]
         levels += [level] * (rows.num_rows + 1)
-        answers += [*map(_pack, np.split(found, np.cumsum([len(k) for k in keys])[:-1])), b""]
+        answers += [*map(pack, np.split(found, np.cumsum([len(k) for k in keys])[:-1])), b""]
         totals += [None] * rows.num_rows + [int(sums.sum())]
         types += [None] * rows.num_rows + [int((sums > 0).sum())]
     return pa.Table.from_arrays(
@@ -318,19 +401,21 @@ def _score(buckets: int, total: int, types: int, mu: Sequence[float]) -> Callabl
         for level in range(1, ORDER + 1):
             rows = answers.filter(pa.compute.equal(answers["level"], level)).sort_by("dest")
             counts.append(np.concatenate([np.empty(0, np.int32), *[_unpack(c.as_py(), np.int32) for c in rows["c"]]]).astype(np.int64))
-        # Levels 2 and 3 as word numbers, from where each n-gram stands first.
-        t = grams.tokens
+        # Pairs by their words, triples by the numbers of their pairs.
+        t, words = grams.tokens, counts[0]
         seen = [np.flatnonzero(c > 0) for c in counts]
         at2, at3 = grams.levels[1][3][seen[1]], grams.levels[2][3][seen[2]]
-        words = np.zeros(len(grams.keys), np.int64)
-        words[t[grams.levels[0][3]]] = counts[0]
-        order = np.argsort(t[at2 - 1] * len(words) + t[at2])
+        keys = t[at2 - 1] * len(words) + t[at2]
+        order = sorted_order(keys, max(1, len(words)) ** 2)
         at2, pair_counts = at2[order], counts[1][seen[1]][order]
-        trie = Trie(words, (t[at2 - 1], t[at2], pair_counts), (t[at3 - 2], t[at3 - 1], t[at3], counts[2][seen[2]]), total, types, mu)
+        rank = np.full(len(counts[1]), -1)
+        rank[seen[1][order]] = np.arange(len(order))
+        pair = rank[grams.levels[1][4]] if len(rank) else np.full(len(t), -1)
+        trie = Trie(words, (t[at2 - 1], t[at2], pair_counts), (pair[at3 - 1], pair[at3], counts[2][seen[2]]), total, types, mu)
         starts = np.r_[0, np.cumsum(grams.lengths)[:-1]].astype(np.int64)
         c = words[t]
         base = np.add.reduceat(np.log10((c + 1) / (total + types + 1)), starts)
-        score = np.add.reduceat(trie.scores(t, grams.place), starts)
+        score = np.add.reduceat(trie.scores(grams), starts)
         return pa.Table.from_arrays(
             [docs["_id"], docs["_held"], pa.array(np.array(grams.lengths, np.int64)),
              pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(base), pa.array(score)],
