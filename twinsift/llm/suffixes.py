@@ -157,8 +157,8 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
 
 
 _KINDS = {"digit": np.int32, "context": np.int32, "c0": np.int64, "c1": np.int32, "id": np.int64, "tag": np.int32, "low": np.int32, "n": np.int32}
-_SCHEMA = "dest int, settled boolean, " + ", ".join(
-    f"{c} array<{'bigint' if t is np.int64 else 'int'}>" for c, t in _KINDS.items())
+_SCHEMA = "dest int, settled boolean, columns string, data binary"
+_PACKED = pa.schema([("dest", pa.int32()), ("settled", pa.bool_()), ("columns", pa.string()), ("data", pa.binary())])
 
 
 def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,23 +175,30 @@ def _expand(data: bytes) -> bytes:
 
 
 def _packed(dest: np.ndarray, settled: bool, **columns: np.ndarray) -> pa.RecordBatch:
-    """One row per destination, with its values as arrays in the given order."""
+    """One row per destination: its values byte by byte of their width, compressed."""
     order = np.argsort(dest, kind="stable")
     dest = dest[order]
-    starts = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]]) if len(dest) else np.empty(0, np.int64)
-    offsets = pa.array(np.r_[starts, len(dest)] if len(dest) else [0], pa.int32())
-    empty = pa.array(np.zeros(len(starts) + 1, np.int32))
-    lists = [
-        pa.ListArray.from_arrays(offsets, pa.array(columns[c][order].astype(t, copy=False))) if c in columns
-        else pa.ListArray.from_arrays(empty, pa.array(np.empty(0, t))) for c, t in _KINDS.items()]
+    starts = _group_starts(dest)
+    names, shrink = [c for c in _KINDS if c in columns], zstandard.ZstdCompressor(level=1).compress
+    values = [np.ascontiguousarray(columns[c][order], _KINDS[c]) for c in names]
+    planes = [v.view(np.uint8).reshape(len(v), v.itemsize).T for v in values]
+    data = [shrink(b"".join(p[:, a:b].tobytes() for p in planes))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(dest)])]
     return pa.RecordBatch.from_arrays(
-        [pa.array(dest[starts].astype(np.int32)), pa.array(np.full(len(starts), settled)), *lists],
-        names=["dest", "settled", *_KINDS])
+        [pa.array(dest[starts], pa.int32()), pa.array(np.full(len(starts), settled)),
+         pa.array([" ".join(names)] * len(starts), pa.string()), pa.array(data, pa.binary())], schema=_PACKED)
 
 
 def _flat(table: pa.Table) -> dict[str, np.ndarray]:
-    return {c: np.concatenate([np.empty(0, t), *[x.flatten().to_numpy(zero_copy_only=False) for x in table[c].chunks]]).astype(t)
-            for c, t in _KINDS.items()}
+    """All values of packed rows; columns that they lack are empty."""
+    found: dict[str, list[np.ndarray]] = {c: [np.empty(0, t)] for c, t in _KINDS.items()}
+    for names, data in zip(table["columns"].to_pylist(), table["data"]):
+        kinds = {c: np.dtype(_KINDS[c]) for c in names.split()}
+        planes = np.frombuffer(_expand(data.as_py()), np.uint8).reshape(sum(k.itemsize for k in kinds.values()), -1)
+        for c, kind in kinds.items():
+            found[c].append(np.ascontiguousarray(planes[:kind.itemsize].T).view(kind).ravel())
+            planes = planes[kind.itemsize:]
+    return {c: np.concatenate(v) for c, v in found.items()}
 
 
 def _part(ids: np.ndarray, tags: np.ndarray, parts: int) -> np.ndarray:
@@ -254,7 +261,7 @@ def _first_pass(depth: int, buckets: int, parts: int, flush: int) -> Callable[[I
 
 def _taken_apart(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     """Rows that are settled and only pass through, and the group's own."""
-    table = table.select(["dest", "settled", *_KINDS])
+    table = table.select(_PACKED.names)
     settled = table["settled"]
     return table.filter(settled), table.filter(pa.compute.invert(settled))
 
