@@ -157,8 +157,8 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
 
 
 _KINDS = {"digit": np.int32, "context": np.int32, "c0": np.int64, "c1": np.int32, "id": np.int64, "tag": np.int32, "low": np.int32, "n": np.int32}
-_SCHEMA = "dest int, settled boolean, columns string, data binary"
-_PACKED = pa.schema([("dest", pa.int32()), ("settled", pa.bool_()), ("columns", pa.string()), ("data", pa.binary())])
+_SCHEMA = "dest int, settled boolean, columns string, data array<binary>"
+_PACKED = pa.schema([("dest", pa.int32()), ("settled", pa.bool_()), ("columns", pa.string()), ("data", pa.list_(pa.binary()))])
 
 
 def _compressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,29 +175,28 @@ def _expand(data: bytes) -> bytes:
 
 
 def _packed(dest: np.ndarray, settled: bool, **columns: np.ndarray) -> pa.RecordBatch:
-    """One row per destination: its values byte by byte of their width, compressed."""
+    """One row per destination: its columns byte by byte of their width, each compressed by itself."""
     order = np.argsort(dest, kind="stable")
     dest = dest[order]
     starts = _group_starts(dest)
     names, shrink = [c for c in _KINDS if c in columns], zstandard.ZstdCompressor(level=1).compress
     values = [np.ascontiguousarray(columns[c][order], _KINDS[c]) for c in names]
     planes = [v.view(np.uint8).reshape(len(v), v.itemsize).T for v in values]
-    data = [shrink(b"".join(p[:, a:b].tobytes() for p in planes))
+    data = [[shrink(p[:, a:b].tobytes()) for p in planes]
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(dest)])]
     return pa.RecordBatch.from_arrays(
         [pa.array(dest[starts], pa.int32()), pa.array(np.full(len(starts), settled)),
-         pa.array([" ".join(names)] * len(starts), pa.string()), pa.array(data, pa.binary())], schema=_PACKED)
+         pa.array([" ".join(names)] * len(starts), pa.string()), pa.array(data, pa.list_(pa.binary()))], schema=_PACKED)
 
 
 def _flat(table: pa.Table) -> dict[str, np.ndarray]:
     """All values of packed rows; columns that they lack are empty."""
     found: dict[str, list[np.ndarray]] = {c: [np.empty(0, t)] for c, t in _KINDS.items()}
     for names, data in zip(table["columns"].to_pylist(), table["data"]):
-        kinds = {c: np.dtype(_KINDS[c]) for c in names.split()}
-        planes = np.frombuffer(_expand(data.as_py()), np.uint8).reshape(sum(k.itemsize for k in kinds.values()), -1)
-        for c, kind in kinds.items():
-            found[c].append(np.ascontiguousarray(planes[:kind.itemsize].T).view(kind).ravel())
-            planes = planes[kind.itemsize:]
+        for c, column in zip(names.split(), data.as_py()):
+            kind = np.dtype(_KINDS[c])
+            planes = np.frombuffer(_expand(column), np.uint8).reshape(kind.itemsize, -1)
+            found[c].append(np.ascontiguousarray(planes.T).view(kind).ravel())
     return {c: np.concatenate(v) for c, v in found.items()}
 
 
