@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     each text.
     """
     keyed = _keyed(docs)
-    found = simhash.near_duplicates(keyed, ["doc_id", "_k"], shingle=5, limit=44, words64=4, bands=32)
+    found = simhash.near_duplicates(keyed, ["doc_id", "_k"], shingle=5, limit=44, words64=4, miss=0.02, hot_nodes=4_096)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("code")).alias("_c")).agg(
         F.min("_k").alias("_k")).select("_k")

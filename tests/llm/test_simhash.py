@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from twinsift.llm import simhash
+from twinsift.operators.components import connected_components
 
 
 def plain(text, k=3):
@@ -120,6 +121,37 @@ def test_long_codes_find_near_copies(spark):
     assert sum(out[i + 120] == i for i in range(120)) >= 118 and all(out[i] == i for i in range(120))
 
 
+@pytest.mark.parametrize("width", [12, 18, 24])
+def test_recall_does_not_fall_with_the_width(spark, width):
+    rng = np.random.default_rng(width)
+    codes = rng.integers(0, 2**64, (300, 4), np.uint64)
+    moved = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
+    for row in moved:
+        row[rng.choice(256, 44, replace=False)] ^= 1
+    both = np.r_[codes, np.packbits(moved, axis=1, bitorder="little").view(np.uint64)].view(np.int64)
+    nodes = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(both)], "node long, code array<long>")
+    links = simhash.near_links(nodes, 44, 4, 16_384, 44, 0.02, width=width).distinct().collect()
+    assert sum({r.src, r.dst} == {i, i + 300} for r in links for i in [min(r.src, r.dst)]) >= 288
+
+
+@pytest.mark.parametrize("hot", [60, 8])
+def test_hot_top_nodes_are_divided(spark, hot):
+    rng = np.random.default_rng(hot)
+    codes = rng.integers(0, 2**64, (40, 1), np.uint64).repeat(10, axis=0)
+    codes ^= np.uint64(1) << rng.integers(0, 64, (400, 1), np.uint64)
+    codes = np.unique(codes, axis=0)
+    rows = [(k % 2, int(c), [int(c)]) for k in (0, 1) for c in codes[:, 0].view(np.int64)]
+    tops = spark.createDataFrame(rows, "top long, node long, code array<long>")
+    links = simhash.banded_links(tops, len(rows), 2, 1, hot)
+    seen = dict(connected_components(links).collect())
+    values = codes[:, 0].tolist()
+    expected = reachable(set(values), 2)
+    groups = lambda of: {frozenset(v for v in values if of(v) == g) for g in map(of, values)}
+    assert groups(expected.get) == groups(lambda v: seen.get(int(np.uint64(v).view(np.int64)), v))
+    dealt = simhash.in_cells(tops.where("top = 0").withColumnRenamed("top", "_top").withColumn("left", F.lit(True)), "_top", hot)
+    assert dealt.groupBy("top").count().agg(F.max("count")).first()[0] < 6 * hot < len(codes) * 2
+
+
 def test_nothing(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 

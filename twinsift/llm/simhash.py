@@ -11,6 +11,7 @@ down add up, and where they exceed the limit, whole groups are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import partial
 
@@ -302,21 +303,70 @@ def banded_tops(nodes: DataFrame, bands: int, width: int, n: int) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("top"), "node", "code")
 
 
+def bands_needed(width: int, bits: int, limit: int, miss: float) -> int:
+    """Choices of ``width`` bits until a pair ``limit`` bits apart is missed with probability ``miss`` at most."""
+    meet = math.prod((bits - limit - i) / (bits - i) for i in range(width))
+    return math.ceil(math.log(miss) / math.log1p(-meet))
+
+
+def in_cells(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows (node, left, ...) dealt to ``top``s so that each with ``left`` meets every row of its key.
+
+    The rows of a key are cut into blocks of about ``size``, and so are those
+    with ``left``; a block of each meets in one cell. Keys without ``left`` rows
+    are left out.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_all"), F.count_if("left").alias("_few")).where("_few > 0").select(
+        key, *[F.ceil(F.col(c) / size).cast("int").alias(c) for c in ("_all", "_few")])
+    rows = rows.join(sizes, key)
+    block = lambda c: F.pmod(F.xxhash64("node", F.lit(SEED)), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    every = rows.withColumn("_i", block("_all")).withColumn("_j", each("_few")).withColumn("left", F.lit(False))
+    few = rows.where("left").withColumn("_j", block("_few")).withColumn("_i", each("_all"))
+    return every.unionByName(few).withColumn("top", F.xxhash64(key, "_i", "_j")).drop(key, "_i", "_j", "_all", "_few")
+
+
+def banded_links(tops: DataFrame, count: int, limit: int, n: int, hot_nodes: int) -> DataFrame:
+    """Links below the ``count`` rows of ``tops``; those of a top node over ``hot_nodes`` codes in parts.
+
+    The codes of a hot top node that are near its smallest one are linked by
+    that; the others meet all codes of the node, in cells. So the components
+    are those of an undivided search. Hot ones are looked for by counts of
+    slots that hold many top nodes, as most top nodes have one code.
+    """
+    slot = F.pmod("top", F.lit(8 * count // hot_nodes + 1)).alias("_slot")
+    crowded = tops.groupBy(slot).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_nodes).select("_slot")
+    hot = durable(tops.withColumn("_slot", slot).join(crowded, "_slot", "left_semi").groupBy("top").agg(
+        F.count("*").alias("_n"), F.min(F.struct("node", "code")).alias("_low")).where(F.col("_n") > hot_nodes))
+    search = lambda x: x.select("top", "node", "code").repartition("top").sortWithinPartitions("top").mapInArrow(
+        _search(limit, n), "src long, dst long")
+    if hot.isEmpty():
+        return search(tops)
+    apart = sum((F.bit_count(F.get("code", F.lit(k)).bitwiseXOR(F.get("_low.code", F.lit(k)))) for k in range(n)), F.lit(0))
+    rows = durable(tops.join(hot.drop("_n"), "top").where(F.col("node") != F.col("_low.node")).select(
+        "top", "node", "code", F.col("_low.node").alias("dst"), (apart > limit).alias("left")))
+    return search(tops.join(hot, "top", "left_anti")).unionByName(
+        rows.where("NOT left").select(F.col("node").alias("src"), "dst").distinct()).unionByName(
+        search(in_cells(rows.drop("dst").withColumnRenamed("top", "_top"), "_top", hot_nodes)))
+
+
 # -- the operator ------------------------------------------------------------
 
 
 def near_duplicates(
     docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text",
     shingle: int = 3, limit: int = 2, words64: int = 1, bands: int | None = None, width: int | None = None,
-    hot_nodes: int = 16_384,
+    hot_nodes: int = 16_384, miss: float | None = None,
 ) -> DataFrame:
     """The ``keep`` columns of every row, ``code`` (fingerprint words) and ``component_id``.
 
     Rows link if their fingerprints differ in at most ``limit`` bits;
     ``component_id`` is the smallest id reachable, null if there is none.
-    Without ``bands``, fingerprints of one word are searched exactly. With
-    ``bands``, fingerprints of ``words64`` words meet by bands of ``width``
-    bits (by default two less than the bits of the number of fingerprints).
+    Without ``bands`` and ``miss``, fingerprints of one word are searched
+    exactly. Otherwise fingerprints of ``words64`` words meet by bands of
+    ``width`` bits (by default eight less than the bits of the number of
+    fingerprints, 12 at least): as many as ``bands`` says, or as a pair at the
+    limit needs to be missed with probability ``miss`` at most.
 
     Null and empty texts have fingerprint zero and link like any other. Null
     ids are never the smallest. Repeated rows are one fingerprint; the links
@@ -329,15 +379,30 @@ def near_duplicates(
     ).withColumn("node", F.get("code", F.lit(0)) if words64 == 1 else F.xxhash64("code")))
     nodes = durable(marked.groupBy("node").agg(F.first("code").alias("code"), F.min("_id").alias("_first")))
     codes = nodes.select("node", "code")
-    if bands is None:
+    if bands is None and miss is None:
         tops = exact_tops(codes, limit, hot_nodes)
+        links = tops.repartition("top").sortWithinPartitions("top").mapInArrow(
+            _search(limit, words64), "src long, dst long")
     else:
-        tops = banded_tops(codes, bands, width or max(12, nodes.count().bit_length() - 2), words64)
-    links = tops.repartition("top").sortWithinPartitions("top").mapInArrow(
-        _search(limit, words64), "src long, dst long")
+        links = near_links(codes, limit, words64, hot_nodes, limit, miss, bands, width)
+    return marked.join(_lowest_ids(nodes, links), "node").select("_row.*", "code", "component_id")
+
+
+def near_links(
+    codes: DataFrame, limit: int, words64: int, hot_nodes: int, aim: int, miss: float | None,
+    bands: int | None = None, width: int | None = None,
+) -> DataFrame:
+    """Links that join codes within ``limit`` bits; bands follow the width for pairs ``aim`` bits apart."""
+    count = codes.count()
+    width = width or max(12, count.bit_length() - 8)
+    bands = bands or bands_needed(width, 64 * words64, aim, miss)
+    return banded_links(banded_tops(codes, bands, width, words64), bands * count, limit, words64, hot_nodes)
+
+
+def _lowest_ids(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component_id): the smallest id (``_first``) of what the links join."""
     named = connected_components(links)
-    members = durable(nodes.drop("code").join(named, "node", "left").select(
+    members = durable(nodes.select("node", "_first").join(named, "node", "left").select(
         "node", F.coalesce("component", "node").alias("_c"), "_first"))
     lowest = members.groupBy("_c").agg(F.min("_first").alias("component_id"))
-    labels = members.join(lowest, "_c").select("node", "component_id")
-    return marked.join(labels, "node").select("_row.*", "code", "component_id")
+    return members.join(lowest, "_c").select("node", "component_id")
