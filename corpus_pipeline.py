@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinsift.llm import credentials, mixing, quality, simhash, tiling
+from twinsift.llm import credentials, mixing, near_copies, quality, tiling
 from twinsift.llm.common import new_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,16 +30,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id.
 
-    Near are texts whose sets of five-word shingles are similar by 0.8 or
-    more, as 256-bit fingerprints tell: that similarity is an angle of 38.8
-    differing bits on average, with a standard deviation of 5.7, so 44 bits
-    are allowed. Of repeated rows one stays; of a group without ids, one of
-    each text.
+    Near are texts whose sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more. Fingerprints of the sets propose the pairs: that similarity
+    is an angle of 38.8 of 256 bits on average, with a standard deviation of
+    5.7, so pairs of up to 60 bits are compared. Of repeated rows one stays;
+    of a group without ids, one of each set.
     """
     keyed = _keyed(docs)
-    found = simhash.near_duplicates(keyed, ["doc_id", "_k"], shingle=5, limit=44, words64=4, miss=0.02, hot_nodes=4_096)
+    found = near_copies.near_copies(keyed, "_k", ("doc_id", "_k"))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("code")).alias("_c")).agg(
+    stays = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("_c")).agg(
         F.min("_k").alias("_k")).select("_k")
     return keyed.join(stays, "_k", "left_semi").dropDuplicates(["_k"]).select(*COLUMNS)
 

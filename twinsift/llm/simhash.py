@@ -44,6 +44,16 @@ def _words_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def majority(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprint of ``64 * n`` bits of a set of hashes; zero of none."""
+    ones = np.zeros(64 * n, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        bits = np.unpackbits(_words_of(hashes[at:at + _CHUNK], n).view(np.uint8), axis=1, bitorder="little")
+        for low in range(0, len(bits), 255):
+            ones += bits[low:low + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
 def simhash(text: bytes, shingle: int, n: int) -> np.ndarray:
     """Fingerprint of ``64 * n`` bits as n words; zero without words."""
     words = text.lower().split()
