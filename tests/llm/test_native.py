@@ -104,6 +104,18 @@ def test_quality(which, small_docs, odd_docs):
         assert sum(r.kept for r in out) > 0.6 * len(out)
 
 
+@pytest.mark.parametrize("junk", [15, 50, 100])
+def test_quality_with_a_third_of_junk(spark, junk):
+    """100 good texts of a language; junk of 13, 33 and 50 percent; and a language of two texts."""
+    spelt = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    good = [" ".join(f"the {spelt(7 * i + k)} of {spelt(i * i + 3 * k + 1000)}, and" for i in range(60)) for k in range(100)]
+    bad = [" ".join(f"#$%&|{i}{k} *<>$$" for i in range(120)) for k in range(junk)]
+    rows = [(i, t, "en") for i, t in enumerate(good + bad)] + [(1000, good[0], "xx"), (1001, bad[0], "xx")]
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [kept[i] for i in range(100)] == [True] * 100 and not any(kept[i] for i in range(100, 100 + junk))
+    assert kept[1000] and not kept[1001]
+
+
 def test_js_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.1, 0.4, 0.5]
     m = [(a + b) / 2 for a, b in zip(p, q)]

@@ -2,13 +2,14 @@
 
 Two histograms describe a text: classes of its characters, and how often the
 common words of the languages occur. The reference of a language is the mean
-histogram of its longer texts. The Jensen-Shannon distance between the two
-decides, for texts long enough to tell.
+histogram of its longer texts that are near their medians, so that bad texts
+do not move it. The Jensen-Shannon distance between the two decides, for texts
+long enough to tell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,6 +29,12 @@ CHAR_CLASSES = {
 }
 
 
+# Shares of letters, digits, space, symbols and marks in running
+# prose, for languages whose own texts cannot tell.
+PROSE = [0.81, 0.005, 0.16, 0.0, 0.025]
+_PROSE_PARTS = [["lower", "upper", "rest"], ["digit"], ["space"], ["symbol"], ["mark"]]
+
+
 def _tripled(words: Column) -> Column:
     """Number of words inside 3-word windows that occur twice or more.
 
@@ -100,6 +107,39 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 2, F.lit(0.0)))
 
 
+def _as_prose(p: Column) -> Column:
+    """Class shares summed to the parts of ``PROSE``; other letters are what no class keeps."""
+    names = [*CHAR_CLASSES, "rest"]
+    return F.array(*[sum((F.get(p, F.lit(names.index(x))) for x in part), F.lit(0.0)) for part in _PROSE_PARTS])
+
+
+def _prose_distance(p: Column) -> Column:
+    return js_distance(_as_prose(p), F.array(*[F.lit(x) for x in PROSE]))
+
+
+def _references(facts: DataFrame, least: int, max_char: float, max_word: float) -> DataFrame:
+    """Per ``_lang`` with ``least`` texts: mean histograms of the texts near the medians of all.
+
+    Medians stay while fewer than half of the texts are bad. Where more are,
+    with characters unlike prose, the language has no reference.
+    """
+    sizes = {"_p": len(CHAR_CLASSES) + 1, "_q": len(COMMON_WORDS) + 1}
+
+    def table(rows: DataFrame, of: Callable[[Column], Column], count: Column) -> DataFrame:
+        bins = [of(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
+        return rows.groupBy("_lang").agg(count.alias("_n"), *bins).select("_lang", "_n", *[
+            F.array(*[F.col(f"{c}{i}") for i in range(n)]).alias(f"_ref{c}") for c, n in sizes.items()])
+
+    medians = table(facts, lambda x: F.percentile_approx(x, 0.5, 1000), F.count("*")).where(F.col("_n") >= least)
+    for c in sizes:
+        whole = F.aggregate(f"_ref{c}", F.lit(0.0), lambda s, x: s + x)
+        medians = medians.withColumn(f"_ref{c}", F.transform(f"_ref{c}", lambda x: x / whole))
+    near = facts.join(F.broadcast(durable(medians.drop("_n"))), "_lang").where(
+        (js_distance(F.col("_p"), F.col("_ref_p")) <= max_char) & (js_distance(F.col("_q"), F.col("_ref_q")) <= max_word))
+    return table(near.drop("_ref_p", "_ref_q"), F.avg, F.count("*")).where(
+        _prose_distance(F.col("_ref_p")) <= max_char).drop("_n")
+
+
 def quality_rules(
     docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", lang_col: str = "lang",
     min_words: int = 50, repeat_percent: int = 50, judge_words: int = 100, reference_texts: int = 20,
@@ -110,9 +150,10 @@ def quality_rules(
     ``base_failed``: fewer than ``min_words`` words, or over ``repeat_percent``
     percent of them in repeated 3-word windows. Texts of ``judge_words`` words
     and more that passed are compared with the reference of their language;
-    shorter ones keep the base verdict, and so do those of a language with
-    fewer than ``reference_texts`` such texts. Distances of texts not judged
-    are null.
+    shorter ones keep the base verdict. In a language with fewer than
+    ``reference_texts`` such texts, or with a majority unlike prose, letters,
+    digits, space, symbols and marks are compared with ``PROSE`` and words are
+    not. Distances of texts not judged are null.
 
     A null text counts as empty and fails. A null language is a language of
     its own. Repeated rows are judged alike, an empty table gives no rows.
@@ -128,14 +169,12 @@ def quality_rules(
         _shares(F.col("_bins"), F.col("n_words")).alias("_q"),
     ).drop("_classes", "_bins", "_chars"))
     judged = ~F.col("base_failed") & (F.col("n_words") >= judge_words)
-    sizes = {"_p": len(CHAR_CLASSES) + 1, "_q": len(COMMON_WORDS) + 1}
-    means = [F.avg(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
-    references = facts.where(judged).groupBy("_lang").agg(F.count("*").alias("_n"), *means).where(
-        F.col("_n") >= reference_texts).select("_lang", *[
-            F.array(*[F.col(f"{c}{i}") for i in range(n)]).alias(f"_ref{c}") for c, n in sizes.items()])
+    references = _references(facts.where(judged).select("_lang", "_p", "_q"), reference_texts, max_char_distance, max_word_distance)
+    known = F.col("_ref_p").isNotNull()
     compared = facts.join(references, "_lang", "left").withColumns({
-        "char_distance": F.when(judged, js_distance(F.col("_p"), F.col("_ref_p"))),
-        "word_distance": F.when(judged, js_distance(F.col("_q"), F.col("_ref_q"))),
+        "char_distance": F.when(judged & known, js_distance(F.col("_p"), F.col("_ref_p"))).when(
+            judged, _prose_distance(F.col("_p"))),
+        "word_distance": F.when(judged & known, js_distance(F.col("_q"), F.col("_ref_q"))),
     })
     far = (F.col("char_distance") > max_char_distance) | (F.col("word_distance") > max_word_distance)
     return compared.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(
