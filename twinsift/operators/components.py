@@ -1,19 +1,101 @@
 """Connected components of an edge table.
 
-Alternating star contraction (Kiveris et al., "Connected Components in
-MapReduce and Beyond", 2014): every round links each node's neighbours to the
-smallest of them. The number of rounds grows with the logarithm of the longest
-path, not with the path itself.
+Before anything is exchanged, every task replaces its edges by a spanning
+forest of stars: each node it has met points to the smallest node reachable in
+the task. However many edges a node has, it leaves with one link. Dealt by
+node, the links of all tasks are contracted once more the same way.
+
+What is left goes through alternating star contraction (Kiveris et al.,
+"Connected Components in MapReduce and Beyond", 2014): every round links each
+node's neighbours to the smallest of them. The number of rounds grows with the
+logarithm of the longest path, not with the path itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import skew
 from .durable import durable
 
 
+FOREST_EDGES = 2_000_000    # edges a task contracts at once
+
+
+def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 with edges a-b: the smallest node of each one's component."""
+    names = np.arange(n)
+    while True:
+        x, y = names[a], names[b]
+        apart = x != y
+        if not apart.any():
+            return names
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        low = np.minimum(x, y)
+        np.minimum.at(names, x, low)
+        np.minimum.at(names, y, low)
+        while True:
+            further = names[names]
+            if np.array_equal(further, names):
+                break
+            names = further
+
+
+def _stars(u: pa.ChunkedArray, v: pa.ChunkedArray) -> pa.RecordBatch:
+    """Links (node, smallest node reachable) of all nodes but the smallest ones."""
+    nodes = pc.unique(pa.chunked_array([*u.chunks, *v.chunks]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    code = lambda x: pc.index_in(x, value_set=nodes).to_numpy().astype(np.int64)
+    names = smallest_reachable(len(nodes), code(u), code(v))
+    moved = np.flatnonzero(names != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(names[moved]))], names=["u", "v"])
+
+
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contract a task's edges, ``FOREST_EDGES`` of them at a time.
+
+    The links of one portion go into the next as long as they are few beside
+    it, so a node met all over the task still leaves once.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def stars() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        return _stars(table.column(0), table.column(1))
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= FOREST_EDGES:
+            done = stars()
+            if done.num_rows > FOREST_EDGES // 2:
+                yield done
+                held, size = [], 0
+            else:
+                held, size = [done], done.num_rows
+    if held:
+        yield stars()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links (u, v), u > v, with the components of the edges (u, v), few per node.
+
+    A node has a link per task it was met in at most; the tasks that the links
+    are dealt to by node join these names, so that the nodes of a dense group
+    end with the same, smallest one.
+    """
+    kind = edges.schema["u"].dataType
+    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    return edges.mapInArrow(_forest, schema).repartition("u").mapInArrow(_forest, schema).distinct()
+
+
 def _neighbour_minimum(edges: DataFrame) -> DataFrame:
     """Per node ``u`` the smallest neighbour and the number of neighbours."""
     return edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
@@ -73,9 +155,7 @@ def connected_components(
     round brings closer, so it goes on until they are.
     """
     a, b = F.col(src), F.col(dst)
-    links = durable(
-        edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    )
+    links = durable(contracted(edges.where(a != b).select(a.alias("u"), b.alias("v"))))
     while True:
         settled, links_of_one = _shape(links)
         if settled:
