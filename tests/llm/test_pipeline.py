@@ -61,3 +61,10 @@ def test_entry_has_all():
     import __spark_entry__ as entry
     names = entry.queries()
     assert "pipeline" in names and all(sum(k.startswith(f"op{n}_") for k in names) == 1 for n in range(1, 11))
+
+
+def test_keys_tell_nulls_apart(spark):
+    rows = [(5, "abc", None, "s", 3), (5, None, "abc", "s", 3), (5, None, None, "abc", 3), (None, "abc", None, "s", 3),
+            (5, "abc", None, "s", None), (5, "abc", None, "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert pipeline._keyed(docs).select("_k").distinct().count() == 5

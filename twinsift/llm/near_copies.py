@@ -15,9 +15,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators import skew
 from ..operators.components import connected_components
 from .common import durable, text_of
-from .simhash import _CHUNK, _lowest_ids, _raw_texts, in_cells, majority, near_links
+from .simhash import _CHUNK, HOT_ROWS, _lowest_ids, _raw_texts, in_cells, majority, near_links
 
 _SEED = 42
 _CELL = 256     # rows of a block of a group
@@ -140,15 +141,16 @@ def near_copies(
     sets = durable(texts.groupBy("component", "node").agg(F.first("_text").alias("_text")).select(
         "component", "node", _sets(F.col("_text"), shingle).alias("set")).where(F.length("set") > 0))
     others = sets.where("node <> component")
-    pivots = sets.where("node = component").select("component", F.col("set").alias("_low"))
-    compared = others.join(pivots, "component").select(
-        "component", "node", _alike(F.col("set"), F.col("_low"), similarity).alias("near"))
-    compared = durable(compared)
+    # A group's rows are divided by their number wherever they meet the group's facts.
+    counts = sets.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1")
+    pivots = sets.where("node = component").select("component", F.col("set").alias("_low")).join(counts, "component")
+    compared = durable(skew.join_to_groups(others, pivots, "component", "_n", "node", HOT_ROWS, settle=True).select(
+        "component", "node", _alike(F.col("set"), F.col("_low"), similarity).alias("near")))
     found = compared.where("near").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     open_ = compared.groupBy("component").agg(F.count("*").alias("_n"), F.count_if(~F.col("near")).alias("_far")).where(
-        "_n > 1 AND _far > 0").select("component")
-    rest = others.join(compared.join(open_, "component", "left_semi"), ["component", "node"]).withColumn(
-        "left", ~F.col("near"))
+        "_n > 1 AND _far > 0").select("component", "_n")
+    doubtful = skew.join_to_groups(compared, open_, "component", "_n", "node", HOT_ROWS, settle=True).drop("_n")
+    rest = others.join(doubtful, ["component", "node"]).withColumn("left", ~F.col("near"))
     cells = in_cells(rest, "component", _CELL).select("top", "node", "set", "near", "left")
     found = found.unionByName(cells.groupBy("top").applyInArrow(_cell(similarity), "src long, dst long"))
     return marked.join(_lowest_ids(nodes, found), "node").select("_row.*", "node", "component_id")

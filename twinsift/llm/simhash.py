@@ -20,10 +20,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators import skew
 from ..operators.components import connected_components
 from .common import durable, text_of
 
 SEED = 42
+HOT_ROWS = 1_024            # rows of a group that one task joins to the group's facts
 _CHUNK = 255 * 64           # shingles taken at once: 255 ones fit in a byte
 _LEAF, _FAN = 32, 8
 _FRONTIER = 1 << 20         # node pairs held at once
@@ -216,7 +218,7 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
 
 
 def _linked_rows(tops: np.ndarray, nodes: np.ndarray, codes: np.ndarray, limit: int) -> pa.RecordBatch:
-    """Links (node, smallest linked row's node) of complete groups of equal tops."""
+    """Links (node, smallest node it is linked with) of complete groups of equal tops."""
     starts = np.flatnonzero(np.r_[True, tops[1:] != tops[:-1]])
     sizes = np.diff(np.r_[starts, len(tops)])
     labels = np.arange(len(tops))
@@ -225,8 +227,12 @@ def _linked_rows(tops: np.ndarray, nodes: np.ndarray, codes: np.ndarray, limit:
     for start, size in zip(starts[~small], sizes[~small]):
         rows = start + gray_order(codes[start:start + size])
         labels[rows] = rows[GrayIndex(codes[rows]).components(limit)]
-    moved = np.flatnonzero(labels != np.arange(len(tops)))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[labels[moved]])], names=["src", "dst"])
+    # Named by the smallest node, a dense group is called the same below most of its top nodes.
+    low = nodes.copy()
+    np.minimum.at(low, labels, nodes)
+    names = low[labels]
+    moved = np.flatnonzero(names != nodes)
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(names[moved])], names=["src", "dst"])
 
 
 def _search(limit: int, n: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -326,9 +332,9 @@ def in_cells(rows: DataFrame, key: str, size: int) -> DataFrame:
     with ``left``; a block of each meets in one cell. Keys without ``left`` rows
     are left out.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_all"), F.count_if("left").alias("_few")).where("_few > 0").select(
-        key, *[F.ceil(F.col(c) / size).cast("int").alias(c) for c in ("_all", "_few")])
-    rows = rows.join(sizes, key)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), F.count_if("left").alias("_few")).where("_few > 0").select(
+        key, "_n", *[F.ceil(F.col(c) / size).cast("int").alias(name) for c, name in (("_n", "_all"), ("_few", "_few"))])
+    rows = skew.join_to_groups(rows, sizes, key, "_n", "node", HOT_ROWS, settle=True).drop("_n")
     block = lambda c: F.pmod(F.xxhash64("node", F.lit(SEED)), F.col(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     every = rows.withColumn("_i", block("_all")).withColumn("_j", each("_few")).withColumn("left", F.lit(False))
