@@ -15,9 +15,12 @@ ORACLE_SQL = None
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key that only equal rows share: the id, and a hash of the rest."""
-    rest = F.hex(F.xxhash64("text", "lang", "source"))
-    return docs.select(*COLUMNS, F.concat_ws(":", F.col("doc_id").cast("string"), rest).alias("_k"))
+    """Rows with a key that only equal rows share: the id, and a hash of the rest.
+
+    The hash passes over nulls, so it is told where they are.
+    """
+    rest = F.hex(F.xxhash64(*[x for c in COLUMNS[1:] for x in (F.col(c), F.isnull(c))]))
+    return docs.select(*COLUMNS, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), rest).alias("_k"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
