@@ -75,3 +75,28 @@ def test_anchors_cover_all_windows():
 
 def test_nothing(no_docs):
     assert suffixes.remove_repeats(no_docs).count() == 0
+
+
+def test_equal_phrases_in_different_surroundings(spark):
+    """Two texts around one phrase whose contexts agree in 32 bits of a hash, and many more such texts."""
+    pair = [(1, "tlbjfcxp  jvcxtfcxmiwpwba zwfdahftepdltcciowuqkhwwvfqvbzshftlsuswaonbdatazgcjmhyenigurochssiynnjbmakxgrc"),
+            (2, "liylgboihfjfelbmdsosoajrvudvbc uohzjmycsciowuqkhwwvfqvbzshftlsusourgcgpxhqa ufamnzooswenlnnxtevmjflifauv")]
+    rng = np.random.default_rng(11)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    noise = letters[rng.integers(0, len(letters), (20_000, 80))]
+    rows = pair + [(10 + i, noise[i, :40].tobytes().decode() + "ciowuqkhwwvfqvbzshftlsus" + noise[i, 40:].tobytes().decode())
+                   for i in range(len(noise))]
+    for given in (pair, rows):
+        out = suffixes.remove_repeats(spark.createDataFrame(given, "doc_id long, text string"))
+        assert out.where("n_removed > 0 OR n_spans > 0 OR n_bytes <> 104").count() == 0
+
+
+@pytest.mark.parametrize("part_bytes", [1_500, 1 << 20])
+def test_hot_digits(spark, part_bytes):
+    rng = random.Random(part_bytes)
+    phrase = "the license of this text is"
+    ends = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(30)]
+    rows = [(rng.randrange(90), rng.choice(ends) + phrase + rng.choice(ends) + rng.choice(["", phrase])) for _ in range(110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in (1, 4, 10_000):
+        assert run(docs, part_bytes=part_bytes, hot_digit=hot) == plain(rows)

@@ -13,9 +13,12 @@ most significant digits; what stays equal to the end are the repeated windows.
 * Second pass, for one suffix of each context of a divided group: its windows
   by their whole bytes. Equal groups are the repeated windows.
 
-Digits and contexts are told apart by 32 bits each on top of the bucket's, which
-grow with the table; windows by 96 bits. Every task first keeps the smallest id of each key it meets, so a
-passage that many documents share is few rows by the time it is shuffled.
+Digits are told apart by 32 bits on top of the bucket's, which only decide what
+is looked at further; contexts and windows, by which text goes, by 96 bits.
+Every task first keeps the smallest id of each key it meets, so a passage that
+many documents share is few rows by the time it is shuffled. A digit with many
+different contexts (a phrase in changing surroundings) is dealt by context: its
+rows all go to the second pass, and one mark tells the digit's own bucket so.
 """
 
 from __future__ import annotations
@@ -135,20 +138,21 @@ class Anchored(_Text):
         self.at, self.first, self.last = (np.concatenate(x) if x else none for x in (at, first, last))
         self.digit = digits[self.at]
 
-    def contexts(self) -> np.ndarray:
-        """Hash of all bytes that windows with the anchor can have, cut at the ends."""
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes (64 and 32 bits) of all bytes that windows with the anchor can have, cut at the ends."""
         span = self.depth - DIGIT
         size = self.depth + span
         lo = self.at - span
         whole = (lo >= 0) & (lo + size <= len(self.data))
-        out = np.zeros(len(self.at), np.uint64)
+        out, more = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint32)
         out[whole] = self._at(lo[whole], size, 1)
+        more[whole] = self._at(lo[whole], size, 4) >> np.uint64(32)
         for k in np.flatnonzero(~whole).tolist():
             a = int(self.at[k])
             piece = self.data[max(0, a - span):a + self.depth].tobytes()
-            digest = hashlib.blake2b(piece, digest_size=8, salt=min(a, span).to_bytes(8, "little")).digest()
-            out[k] = int.from_bytes(digest, "little")
-        return out
+            digest = hashlib.blake2b(piece, digest_size=12, salt=min(a, span).to_bytes(8, "little")).digest()
+            out[k], more[k] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+        return out.view(np.int64), more.view(np.int32)
 
 
 def _ramp(sizes: np.ndarray) -> np.ndarray:
@@ -156,7 +160,7 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-_KINDS = {"digit": np.int32, "context": np.int32, "c0": np.int64, "c1": np.int32, "id": np.int64, "tag": np.int32, "low": np.int32, "n": np.int32}
+_KINDS = {"digit": np.int32, "hot": np.int8, "c0": np.int64, "c1": np.int32, "id": np.int64, "tag": np.int32, "low": np.int32, "n": np.int32}
 _SCHEMA = "dest int, settled boolean, columns string, data array<binary>"
 _PACKED = pa.schema([("dest", pa.int32()), ("settled", pa.bool_()), ("columns", pa.string()), ("data", pa.list_(pa.binary()))])
 
@@ -222,18 +226,31 @@ def _settle(rows: dict[str, np.ndarray], depth: int, parts: int) -> pa.RecordBat
                    low=rows["low"], n=rows["n"] + depth - 1)
 
 
-def _first_pass(depth: int, buckets: int, parts: int, flush: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _first_pass(depth: int, buckets: int, parts: int, flush: int, hot_digit: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def packed(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-        order = np.lexsort((rows["id"], rows["context"], rows["whole"]))
+        held.clear()
+        order = np.lexsort((rows["id"], rows["c1"], rows["c0"], rows["whole"]))
         sorted_ids = rows["id"][order]
         least = np.empty_like(sorted_ids)
-        least[order] = _smallest(sorted_ids, _group_starts(rows["whole"][order], rows["context"][order]))
+        least[order] = _smallest(sorted_ids, _group_starts(*(rows[c][order] for c in ("whole", "c0", "c1"))))
         gone = rows["id"] > least
+        del order, sorted_ids, least
         yield _settle({c: v[gone] for c, v in rows.items()}, depth, parts)
         rest = {c: v[~gone] for c, v in rows.items()}
-        bucket = (rest["whole"] % np.uint64(buckets)).astype(np.int64)
-        rest["digit"] = (rest.pop("whole") >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        del rows
+        whole = rest.pop("whole")
+        bucket = (whole % np.uint64(buckets)).astype(np.int64)
+        rest["digit"] = (whole >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        digits, which, count = np.unique(whole, return_inverse=True, return_counts=True)
+        hot = count[which] > hot_digit
+        rest["hot"] = hot.astype(np.int8)
+        if hot.any():
+            bucket[hot] = rest["c0"][hot] % buckets
+            marks = digits[count > hot_digit]
+            yield _packed((marks % np.uint64(buckets)).astype(np.int64), False, **{
+                c: np.zeros(len(marks), t) for c, t in _KINDS.items()} | {
+                "hot": np.ones(len(marks), np.int8), "digit": (marks >> np.uint64(32)).astype(np.uint32).view(np.int32)})
         yield _packed(bucket, False, **rest)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +261,9 @@ def _first_pass(depth: int, buckets: int, parts: int, flush: int) -> Callable[[I
                 if not len(text.at):
                     continue
                 n = len(text.at)
+                c0, c1 = text.contexts()
                 held.append({
-                    "whole": text.digit, "context": text.contexts().astype(np.uint32).view(np.int32), "id": np.full(n, i.as_py()),
+                    "whole": text.digit, "c0": c0, "c1": c1, "id": np.full(n, i.as_py()),
                     "tag": np.full(n, tag.as_py(), np.int32), "low": text.first.astype(np.int32),
                     "n": (text.last - text.first + 1).astype(np.int32)})
                 size += len(text.data)
@@ -269,19 +287,28 @@ def _first_groups(depth: int, parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         done, table = _taken_apart(table)
         rows = _flat(table)
-        order = np.lexsort((rows["id"], rows["context"], rows["digit"]))
+        order = np.lexsort((rows["id"], rows["c1"], rows["c0"], rows["digit"]))
         rows = {c: v[order] for c, v in rows.items() if len(v)}
         if not rows:
             return done
-        inner = _group_starts(rows["digit"], rows["context"])
-        least = _smallest(rows["id"], inner)
-        gone = rows["id"] > least
+        real = rows["n"] > 0            # the others mark hot digits
+        marked = np.zeros(len(order), bool)
+        if rows["hot"].any():
+            marked = np.isin(rows["digit"], rows["digit"][rows["hot"] > 0])
+            rows = {c: v[real] for c, v in rows.items()}
+            marked = marked[real]
+        inner = _group_starts(rows["digit"], rows["c0"], rows["c1"])
+        gone = rows["id"] > _smallest(rows["id"], inner)
         outer = _group_starts(rows["digit"])
-        sizes = np.diff(np.r_[outer, len(order)])
+        if not len(outer):
+            return done
+        sizes = np.diff(np.r_[outer, len(gone)])
         first = np.repeat(np.minimum.reduceat(rows["id"], outer), sizes)
         last = np.repeat(np.maximum.reduceat(rows["id"], outer), sizes)
-        contexts = np.repeat(np.add.reduceat(np.isin(np.arange(len(order)), inner).astype(np.int64), outer), sizes)
-        divided = ~gone & (contexts > 1) & (first < last)
+        begins = np.zeros(len(gone), np.int64)
+        begins[inner] = 1
+        contexts = np.repeat(np.add.reduceat(begins, outer), sizes)
+        divided = ~gone & (marked | ((contexts > 1) & (first < last)))
         open_ = {c: rows[c][divided] for c in ("id", "tag", "low", "n")}
         return pa.concat_tables([done, pa.Table.from_batches([
             _settle({c: v[gone] for c, v in rows.items()}, depth, parts),
@@ -387,7 +414,7 @@ def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50,
-    part_bytes: int = 16 << 20, with_text: bool = False,
+    part_bytes: int = 16 << 20, with_text: bool = False, hot_digit: int = 256,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, ``kept`` too if wanted.
 
@@ -399,7 +426,8 @@ def remove_repeats(
     nothing away and loses nothing. Texts shorter than ``depth`` stay. An
     empty table gives no rows; other columns are left out. Documents are dealt
     in parts of about ``part_bytes``, so tasks hold a part each, whatever the
-    size of the table. ``depth`` is at least twice ``DIGIT``.
+    size of the table. A digit with more than ``hot_digit`` contexts in a part
+    is dealt by context. ``depth`` is at least twice ``DIGIT``.
     """
     text = text_of(text_col)
     sizes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -411,7 +439,7 @@ def remove_repeats(
         F.pmod("_id", F.lit(parts)) * 31 + F.pmod("_tag", F.lit(parts)), F.lit(parts)).cast("int")).select(
         "_id", "_tag", "_part", "_data").mapInArrow(_compressed, "_id long, _tag int, _part int, _data binary")
     long_enough = data.where(F.length("_data") >= depth)
-    first = long_enough.mapInArrow(_first_pass(depth, parts, parts, 2 * part_bytes), _SCHEMA)
+    first = long_enough.mapInArrow(_first_pass(depth, parts, parts, part_bytes, hot_digit), _SCHEMA)
     # Groups and documents are dealt over the same numbers, so what a pass has
     # settled goes along with its groups and no pass is read twice.
     marks = durable(first.groupBy("dest").applyInArrow(_first_groups(depth, parts), _SCHEMA))
