@@ -42,8 +42,15 @@ FROM e GROUP BY conv_id"""
 _COUNTS = ", ".join(f"length(regexp_replace(text, {_quoted(p)}, '', 'g'))" for p in quality.CHAR_CLASSES.values())
 _SYMBOL = list(quality.CHAR_CLASSES).index("symbol") + 1
 
+_JS = """sqrt(greatest(sum(
+    CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0))"""
+_BINS = [*quality.CHAR_CLASSES, "rest"]
+_PARTS = ", ".join(f"('c', '{(_BINS.index(x) + 1) % len(_BINS)}', {k})" for k, part in enumerate(quality._PROSE_PARTS) for x in part)
+_PROSE = ", ".join(f"({k}, {q}::DOUBLE)" for k, q in enumerate(quality.PROSE))
+
 QUALITY = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+WITH parts(kind, bin, part) AS (VALUES {_PARTS}), prose(part, q) AS (VALUES {_PROSE}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 l AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, [{_COUNTS}] AS classes FROM d),
 w AS (SELECT rid, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM l),
 g AS (SELECT rid, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
@@ -66,11 +73,22 @@ shares AS (
   UNION ALL SELECT rid, 'w', '', (n_words - coalesce((SELECT sum(n) FROM common WHERE common.rid = judged.rid), 0))
     / greatest(n_words, 1)::DOUBLE FROM judged),
 compared AS (SELECT shares.*, lang FROM shares JOIN judged USING (rid) WHERE NOT base_failed AND n_words >= 100),
-refs AS (SELECT lang, kind, bin, avg(p) AS q FROM compared GROUP BY ALL HAVING count(*) >= 20),
-far AS (SELECT rid, kind, sqrt(greatest(sum(
-    CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS js
-  FROM compared JOIN refs USING (lang, kind, bin) GROUP BY rid, kind),
-worst AS (SELECT rid, bool_or(js > CASE kind WHEN 'c' THEN 0.30 ELSE 0.55 END) AS far FROM far GROUP BY rid)
+counted AS (SELECT lang, kind, bin, floor(p * 1000)::BIGINT AS v, count(*) AS c FROM compared GROUP BY ALL),
+upto AS (SELECT *, sum(c) OVER (PARTITION BY lang, kind, bin ORDER BY v) AS n, sum(c) OVER (PARTITION BY lang, kind, bin) AS whole FROM counted),
+medians AS (SELECT lang, kind, bin, min(v) / 1000.0::DOUBLE AS m FROM upto WHERE 2 * n >= whole GROUP BY ALL),
+mids AS (SELECT lang, kind, bin, m / nullif(sum(m) OVER (PARTITION BY lang, kind), 0) AS q FROM medians),
+away AS (SELECT rid, kind, {_JS} AS js FROM compared JOIN mids USING (lang, kind, bin) GROUP BY rid, kind),
+near AS (SELECT rid FROM away GROUP BY rid HAVING bool_and(js <= CASE kind WHEN 'c' THEN 0.30 ELSE 0.55 END) IS TRUE AND count(js) = 2),
+means AS (SELECT lang, kind, bin, avg(p) AS q, count(*) AS texts FROM compared JOIN near USING (rid) GROUP BY ALL),
+alike AS (SELECT lang FROM (SELECT lang, part, sum(m.q) AS p, max(s.q) AS q FROM means m JOIN parts USING (kind, bin) JOIN prose s USING (part)
+  GROUP BY lang, part) GROUP BY lang HAVING {_JS} <= 0.30),
+refs AS (SELECT * FROM means WHERE EXISTS (FROM alike WHERE alike.lang = means.lang)),
+plain AS (SELECT rid, {_JS} AS js FROM (SELECT rid, part, sum(p) AS p, max(q) AS q FROM compared JOIN parts USING (kind, bin) JOIN prose USING (part)
+  GROUP BY rid, part) GROUP BY rid),
+own AS (SELECT rid, kind, {_JS} AS js, max(texts) / (max(texts) + 20)::DOUBLE AS weight FROM compared JOIN refs USING (lang, kind, bin) GROUP BY rid, kind),
+worst AS (SELECT plain.rid, coalesce(c.weight * c.js, 0) + (1 - coalesce(c.weight, 0)) * plain.js > 0.30
+    OR coalesce(w.weight * w.js > 0.55, false) AS far
+  FROM plain LEFT JOIN own c ON c.rid = plain.rid AND c.kind = 'c' LEFT JOIN own w ON w.rid = plain.rid AND w.kind = 'w')
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(far, false) AS kept

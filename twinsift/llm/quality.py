@@ -3,15 +3,15 @@
 Two histograms describe a text: classes of its characters, and how often the
 common words of the languages occur. The reference of a language is the mean
 histogram of its longer texts that are near their medians, so that bad texts
-do not move it. The Jensen-Shannon distance between the two decides, for texts
-long enough to tell.
+do not move it. The fewer these are, the more fixed shares of prose count beside
+it. The Jensen-Shannon distance decides, for texts long enough to tell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import durable, text_of, word_list
 
@@ -74,9 +74,12 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.withColumn("_at", _covered(F.col("_hashed")))
     n = F.size("_words").cast("long")
     classes = [F.length(F.regexp_replace("_text", drop, "")).cast("long") for drop in CHAR_CLASSES.values()]
-    words = F.transform(
-        F.array(*[F.lit(w) for w in COMMON_WORDS]),
-        lambda b: F.size(F.filter("_common", lambda w: w == b)).cast("long"))
+    # Sorted with one more of each, a word begins where the one before it ends.
+    order = sorted(COMMON_WORDS)
+    step = step.withColumn("_sorted", F.when(F.size("_common") > 0, F.sort_array(
+        F.concat("_common", F.array(*[F.lit(w) for w in order]))))).withColumn(
+        "_begin", F.array(*[F.array_position("_sorted", w) for w in order], (F.size("_sorted") + 1).cast("long")))
+    words = F.array(*[F.get("_begin", F.lit(order.index(w) + 1)) - F.get("_begin", F.lit(order.index(w))) - 1 for w in COMMON_WORDS])
     step = step.withColumn("n_words", n).withColumn("_classes", F.array(*classes)).withColumn(
         "_bins", F.when(F.size("_common") > 0, words).otherwise(F.array_repeat(F.lit(0).cast("long"), len(COMMON_WORDS))))
     symbol = list(CHAR_CLASSES).index("symbol")
@@ -88,7 +91,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words", F.coalesce(_united(F.col("_at")), F.lit(0)).cast("long"),
     ).withColumn(
         "_chars", F.length("_text").cast("long"),
-    ).drop("_text", "_words", "_hashed", "_common", "_lines", "_at")
+    ).drop("_text", "_words", "_hashed", "_common", "_sorted", "_begin", "_lines", "_at")
 
 
 def _shares(counts: Column, total: Column) -> Column:
@@ -117,27 +120,43 @@ def _prose_distance(p: Column) -> Column:
     return js_distance(_as_prose(p), F.array(*[F.lit(x) for x in PROSE]))
 
 
-def _references(facts: DataFrame, least: int, max_char: float, max_word: float) -> DataFrame:
-    """Per ``_lang`` with ``least`` texts: mean histograms of the texts near the medians of all.
+def _medians(facts: DataFrame) -> DataFrame:
+    """(_lang, _mid_p, _mid_q): medians of the shares in thousandths, scaled to a sum of one.
+
+    Counted by value: a language has a thousand rows per bin at most, and the
+    median is the smallest value that half of the texts do not exceed.
+    """
+    first = len(CHAR_CLASSES) + 1
+    values = facts.select("_lang", F.posexplode(F.transform(
+        F.concat("_p", "_q"), lambda x: F.floor(x * 1000))).alias("_bin", "_v"))
+    counts = values.groupBy("_lang", "_bin", "_v").agg(F.count("*").alias("_c"))
+    bin_ = Window.partitionBy("_lang", "_bin")
+    counts = counts.withColumns({"_upto": F.sum("_c").over(bin_.orderBy("_v")), "_all": F.sum("_c").over(bin_)})
+    medians = counts.where("2 * _upto >= _all").groupBy("_lang", "_bin").agg((F.min("_v") / 1000.0).alias("_m"))
+    listed = medians.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("_bin", "_m")))["_m"].alias("_ms"))
+
+    def scaled(part: Column) -> Column:
+        whole = F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
+        return F.when(whole > 0, F.transform(part, lambda x: x / whole))
+
+    return listed.select("_lang", scaled(F.slice("_ms", 1, first)).alias("_mid_p"),
+                         scaled(F.slice("_ms", first + 1, len(COMMON_WORDS) + 1)).alias("_mid_q"))
+
+
+def _references(facts: DataFrame, max_char: float, max_word: float) -> DataFrame:
+    """(_lang, _texts, _ref_p, _ref_q): mean histograms of the texts near the medians of their language.
 
     Medians stay while fewer than half of the texts are bad. Where more are,
     with characters unlike prose, the language has no reference.
     """
+    near = facts.join(durable(_medians(facts)), "_lang").where(
+        (js_distance(F.col("_p"), F.col("_mid_p")) <= max_char) & (js_distance(F.col("_q"), F.col("_mid_q")) <= max_word))
     sizes = {"_p": len(CHAR_CLASSES) + 1, "_q": len(COMMON_WORDS) + 1}
-
-    def table(rows: DataFrame, of: Callable[[Column], Column], count: Column) -> DataFrame:
-        bins = [of(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
-        return rows.groupBy("_lang").agg(count.alias("_n"), *bins).select("_lang", "_n", *[
-            F.array(*[F.col(f"{c}{i}") for i in range(n)]).alias(f"_ref{c}") for c, n in sizes.items()])
-
-    medians = table(facts, lambda x: F.percentile_approx(x, 0.5, 1000), F.count("*")).where(F.col("_n") >= least)
-    for c in sizes:
-        whole = F.aggregate(f"_ref{c}", F.lit(0.0), lambda s, x: s + x)
-        medians = medians.withColumn(f"_ref{c}", F.transform(f"_ref{c}", lambda x: x / whole))
-    near = facts.join(F.broadcast(durable(medians.drop("_n"))), "_lang").where(
-        (js_distance(F.col("_p"), F.col("_ref_p")) <= max_char) & (js_distance(F.col("_q"), F.col("_ref_q")) <= max_word))
-    return table(near.drop("_ref_p", "_ref_q"), F.avg, F.count("*")).where(
-        _prose_distance(F.col("_ref_p")) <= max_char).drop("_n")
+    means = near.groupBy("_lang").agg(F.count("*").alias("_texts"), *[
+        F.avg(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)])
+    return means.select("_lang", "_texts", *[
+        F.array(*[F.col(f"{c}{i}") for i in range(n)]).alias(f"_ref{c}") for c, n in sizes.items()]).where(
+        _prose_distance(F.col("_ref_p")) <= max_char)
 
 
 def quality_rules(
@@ -150,10 +169,12 @@ def quality_rules(
     ``base_failed``: fewer than ``min_words`` words, or over ``repeat_percent``
     percent of them in repeated 3-word windows. Texts of ``judge_words`` words
     and more that passed are compared with the reference of their language;
-    shorter ones keep the base verdict. In a language with fewer than
-    ``reference_texts`` such texts, or with a majority unlike prose, letters,
-    digits, space, symbols and marks are compared with ``PROSE`` and words are
-    not. Distances of texts not judged are null.
+    shorter ones keep the base verdict. A reference made of n texts has the
+    weight n / (n + ``reference_texts``): the distance of characters is its
+    part of the distance from the reference, the rest that of letters and
+    digits, space, symbols and marks from ``PROSE``; the distance of words is
+    scaled by it. Where a majority is unlike prose the weight is 0. Distances
+    of texts not judged are null.
 
     A null text counts as empty and fails. A null language is a language of
     its own. Repeated rows are judged alike, an empty table gives no rows.
@@ -169,12 +190,14 @@ def quality_rules(
         _shares(F.col("_bins"), F.col("n_words")).alias("_q"),
     ).drop("_classes", "_bins", "_chars"))
     judged = ~F.col("base_failed") & (F.col("n_words") >= judge_words)
-    references = _references(facts.where(judged).select("_lang", "_p", "_q"), reference_texts, max_char_distance, max_word_distance)
-    known = F.col("_ref_p").isNotNull()
+    references = durable(_references(facts.where(judged).select("_lang", "_p", "_q"), max_char_distance, max_word_distance))
+    texts = F.coalesce("_texts", F.lit(0))
+    weight = texts / (texts + reference_texts)
+    known = F.col("_texts").isNotNull()
     compared = facts.join(references, "_lang", "left").withColumns({
-        "char_distance": F.when(judged & known, js_distance(F.col("_p"), F.col("_ref_p"))).when(
-            judged, _prose_distance(F.col("_p"))),
-        "word_distance": F.when(judged & known, js_distance(F.col("_q"), F.col("_ref_q"))),
+        "char_distance": F.when(judged, F.when(known, weight * js_distance(F.col("_p"), F.col("_ref_p"))).otherwise(0.0)
+                                + (1 - weight) * _prose_distance(F.col("_p"))),
+        "word_distance": F.when(judged & known, weight * js_distance(F.col("_q"), F.col("_ref_q"))),
     })
     far = (F.col("char_distance") > max_char_distance) | (F.col("word_distance") > max_word_distance)
     return compared.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(
