@@ -39,7 +39,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length(r) + length(x) + {_MARKS})::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-_COUNTS = ", ".join(f"length(regexp_replace(text, {_quoted(p)}, '', 'g'))" for p in quality.CHAR_CLASSES.values())
+_COUNTS = ", ".join(f"length(text) - length(translate(text, {_quoted(p)}, ''))" for p in quality.CHAR_CLASSES.values())
 _SYMBOL = list(quality.CHAR_CLASSES).index("symbol") + 1
 
 _JS = """sqrt(greatest(sum(

@@ -9,6 +9,7 @@ it. The Jensen-Shannon distance decides, for texts long enough to tell.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,11 +23,13 @@ COMMON_WORDS = [
     "der", "die", "das", "und", "den", "ist", "zu", "von", "ein", "eine", "nicht", "mit",
     "el", "los", "las", "y", "en", "por", "se", "con", "para", "no", "al", "su",
 ]
-# Classes of characters, as what a class keeps of a text.
+# Classes of characters.
+_SYMBOLS = "#*$%&|<>"
 CHAR_CLASSES = {
-    "lower": r"[^a-z]+", "upper": r"[^A-Z]+", "digit": r"[^0-9]+", "space": r"[^\x20\x09-\x0D]+",
-    "symbol": r"[^#*$%&|<>]+", "mark": r"[^!-\"'-)+-/:;=?@\[-`{}~]+",
+    "lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "digit": string.digits, "space": " \t\n\x0b\x0c\r",
+    "symbol": _SYMBOLS, "mark": "".join(c for c in string.punctuation if c not in _SYMBOLS),
 }
+SMALL = 10_000              # languages whose references are broadcast
 
 
 # Shares of letters and digits, space, symbols and marks in running
@@ -64,34 +67,30 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the counts and the two histograms to every row, in one pass over the texts."""
     text = text_of(text_col)
     step = docs.withColumn("_text", text).withColumn("_words", word_list(F.col("_text")))
-    kept = F.regexp_replace("_text", r"[\x20\x09-\x0D]+", "")
     step = (
         step.withColumn("_hashed", _tripled(F.col("_words")))
         .withColumn("_common", F.filter("_words", lambda w: w.isin(COMMON_WORDS)))
         .withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-        .withColumn("word_chars", F.length(kept).cast("long"))
+        .withColumn("_chars", F.length("_text").cast("long"))
     )
     step = step.withColumn("_at", _covered(F.col("_hashed")))
     n = F.size("_words").cast("long")
-    classes = [F.length(F.regexp_replace("_text", drop, "")).cast("long") for drop in CHAR_CLASSES.values()]
-    # Sorted with one more of each, a word begins where the one before it ends.
-    order = sorted(COMMON_WORDS)
-    step = step.withColumn("_sorted", F.when(F.size("_common") > 0, F.sort_array(
-        F.concat("_common", F.array(*[F.lit(w) for w in order]))))).withColumn(
-        "_begin", F.array(*[F.array_position("_sorted", w) for w in order], (F.size("_sorted") + 1).cast("long")))
-    words = F.array(*[F.get("_begin", F.lit(order.index(w) + 1)) - F.get("_begin", F.lit(order.index(w))) - 1 for w in COMMON_WORDS])
+    classes = [F.col("_chars") - F.length(F.translate("_text", chars, "")) for chars in CHAR_CLASSES.values()]
+    words = F.transform(
+        F.array(*[F.lit(w) for w in COMMON_WORDS]),
+        lambda b: F.size(F.filter("_common", lambda w: w == b)).cast("long"))
     step = step.withColumn("n_words", n).withColumn("_classes", F.array(*classes)).withColumn(
         "_bins", F.when(F.size("_common") > 0, words).otherwise(F.array_repeat(F.lit(0).cast("long"), len(COMMON_WORDS))))
-    symbol = list(CHAR_CLASSES).index("symbol")
+    of = lambda name: F.get("_classes", F.lit(list(CHAR_CLASSES).index(name)))
     return step.withColumn(
-        "n_symbols", F.get("_classes", F.lit(symbol)),
+        "n_symbols", of("symbol"),
+    ).withColumn(
+        "word_chars", F.col("_chars") - of("space"),
     ).withColumn(
         "n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     ).withColumn(
         "n_repeat_words", F.coalesce(_united(F.col("_at")), F.lit(0)).cast("long"),
-    ).withColumn(
-        "_chars", F.length("_text").cast("long"),
-    ).drop("_text", "_words", "_hashed", "_common", "_sorted", "_begin", "_lines", "_at")
+    ).drop("_text", "_words", "_hashed", "_common", "_lines", "_at")
 
 
 def _shares(counts: Column, total: Column) -> Column:
@@ -143,13 +142,23 @@ def _medians(facts: DataFrame) -> DataFrame:
                          scaled(F.slice("_ms", first + 1, len(COMMON_WORDS) + 1)).alias("_mid_q"))
 
 
+def _by_language(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Join one row per language, about a kilobyte each, to all texts of it.
+
+    Up to ``SMALL`` languages are broadcast, so that a language with most of
+    the rows is no task of its own; more of them are small beside the table.
+    """
+    table = durable(table)
+    return rows.join(F.broadcast(table) if table.count() <= SMALL else table, "_lang", how)
+
+
 def _references(facts: DataFrame, max_char: float, max_word: float) -> DataFrame:
     """(_lang, _texts, _ref_p, _ref_q): mean histograms of the texts near the medians of their language.
 
     Medians stay while fewer than half of the texts are bad. Where more are,
     with characters unlike prose, the language has no reference.
     """
-    near = facts.join(durable(_medians(facts)), "_lang").where(
+    near = _by_language(facts, _medians(facts)).where(
         (js_distance(F.col("_p"), F.col("_mid_p")) <= max_char) & (js_distance(F.col("_q"), F.col("_mid_q")) <= max_word))
     sizes = {"_p": len(CHAR_CLASSES) + 1, "_q": len(COMMON_WORDS) + 1}
     means = near.groupBy("_lang").agg(F.count("*").alias("_texts"), *[
@@ -190,11 +199,11 @@ def quality_rules(
         _shares(F.col("_bins"), F.col("n_words")).alias("_q"),
     ).drop("_classes", "_bins", "_chars"))
     judged = ~F.col("base_failed") & (F.col("n_words") >= judge_words)
-    references = durable(_references(facts.where(judged).select("_lang", "_p", "_q"), max_char_distance, max_word_distance))
+    references = _references(facts.where(judged).select("_lang", "_p", "_q"), max_char_distance, max_word_distance)
     texts = F.coalesce("_texts", F.lit(0))
     weight = texts / (texts + reference_texts)
     known = F.col("_texts").isNotNull()
-    compared = facts.join(references, "_lang", "left").withColumns({
+    compared = _by_language(facts, references, "left").withColumns({
         "char_distance": F.when(judged, F.when(known, weight * js_distance(F.col("_p"), F.col("_ref_p"))).otherwise(0.0)
                                 + (1 - weight) * _prose_distance(F.col("_p"))),
         "word_distance": F.when(judged & known, weight * js_distance(F.col("_q"), F.col("_ref_q"))),
