@@ -346,19 +346,23 @@ def container_collapse(members: DataFrame, key: str = "hash") -> DataFrame:
     """Per group: plain items as they are, entries folded into their container.
 
     ``matched`` is the number of entries of the container in the group,
-    ``total`` the number of entries it has in all.
+    ``total`` the number of entries it has in all. ``created`` of plain items
+    is kept where there is such a column.
     """
+    dated = "created" in members.columns
     inside = is_entry(F.col("path"))
     return (
         members.withColumn("_inside", inside)
         .groupBy(key, F.when(F.col("_inside"), container_of(F.col("path"))).otherwise(F.col("path")).alias("path"),
                  "_inside")
-        .agg(F.count("*").alias("_n"), F.max("size").alias("size"), F.max("total").alias("_total"))
+        .agg(F.count("*").alias("_n"), F.max("size").alias("size"), F.max("total").alias("_total"),
+             *([F.min("created").alias("_created")] if dated else []))
         .select(
             key, "path", "size",
             F.when(F.col("_inside"), "archive").otherwise("file").alias("type"),
             F.when(F.col("_inside"), F.col("_n")).alias("matched"),
             F.when(F.col("_inside"), F.col("_total")).alias("total"),
+            *([F.when(~F.col("_inside"), F.col("_created")).alias("created")] if dated else []),
         )
     )
 

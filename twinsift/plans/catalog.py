@@ -238,20 +238,14 @@ def luma_rgb(t: Tables) -> DataFrame:
 
 @query
 def hamming_distance(t: Tables) -> DataFrame:
-    """Each vector against its disturbed copy."""
-    a, b = _pair_of_kinds(t)
-    both = a.join(b, "vec_id")
-    return both.select(
-        "vec_id", long(fn.hamming(F.col("h0"), F.col("h1"))).alias("dist"),
-        long(fn.hamming_hex(fn.to_hex16(F.col("h0")), fn.to_hex16(F.col("h1")))).alias("dist_hex"),
-    )
-
-
-def _pair_of_kinds(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Each vector and its disturbed copies against each other."""
     fp = t.fingerprints
-    return (
-        fp.where("k = 0").select("vec_id", F.col("h").alias("h0")),
-        fp.where("k = 1").select("vec_id", F.col("h").alias("h1")),
+    a = fp.select("vec_id", F.col("k").alias("kind_a"), F.col("h").alias("h_a"))
+    b = fp.select("vec_id", F.col("k").alias("kind_b"), F.col("h").alias("h_b"))
+    return a.join(b, "vec_id").where("kind_a < kind_b").select(
+        "vec_id", long(F.col("kind_a")).alias("kind_a"), long(F.col("kind_b")).alias("kind_b"),
+        long(fn.hamming(F.col("h_a"), F.col("h_b"))).alias("dist"),
+        long(fn.hamming_hex(fn.to_hex16(F.col("h_a")), fn.to_hex16(F.col("h_b")))).alias("dist_hex"),
     )
 
 
@@ -292,16 +286,15 @@ def sequence_sample(t: Tables) -> DataFrame:
 
 @query
 def sequence_sample_seconds(t: Tables) -> DataFrame:
-    """Sample times for media as long as each user's time span."""
+    """All sample times of media as long as each user's time span, in both forms."""
     span = t.table("events").groupBy("user_id").agg(
         F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).alias("whole")
     ).select("user_id", (F.col("whole") % 4000).cast("double").alias("seconds"))
-    return span.select(
-        "user_id",
-        long(F.size(fn.sample_seconds(F.col("seconds"), 10))).alias("samples"),
-        F.element_at(fn.sample_seconds(F.col("seconds"), 10), 4).alias("fourth_us"),
-        F.round(F.element_at(fn.sample_seconds_inclusive(F.col("seconds"), 10), -1), 6).alias("last_inclusive"),
-    )
+    inner = span.select("user_id", F.lit("exclusive").alias("form"), F.posexplode(
+        F.transform(fn.sample_seconds(F.col("seconds"), 10), lambda x: x / F.lit(1000000.0))).alias("sample", "at"))
+    whole = span.select("user_id", F.lit("inclusive").alias("form"), F.posexplode(
+        fn.sample_seconds_inclusive(F.col("seconds"), 10)).alias("sample", "at"))
+    return inner.unionByName(whole).select("user_id", "form", long(F.col("sample")).alias("sample"), F.round("at", 5).alias("at"))
 
 
 @query
@@ -456,10 +449,10 @@ def drop_missing(t: Tables) -> DataFrame:
 
 @query
 def apply_deletions(t: Tables) -> DataFrame:
-    """What is left after removing everything marked for removal in toxic items."""
-    members = op.reused(_regular(t))
-    gone = op.missing_paths(members.where("type = 'file'"), t.inventory_now)
-    return op.apply_deletions(members, gone).select("group_id", "path")
+    """What is left of all four tables after some of the removable files went."""
+    members = _all_tabs(t)
+    plan = op.deletion_plan(members).where(F.length("path") % 3 == 0)
+    return op.apply_deletions(members, plan).select("tab", "group_id", "path")
 
 
 # -- aggregation and graphs --------------------------------------------------
@@ -680,12 +673,12 @@ def deletion_plan(t: Tables) -> DataFrame:
 
 @query
 def deletion_log(t: Tables) -> DataFrame:
-    """Two plans appended to the log of one day and read back."""
+    """A plan appended twice on one day, as by a repeated run, and once on the next."""
     folder = op.new_folder(t.spark, "deletion-log")
     plan = op.reused(op.deletion_plan(_regular(t)))
     day = F.lit("2024-01-02 03:04:05").cast("timestamp")
-    src.exports.append_deletion_log(plan, folder, day)
-    src.exports.append_deletion_log(plan, folder, day)
+    for moment in (day, day, F.lit("2024-01-03 00:00:00").cast("timestamp")):
+        src.exports.append_deletion_log(plan, folder, moment)
     log = t.spark.read.parquet(folder)
     return log.select(F.date_format("log_date", "yyyy-MM-dd").alias("log_day"), "path", "method", "size")
 
@@ -713,11 +706,11 @@ def export_duplicates_report(t: Tables) -> DataFrame:
     folder = op.new_folder(t.spark, "report")
     src.export_duplicates_report(_members_with_totals(t), folder)
     groups = _text_back(t, f"{folder}/groups").select(
-        F.lit("groups").alias("section"), F.col("hash").alias("a"), F.col("path").alias("b"), "size", "type",
+        F.lit("groups").alias("section"), "group_id", F.col("hash").alias("a"), F.col("path").alias("b"), "size", "type",
         F.col("matched_inside").alias("count"),
     )
     pairs = _text_back(t, f"{folder}/pairs").select(
-        F.lit("pairs").alias("section"), F.col("archive_a").alias("a"), F.col("archive_b").alias("b"),
+        F.lit("pairs").alias("section"), F.lit("").alias("group_id"), F.col("archive_a").alias("a"), F.col("archive_b").alias("b"),
         F.lit("").alias("size"), F.lit("archive").alias("type"), F.col("shared_files").alias("count"),
     )
     return groups.unionByName(pairs).fillna("", ["size", "count"])

@@ -274,8 +274,8 @@ SELECT id, array_to_string(list_transform(range(21), lambda i:
   ((g[3 * i + 1] + g[3 * i + 2] + g[3 * i + 3]) // 3)::VARCHAR), ',') AS gray
 FROM (SELECT id, list_transform(v, lambda x: floor((x + 1) * 127)::BIGINT) AS g FROM vectors)""")
 sql("hamming_distance", """
-SELECT vec_id, hamming(a.bits, b.bits)::BIGINT AS dist, hamming(a.bits, b.bits)::BIGINT AS dist_hex
-FROM fp a JOIN fp b USING (vec_id) WHERE a.k = 0 AND b.k = 1""")
+SELECT vec_id, a.k::BIGINT AS kind_a, b.k::BIGINT AS kind_b, hamming(a.bits, b.bits)::BIGINT AS dist,
+  hamming(a.bits, b.bits)::BIGINT AS dist_hex FROM fp a JOIN fp b USING (vec_id) WHERE a.k < b.k""")
 _PAIRS = "seqs a JOIN seqs b ON a.id // 4 = b.id // 4 AND a.id % 4 = 0 AND b.id % 4 > 0"
 _WAY = "list_avg(list_transform({a}, lambda p: list_min(list_transform({b}, lambda q: hamming(p, q)))))"
 sql("sequence_distance_mean_min", f"""
@@ -289,11 +289,13 @@ SELECT user_id, sample, frame, event_id FROM (
 JOIN (SELECT user_id, i AS sample, floor(n * 0.1)::BIGINT + i * greatest(n - 2 * floor(n * 0.1)::BIGINT, 1) // 10 AS frame
   FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1), range(10) r(i)) USING (user_id, frame)""")
 sql("sequence_sample_seconds", """
-SELECT user_id, n AS samples, floor((m + (e - m) * 3.0::DOUBLE / n) * 1000000::DOUBLE)::BIGINT AS fourth_us,
-  round(s * 0.1::DOUBLE + (s * 0.9::DOUBLE - s * 0.1::DOUBLE), 6) AS last_inclusive
-FROM (SELECT *, greatest(s - m, m + 1) AS e, CASE WHEN s >= 1800 THEN 20 ELSE 10 END::BIGINT AS n FROM (
-  SELECT user_id, s, s * 0.05::DOUBLE AS m FROM (
-    SELECT user_id, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 % 4000)::DOUBLE AS s FROM events GROUP BY 1)))""")
+WITH spans AS (SELECT user_id, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 % 4000)::DOUBLE AS s FROM events GROUP BY 1),
+cut AS (SELECT *, s * 0.05::DOUBLE AS m, CASE WHEN s >= 1800 THEN 20 ELSE 10 END::BIGINT AS n FROM spans)
+SELECT user_id, 'exclusive' AS form, i AS sample,
+  round(floor((m + (greatest(s - m, m + 1) - m) * i / n) * 1000000::DOUBLE) / 1000000::DOUBLE, 5) AS at
+FROM cut, LATERAL (SELECT unnest(range(n)) AS i)
+UNION ALL SELECT user_id, 'inclusive', i, round(s * 0.1::DOUBLE + (s * 0.9::DOUBLE - s * 0.1::DOUBLE) * (i / 9::DOUBLE), 5)
+FROM spans, range(10) r(i)""")
 sql("cache_key", "SELECT path||'|'||size||'|'||mtime AS cache_key FROM items")
 sql("short_hash", "SELECT path, left(hash, 8) AS short FROM items")
 
@@ -356,9 +358,11 @@ SELECT i.path FROM items i WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.path
   AND c.mtime = i.mtime AND c.hash IS NOT NULL)""")
 sql("drop_missing", "SELECT hash, path FROM item_members WHERE path IN (SELECT path FROM now)")
 CTE["left_over"] = """
-SELECT group_id, path FROM regular WHERE type <> 'file' OR path IN (SELECT path FROM now)"""
+SELECT tab, group_id, path FROM tabs WHERE path NOT IN (
+  SELECT path FROM tabs WHERE NOT contains(path, '::') AND length(path) % 3 = 0 GROUP BY path HAVING NOT bool_or(keep))"""
 sql("apply_deletions", """
-SELECT group_id, path FROM left_over WHERE group_id IN (SELECT group_id FROM left_over GROUP BY 1 HAVING count(*) > 1)""")
+SELECT tab, group_id, path FROM left_over
+QUALIFY count(*) OVER (PARTITION BY tab, group_id) > 1""")
 
 _MEMBER_OUT = "SELECT hash, path, size, n, savable, keep FROM "
 sql("exact_duplicates", _MEMBER_OUT + "item_members")
@@ -464,16 +468,16 @@ CTE["original"] = f"""
 SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {ORIGIN}, path) = 1 AS best FROM regular"""
 sql("deletion_plan", "SELECT path, size FROM original WHERE NOT best AND NOT contains(path, '::')")
 sql("deletion_log", """
-SELECT '2024-01-02' AS log_day, path, 'delete' AS method, size FROM regular, range(2)
+SELECT log_day, path, 'delete' AS method, size FROM regular, (VALUES ('2024-01-02'), ('2024-01-03')) days(log_day)
 WHERE NOT keep AND NOT contains(path, '::')""")
 sql("export_regular_csv", """
 SELECT group_id, path, size::VARCHAR AS size, type, hash, '2024-01-01 00:00:00' AS created,
   CASE WHEN keep THEN 'YES' ELSE 'NO' END AS keep FROM regular""")
 sql("export_duplicates_report", f"""
-SELECT 'groups' AS section, left(hash, 8) AS a, path AS b, {_printf('n', "n||' B'")} AS size, type,
+SELECT 'groups' AS section, hash AS group_id, left(hash, 8) AS a, path AS b, {_printf('n', "n||' B'")} AS size, type,
   coalesce(matched::VARCHAR, '') AS count
 FROM (SELECT *, size AS n FROM collapsed WHERE hash IN (SELECT hash FROM collapsed WHERE type = 'file'))
-UNION ALL SELECT 'pairs', container_a, container_b, '', 'archive', shared::VARCHAR FROM rollup""")
+UNION ALL SELECT 'pairs', '', container_a, container_b, '', 'archive', shared::VARCHAR FROM rollup""")
 sql("export_similar_csv", """
 SELECT category, 'i:'||root AS group_id, i.path, i.size::VARCHAR AS size_bytes, 'file' AS type, i.bits,
   CASE WHEN i.path = min(i.path) OVER (PARTITION BY root) THEN 'YES' ELSE 'NO' END AS keep FROM alike JOIN images i USING (id)""")
