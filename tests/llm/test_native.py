@@ -266,3 +266,54 @@ def test_digests(spark, folder):
         loss = "".join(t for r, t in said if r == "assistant")
         assert (out[c].n_turns, out[c].turns_sha256) == (len(said), sha("".join(f"{r}\n{t}\n" for r, t in said)))
         assert (out[c].loss_chars, out[c].loss_sha256) == (len(loss), sha(loss))
+
+
+def test_secrets_of_very_long_runs_and_many_matches(spark):
+    """Base64 and paths of a megabyte, forty thousand matches: time in proportion to the text."""
+    import random
+    import time
+    rng = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    base64 = "".join(rng.choice(letters) for _ in range(1 << 20))
+    texts = ["a/" * (1 << 19), base64, "token=abcdef1 " * 40_000, ("user=ann https://h/x " + "q" * 30 + " ") * 9_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    begin = time.perf_counter()
+    found = {r.doc_id: r.n for r in credentials.secret_spans(docs).select("doc_id", F.size("found").alias("n")).collect()}
+    clean = {r.doc_id: r.text for r in credentials.redact(docs).collect()}
+    assert time.perf_counter() - begin < 40
+    assert found[0] == 0 and clean[0] == texts[0] and found[2] == 40_000
+    assert clean[2] == "[SECRET] " * 40_000
+
+
+def opaque_spans(text):
+    pattern = re.compile(r"\b(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}")
+    return [(m.start(), m.end()) for m in pattern.finditer(text)]
+
+
+def test_opaque_values_and_redaction(spark):
+    """Opaque values as by look-ahead, and marks over spans that overlap, against plain Python."""
+    import random
+    rng = random.Random(5)
+    parts = ["user=bob ", "https://a.b/c?", "Ab1", "x9Q-", "/", "+", "zzzz", "0123456789", "ABCDEFGH", " ", "\n", "€", "\U0001f600", "deadbeef" * 3,
+             "AKIA" + "Z" * 16, "secret: hunter22 ", "_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(300)] + ["", None]
+    docs = spark.createDataFrame([(i, t, "c", "d", i) for i, t in enumerate(texts)], "doc_id long, text string, found string, _text string, `_row` long")
+    opaque = credentials.KINDS.index("opaque")
+    spans = {r["doc_id"]: r["found"] for r in credentials.secret_spans(docs, scope=10**6).collect()}
+    for i, t in enumerate(texts):
+        got = {(s.start, s.end) for s in spans[i] if s.kind_no == opaque}
+        assert got <= set(opaque_spans(t or ""))
+        strong = [(a, b) for a, k, b in base_spans(t)]
+        other = any(s.kind_no in (1, 3, 5) for s in spans[i])
+        if other:
+            assert got == {(a, b) for a, b in opaque_spans(t or "") if not any(x <= a and b <= y for x, y in strong)}
+    out = credentials.redact(docs, scope=10**6)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        text, at, clean = texts[r["doc_id"]], 0, ""
+        for s in spans[r["doc_id"]]:
+            if s.start >= at:
+                clean += text[at:s.start] + "[SECRET]"
+            at = max(at, s.end)
+        assert r["text"] == (None if text is None else clean + text[at:])
+        assert (r["found"], r["_text"], r["_row"]) == ("c", "d", r["doc_id"])

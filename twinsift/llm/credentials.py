@@ -8,7 +8,7 @@ distance in characters.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,10 +20,12 @@ ACCESS = (r"AKIA[A-Z0-9]+", 0, 20)
 HEX = (r"[0-9a-f]{24,}", 0, 24)
 # Weak candidates: identifier of an account, opaque value, endpoint.
 IDENTIFIER = (r"""\b(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 1, 3)
-OPAQUE = (r"\b(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}", 0, 20)
+OPAQUE = (r"\b[A-Za-z0-9+/_-]{20,}", 0, 20)
 ENDPOINT = (r"\b(?:https?|postgres(?:ql)?|mysql|redis|mongodb|amqp|s3|ftp)://[^\x20\x09-\x0D\"'<>]+", 0, 8)
 
 KINDS = ["assign", "access", "hex", "identifier", "opaque", "endpoint"]
+#: What a match has to have besides; tested on the match, so that a long run is walked once.
+NEEDS = {"opaque": ["[0-9]", "[A-Z]", "[a-z]"]}
 _PATTERNS = [ASSIGN, ACCESS, HEX, IDENTIFIER, OPAQUE, ENDPOINT]
 #: Which other kinds make a weak kind a finding: an identifier or endpoint with
 #: a secret value beside it, a value with the identifier it belongs to or with
@@ -33,30 +35,50 @@ COMPLEMENTS = {
     "endpoint": ["assign", "access", "opaque"],
 }
 _SPANS = "array<struct<start:int,kind_no:int,end:int>>"
+_STRONG = 3                 # kinds below are strong
+_BLOCK = 256
 
 
-def pattern_spans(matches: Column, gaps: Column, pattern: str, group: int, least: int, kind_no: int) -> Column:
+def with_running(df: DataFrame, values: str, out: str, zero: Column, op: Callable[[Column, Column], Column]) -> DataFrame:
+    """Add ``out``: for each element of the array ``values``, ``op`` over those before it.
+
+    A fold that appends copies its array each time. So values are taken in
+    blocks of ``_BLOCK``: one fold over the blocks, one in each of them.
+    """
+    none = F.array().cast("array<int>")
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(values) / _BLOCK).cast("int") - 1)
+    block = lambda k: F.slice(values, k * _BLOCK + 1, _BLOCK)
+
+    def append(s: Column, at: Column) -> Column:
+        return F.struct(at.alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    first = F.struct(zero.alias("at"), none.alias("out"))
+    begins = F.aggregate(blocks, first, lambda s, k: append(s, F.aggregate(block(k), s["at"], op)), lambda s: s["out"])
+    inside = F.transform(blocks, lambda k: F.aggregate(
+        block(k), F.struct(F.get("_begins", k).alias("at"), none.alias("out")), lambda s, x: append(s, op(s["at"], x)), lambda s: s["out"]))
+    # Named twice, the begins are a column of their own and not computed per block.
+    return df.withColumn("_begins", F.when(F.size(values) > 0, begins)).withColumn(
+        out, F.when(F.size("_begins") > 0, F.flatten(inside)).otherwise(none)).drop("_begins")
+
+
+def pattern_spans(matches: Column, gaps: Column, before: Column, pattern: str, group: int, least: int, kind_no: int) -> Column:
     """Code-point spans of the matches, leftmost and non-overlapping.
 
     ``matches`` are the whole matches, ``gaps`` what stands between them, from
-    splitting at the same pattern; running lengths give the positions. Both
-    have to be columns, not expressions, which would be computed per match.
-    Matches whose group is shorter than ``least`` are dropped at the end.
+    splitting at the same pattern, ``before`` the characters before each gap.
+    All have to be columns, not expressions, which would be computed per match.
+    Matches whose group is shorter than ``least`` or that lack what the kind
+    needs are dropped at the end.
     """
-    none = F.array().cast(_SPANS)
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.size(matches) - 1),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, i: F.struct(
-            (s["at"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).alias("at"),
-            F.when(
-                F.length(F.regexp_extract(F.get(matches, i), pattern, group)) >= least,
-                F.concat(s["out"], F.array(F.struct(
-                    (s["at"] + F.length(F.get(gaps, i))).alias("start"), F.lit(kind_no).alias("kind_no"),
-                    (s["at"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).alias("end")))),
-            ).otherwise(s["out"]).alias("out")),
-        lambda s: s["out"])
-    return F.when(F.size(matches) > 0, walked).otherwise(none)
+    def span(m: Column, i: Column) -> Column:
+        start = F.get(before, i) + F.length(F.get(gaps, i))
+        counts = F.length(F.regexp_extract(m, pattern, group)) >= least
+        for needed in NEEDS.get(KINDS[kind_no], []):
+            counts = counts & m.rlike(needed)
+        return F.when(counts, F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), (start + F.length(m)).alias("end")))
+
+    # ``before`` is named twice, or it would be computed again for every match.
+    return F.when(F.size(before) > 0, F.filter(F.transform(matches, span), lambda x: x.isNotNull())).otherwise(F.array().cast(_SPANS))
 
 
 def _linked(spans: Column, scope: int) -> Column:
@@ -101,13 +123,20 @@ def secret_spans(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: s
         step = step.withColumn(f"_m{k}", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
     for k, (pattern, _, _) in enumerate(_PATTERNS):
         step = step.withColumn(f"_g{k}", F.when(F.size(f"_m{k}") > 0, F.split("_text", pattern, -1)))
-    spans = [pattern_spans(F.col(f"_m{k}"), F.col(f"_g{k}"), p, group, least, k)
-             for k, (p, group, least) in enumerate(_PATTERNS)]
-    step = step.select("_row", F.concat(*spans[:3]).alias("_strong"), F.concat(*spans[3:]).alias("_weak"))
-    new = F.filter("_weak", lambda w: ~F.exists("_strong", lambda s: (
-        s["start"] <= w["start"]) & (w["end"] <= s["end"])))
-    every = F.when(F.size("_weak") > 0, F.concat("_strong", new)).otherwise(F.col("_strong"))
-    step = step.withColumn("_all", F.sort_array(every))
+    spans = []
+    for k, (pattern, group, least) in enumerate(_PATTERNS):
+        step = step.withColumn(f"_l{k}", F.transform(f"_m{k}", lambda m, i: F.length(m) + F.length(F.get(f"_g{k}", i))))
+        step = with_running(step, f"_l{k}", f"_b{k}", F.lit(0), lambda x, y: x + y)
+        spans.append(pattern_spans(F.col(f"_m{k}"), F.col(f"_g{k}"), F.col(f"_b{k}"), pattern, group, least, k))
+    # By start, and strong kinds first: a weak span is a strong one's part if these reach its end.
+    step = step.select("_row", F.sort_array(F.concat(*spans)).cast(_SPANS).alias("_every"))
+    step = step.withColumn("_weak", F.filter("_every", lambda x: x["kind_no"] >= _STRONG))
+    step = step.withColumn("_ends", F.when(F.size("_weak") > 0, F.transform(
+        "_every", lambda x: F.when(x["kind_no"] < _STRONG, x["end"]).otherwise(0))).otherwise(F.array().cast("array<int>")))
+    step = with_running(step, "_ends", "_reach", F.lit(0), lambda x, y: F.greatest(x, y))
+    every = F.when((F.size("_weak") > 0) & (F.size("_reach") > 0), F.filter("_every", lambda x, i: (
+        x["kind_no"] < _STRONG) | (F.get("_reach", i) < x["end"]))).otherwise(F.col("_every"))
+    step = step.withColumn("_all", every)
     return step.select("_row.*", F.when(F.size("_weak") > 0, _linked(F.col("_all"), scope)).otherwise(
         F.col("_all")).alias("found"))
 
@@ -122,17 +151,18 @@ def span_text(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", scope: int = 160, mark: str = "[SECRET]") -> DataFrame:
     """Rows with ``mark`` in place of each found span; other columns pass through.
 
-    Overlapping spans are covered by one mark. A null text stays null.
+    Overlapping spans are covered by one mark. A null text stays null. Other
+    columns pass through, whatever their names.
     """
-    names = docs.columns
-    found = secret_spans(docs, names, text_col, scope)
-    text = F.col(text_col)
-    pieces = F.aggregate(
-        "found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, p: F.struct(
-            F.greatest(s["at"], p["end"]).alias("at"),
-            F.when(p["start"] >= s["at"], F.concat(
-                s["out"], F.substr(text, s["at"] + 1, p["start"] - s["at"]), F.lit(mark)),
-            ).otherwise(s["out"]).alias("out")),
-        lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
-    return found.withColumn(text_col, F.when(F.size("found") > 0, pieces).otherwise(text)).select(*names)
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given"), F.col(text_col).cast("string").alias("_shown"))
+    found = secret_spans(given, ["_given", "_shown"], "_shown", scope)
+    found = found.withColumn("_ends", F.transform("found", lambda p: p["end"])).withColumn(
+        "_chars", F.when(F.size("found") > 0, F.split("_shown", "")))
+    found = with_running(found, "_ends", "_reach", F.lit(0), lambda x, y: F.greatest(x, y))
+    part = lambda low, size: F.array_join(F.slice("_chars", low + 1, size), "")
+    pieces = F.transform("found", lambda p, i: F.when(p["start"] >= F.get("_reach", i), F.concat(
+        part(F.get("_reach", i), p["start"] - F.get("_reach", i)), F.lit(mark))).otherwise(""))
+    end = F.array_max("_ends")
+    clean = F.concat(F.array_join(pieces, ""), part(end, F.greatest(F.size("_chars") - end, F.lit(0))))
+    text = F.when(F.size("found") > 0, clean).otherwise(F.col("_shown"))
+    return found.select(*[text.alias(c) if c == text_col else F.col("_given")[c].alias(c) for c in docs.columns])
