@@ -439,7 +439,7 @@ def remove_repeats(
         F.pmod("_id", F.lit(parts)) * 31 + F.pmod("_tag", F.lit(parts)), F.lit(parts)).cast("int")).select(
         "_id", "_tag", "_part", "_data").mapInArrow(_compressed, "_id long, _tag int, _part int, _data binary")
     long_enough = data.where(F.length("_data") >= depth)
-    first = long_enough.mapInArrow(_first_pass(depth, parts, parts, part_bytes, hot_digit), _SCHEMA)
+    first = long_enough.mapInArrow(_first_pass(depth, parts, parts, 2 * part_bytes, hot_digit), _SCHEMA)
     # Groups and documents are dealt over the same numbers, so what a pass has
     # settled goes along with its groups and no pass is read twice.
     marks = durable(first.groupBy("dest").applyInArrow(_first_groups(depth, parts), _SCHEMA))
