@@ -23,7 +23,6 @@ rows all go to the second pass, and one mark tells the digit's own bucket so.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -444,10 +443,6 @@ def remove_repeats(
     # Groups and documents are dealt over the same numbers, so what a pass has
     # settled goes along with its groups and no pass is read twice.
     marks = durable(first.groupBy("dest").applyInArrow(_first_groups(depth, parts), _SCHEMA))
-    # Spark deletes a shuffle's files once nothing in the driver refers to it any more.
-    del first
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()
     second = placed.groupBy("_part").cogroup(marks.groupBy("dest")).applyInArrow(
         _second_pass(depth, parts, parts), _SCHEMA)
     settled = marks.where("settled").unionByName(
