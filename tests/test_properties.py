@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsift import operators as op
-from twinsift.operators import skew
+from twinsift.operators import hamming, skew
 
 
 def signed(x):
@@ -45,6 +45,45 @@ def test_near_pairs_equal_brute_force(spark, threshold, hot_bucket):
     assert len(got) == len(want) and set(got) == want
 
 
+@pytest.mark.parametrize("threshold", [20, 28, 35])
+def test_near_pairs_at_high_limits(spark, threshold):
+    values = near_copies(threshold, 15, 20)
+    items = spark.createDataFrame(list(enumerate(values)), "id bigint, h bigint")
+    for hot_bucket in (50_000, 40):
+        got = [(r.h_a, r.h_b, r.dist) for r in op.hamming_join(items, threshold, hot_bucket=hot_bucket).collect()]
+        want = {(a, b, distance(a, b)) for a, b in combinations(values, 2) if distance(a, b) <= threshold}
+        assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("threshold", [1, 4, 10])
+def test_near_pairs_of_few_different_bits(spark, threshold):
+    """Constant bits, the highest one among them, and bits that rarely differ."""
+    rnd = random.Random(threshold)
+    base = 1 << 63 | 0xFF00FF00
+    values = {base | rnd.getrandbits(12) << 40 for _ in range(150)} | {base ^ 1 << 63, base, 0, (1 << 64) - 1, 1 << 63}
+    values = sorted(signed(x) for x in values)
+    items = spark.createDataFrame(list(enumerate(values)), "id bigint, h bigint")
+    got = [(r.h_a, r.h_b, r.dist) for r in op.hamming_join(items, threshold, hot_bucket=40).collect()]
+    want = {(a, b, distance(a, b)) for a, b in combinations(values, 2) if distance(a, b) <= threshold}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_bands_follow_the_table():
+    even = [0.5] * 64
+    for threshold in (3, 10):
+        plans = [hamming._plan(range(64), even, threshold, n) for n in (10**4, 10**6, 10**8)]
+        assert [len(p) for p in plans] == sorted((len(p) for p in plans), reverse=True)
+        assert len(plans[0]) > len(plans[2])
+        for bands in plans:
+            assert sum(b.radius + 1 for b in bands) == threshold + 1
+            assert sorted(b for band in bands for b in band.bits) == list(range(64))
+    # Sixteen bits that tell nothing leave no band without others.
+    dull = [1.0 if b < 16 else 0.5 for b in range(64)]
+    bands = hamming._plan(range(64), dull, 10, 10**6)
+    telling = [sum(b >= 16 for b in band.bits) for band in bands]
+    assert max(telling) - min(telling) <= 1
+
+
 def closure(nodes, edges):
     parent = {n: n for n in nodes}
 
