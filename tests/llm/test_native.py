@@ -71,6 +71,26 @@ def test_sainte_lague(spark):
         assert {r.k: r.quota for r in got.collect()} == {k: expected[k] for k in votes}
 
 
+def test_mixing_rows_of_one_id(spark):
+    """A third of the rows without id, a third equal: no shard takes them all."""
+    rows = [(None, f"word{i} and more", "a") for i in range(400)] + [(7, "the same text", "a")] * 400
+    rows += [(i + 1000, f"text{i} of its own", "a") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = mixing.in_runs(docs.withColumn("_by_text", mixing.text_hash("text", 1)))
+    assert runs.agg(F.sum("_copies"), F.max("_copies")).first() == (len(rows), 64)
+    shard = F.pmod(F.xxhash64("doc_id", "_by_text", "_run"), F.lit(12)).alias("s")
+    shards = runs.select(shard, "_copies").groupBy("s").agg(F.sum("_copies").alias("n"))
+    assert max(r.n for r in shards.collect()) < 400
+    out = mixing.mix_sources(docs, shard_docs=100, block_words=8)
+    found = out.groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in found if r["count"] > 1} == {None: 400, 7: 400}
+    total = out.agg(F.sum("taken"), F.sum("size")).first()
+    assert abs(total[0] - 1.5 * total[1]) <= 8 * 13
+    assert out.where("taken > 2 * size").isEmpty()
+    again = mixing.mix_sources(docs.repartition(7), shard_docs=100, block_words=8)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
 def test_mixing_nothing(no_docs):
     assert mixing.mix_sources(no_docs).count() == 0
 

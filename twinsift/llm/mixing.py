@@ -16,6 +16,8 @@ from .common import WORD, durable, text_of
 
 #: Multiplier of the block permutation: a prime above any number of blocks in a shard.
 _PRIME = 2_147_483_647
+#: Equal rows that go to one shard together.
+_RUN = 64
 
 
 def _seat_range(votes: Column, all_votes: Column, parties: Column, seats: Column) -> tuple[Column, Column]:
@@ -103,6 +105,21 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, cap
     return placed.withColumn("target", F.when(above, most).otherwise(F.col("_weight") * F.lit(level)))
 
 
+def text_hash(text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), text_of(text_col))
+
+
+def in_runs(sized: DataFrame) -> DataFrame:
+    """Equal rows of a source as runs: ``_run`` numbers them, ``_copies`` is their length.
+
+    Equal rows are counted first, so no task gathers them, and reruns give the
+    same runs. A run has up to ``_RUN`` rows and is dealt as one.
+    """
+    counted = sized.groupBy(*sized.columns).agg(F.count("*").alias("_n"))
+    runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {_RUN}"))))
+    return runs.withColumn("_copies", F.least(F.lit(_RUN).cast("long"), F.col("_n") - F.col("_run") * _RUN)).drop("_n")
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
@@ -118,7 +135,8 @@ def mix_sources(
     difference). An empty table gives no rows; other columns are ignored.
 
     A shard holds about ``shard_docs`` rows whatever the size of its source,
-    so no task gathers a source.
+    so no task gathers a source. Rows of one id, or of none, are dealt to
+    shards by their texts too, and equal rows in runs of up to 64.
     """
     sized = durable(docs.select(
         F.col(id_col).alias("_id"),
@@ -126,6 +144,7 @@ def mix_sources(
         F.col(source_col).isNull().alias("_null"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("_key"),
+        text_hash(text_col, seed).alias("_by_text"),
     ))
     targets = durable(source_targets(sized, weights, share, cap))
     wanted = targets.agg(F.sum("target")).first()[0] or 0.0
@@ -136,11 +155,12 @@ def mix_sources(
              F.col("quota").alias("_seats")))
 
     placed = durable(
-        sized.join(sources, "_s")
-        .withColumn("_shard", F.pmod(F.xxhash64("_key"), F.col("_shards")))
+        in_runs(sized).join(sources, "_s")
+        .withColumn("_shard", F.pmod(F.xxhash64("_key", "_by_text", "_run"), F.col("_shards")))
         .repartition("_s", "_shard")    # the join leaves a whole source together
+        .withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
         .withColumn("_end", F.sum("size").over(
-            Window.partitionBy("_s", "_shard").orderBy("_key", "_id", "size")
+            Window.partitionBy("_s", "_shard").orderBy("_key", "_id", "_by_text", "_run", "_nth", "size")
             .rowsBetween(Window.unboundedPreceding, 0)))
         .select("_id", "_s", "_shard", "size", "source_size", "target", "_seats", "_end"))
     shards = placed.groupBy("_s", "_shard").agg(
