@@ -69,6 +69,15 @@ def test_contaminated(spark, odd_docs):
         assert (two.coverage, two.n_tiles, two.longest_tile, two.first_word, two.end_word) == (1.0, 2, 20, 0, 41)
 
 
+def test_repeated_items_are_dealt(spark):
+    """Copies of one item fall in several blocks, and each of them is reported once."""
+    item = " ".join(f"q{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, item), (2, "nothing of it here at all")], "doc_id long, text string")
+    tests = spark.createDataFrame([(5, item)] * 12 + [(None, item)] * 3, "item_id long, text string")
+    out = tiling.contaminated(docs, tests, block_words=60).collect()
+    assert sorted((r.doc_id, r.item_id or 0) for r in out) == [(1, 0)] * 3 + [(1, 5)] * 12
+
+
 def test_odd_rows(spark, odd_docs, no_docs, folder):
     tests = spark.read.parquet(f"{folder}/benchmark.parquet")
     assert tiling.contaminated(odd_docs, tests).count() == 0

@@ -189,8 +189,10 @@ def contaminated(
     Words are ASCII-lower-cased; an item shorter than a seed has to occur whole.
 
     The test items are the stated query set: it goes to all tasks in blocks of
-    about ``block_words`` words, each block in a pass over the documents, so
-    memory does not grow with it. Whole documents are looked at.
+    about ``block_words`` words, each block in a pass over the documents. With
+    several blocks a pass is written before the next block is read, so the
+    driver and the tasks hold one block at a time, however many there are.
+    Whole documents are looked at.
 
     Null and empty documents match nothing, null and empty items match
     nothing; a null item id is an id like others. Repeated documents are
@@ -198,7 +200,8 @@ def contaminated(
     in ``keep`` are left out, whatever their names.
     """
     items = durable(tests.select(
-        F.col(item_col).cast("long").alias("item"), text_of(item_text_col).cast("binary").alias("text")))
+        F.col(item_col).cast("long").alias("item"), text_of(item_text_col).cast("binary").alias("text"),
+        F.monotonically_increasing_id().alias("place")))
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-words // (6 * block_words)))
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), text_of(text_col).alias("_text"))
@@ -206,7 +209,10 @@ def contaminated(
         T.StructField(c, T.DoubleType() if t == pa.float64() else T.LongType()) for c, t in _FOUND.items()]])
     out = None
     for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
+        # By place, so that repeated items are dealt like others.
+        block = items.where(F.pmod(F.xxhash64("place"), F.lit(blocks)) == b).select("item", "text").collect()
         found = rows.mapInArrow(_scan([(r.item, bytes(r.text)) for r in block], seed, threshold), schema)
+        if blocks > 1:
+            found = durable(found)
         out = found if out is None else out.unionByName(found)
     return out.select("_row.*", *_FOUND)
