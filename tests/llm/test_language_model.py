@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,5 +64,18 @@ def test_quantise():
     assert lm.quantise(np.full(3, 2.0))[1][0] == 2.0
 
 
+def test_counts_beyond_four_bytes():
+    """Three parts with almost 2^31 of one word each: the answer is their sum, not a limit."""
+    pack, most = lm._packer(), 2**31 - 1
+    keys = [np.array([5, 9], np.uint64), np.array([9], np.uint64), np.array([9, 2**63], np.uint64)]
+    counts = [np.array([1, most], np.int32), np.array([most], np.int32), np.array([most, 4], np.int32)]
+    rows = [{"dest": 0, "part": i, "level": 1, "keys": pack(lm._gaps(k)), "n": pack(c)}
+            for i, (k, c) in enumerate(zip(keys, counts))]
+    answer = {r["part"]: r for r in lm._add_up(pa.Table.from_pylist(rows)).to_pylist()}
+    got = [lm._unpack_counts(answer[i]["c"]).tolist() for i in range(3)]
+    assert got == [[1, 3 * most], [3 * most], [3 * most, 4]]
+    assert (answer[-1]["total"], answer[-1]["types"]) == (3 * most + 5, 3)
+
+
 def test_nothing(no_docs):
     assert lm.score_texts(no_docs, HELD).count() == 0

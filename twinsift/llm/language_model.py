@@ -340,6 +340,16 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _pack_counts(pack: Callable[[np.ndarray], bytes], counts: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one of them needs that; the first byte says which."""
+    kind = np.int32 if not len(counts) or counts.max() < 2**31 else np.int64
+    return bytes([np.dtype(kind).itemsize]) + pack(counts.astype(kind, copy=False))
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return _unpack(data[1:], np.int64 if data[0] == 8 else np.int32)
+
+
 def _gaps(keys: np.ndarray) -> np.ndarray:
     """Sorted keys as differences."""
     return np.diff(keys, prepend=keys.dtype.type(0))
@@ -376,11 +386,12 @@ def _add_up(table: pa.Table) -> pa.Table:
         every = every[order]
         starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
         sums = np.add.reduceat(n[order], starts)
-        found = np.empty(len(every), np.int32)
-        found[order] = np.repeat(np.minimum(sums, 2**31 - 1), np.diff(np.r_[starts, len(every)]))
+        found = np.empty(len(every), np.int32 if not len(sums) or sums.max() < 2**31 else np.int64)
+        found[order] = np.repeat(sums, np.diff(np.r_[starts, len(every)]))
         parts += [*rows["part"].to_pylist(), -1]
         levels += [level] * (rows.num_rows + 1)
-        answers += [*map(pack, np.split(found, np.cumsum([len(k) for k in keys])[:-1])), b""]
+        each = np.split(found, np.cumsum([len(k) for k in keys])[:-1])
+        answers += [*(_pack_counts(pack, c) for c in each), b""]
         totals += [None] * rows.num_rows + [int(sums.sum())]
         types += [None] * rows.num_rows + [int((sums > 0).sum())]
     return pa.Table.from_arrays(
@@ -400,7 +411,7 @@ def _score(buckets: int, total: int, types: int, mu: Sequence[float]) -> Callabl
         counts = []
         for level in range(1, ORDER + 1):
             rows = answers.filter(pa.compute.equal(answers["level"], level)).sort_by("dest")
-            counts.append(np.concatenate([np.empty(0, np.int32), *[_unpack(c.as_py(), np.int32) for c in rows["c"]]]).astype(np.int64))
+            counts.append(np.concatenate([np.empty(0, np.int32), *[_unpack_counts(c.as_py()) for c in rows["c"]]]).astype(np.int64))
         # Pairs by their words, triples by the numbers of their pairs.
         t, words = grams.tokens, counts[0]
         seen = [np.flatnonzero(c > 0) for c in counts]
