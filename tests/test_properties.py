@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsift import operators as op
-from twinsift.operators import hamming, skew
+from twinsift.operators import containers, hamming, skew
 
 
 def signed(x):
@@ -146,7 +146,8 @@ def entry_rows(seed):
 
 @pytest.mark.parametrize("heavy_entry", [1000, 5])
 @pytest.mark.parametrize("least", [1, 2, 3])
-def test_container_overlap(spark, heavy_entry, least):
+def test_container_overlap(spark, monkeypatch, heavy_entry, least):
+    monkeypatch.setattr(containers, "PAIR_COST", -1)        # else too few rows for pairs of entries
     rows = entry_rows(least)
     frame = spark.createDataFrame(rows, "container string, hash string")
     contents = defaultdict(Counter)
@@ -163,6 +164,9 @@ def test_container_overlap(spark, heavy_entry, least):
     columns = ["container_a", "container_b", "common", "total_a", "total_b"]
     got = [tuple(r) for r in op.container_overlap(frame, least, heavy_entry).select(*columns).collect()]
     assert len(got) == len(kinds) and set(got) == kinds
+    for few in (0, 3, 1000):        # by entries alone, both ways, by pairs of entries alone
+        got = [tuple(r) for r in op.container_overlap(frame, least, heavy_entry, few).select(*columns).collect()]
+        assert len(got) == len(kinds) and set(got) == kinds, few
     got = [tuple(r) for r in op.container_overlap_entries(frame, least, heavy_entry).select(*columns).collect()]
     assert len(got) == len(weighted) and set(got) == weighted
 

@@ -17,6 +17,8 @@ from .durable import durable
 
 HEAVY_ENTRY = 1_000     # entries found in more containers are treated apart
 PART_ROWS = 1_000       # rows of one key that a task has on its divided side
+FEW_ENTRIES = 8         # containers with no more different entries may meet at pairs of entries
+PAIR_COST = 16          # a pair of entries costs about as much as this many meetings of two containers
 
 
 def _parts(count: str) -> Column:
@@ -100,13 +102,20 @@ def container_classes(entries: DataFrame) -> DataFrame:
     return _profile(entries).classes.drop("id")
 
 
-def _overlapping(found: _Profile, least: int, heavy_entry: int, weighted: bool = False) -> DataFrame:
+def _overlapping(found: _Profile, least: int, heavy_entry: int, weighted: bool = False,
+                 few_entries: int = FEW_ENTRIES) -> DataFrame:
     """Overlapping pairs a < b of different contents (their numbers).
 
     ``common`` counts different shared hashes. With ``weighted`` there are
     also ``common_a``, the entries of a that have one of them, and
     ``common_b``; the larger of the two is compared with ``least``.
 
+    Where two shared entries are asked for, contents of at most ``few_entries``
+    entries meet at pairs of entries, so those that share a single one never
+    do; unless their meetings at single entries, which the counts tell, are
+    few beside the pairs. The others, ``big`` ones, meet all contents at single
+    entries. The result is the same either way.
+
     Entries in at most ``heavy_entry`` contents are joined directly. Heavier
     ones would produce almost every pair, so they are joined only where a pair
     can still belong to the result: it met at a lighter entry, or it shares at
@@ -116,32 +125,76 @@ def _overlapping(found: _Profile, least: int, heavy_entry: int, weighted: bool =
     in most containers thus costs nothing unless the pairs are part of the
     answer.
     """
+    few = few_entries if least > 1 and not weighted else 0
     numbered = found.contents.join(
-        found.kinds.select(F.col("rep").alias("container"), "id"), "container"
-    ).select("id", "hash", "m")
+        found.kinds.select(F.col("rep").alias("container"), "id", (F.col("kinds") > few).alias("big")), "container"
+    ).select("id", "hash", "m", "big")
     # In how many different contents an entry is; in one only is never shared.
     spread = (
         numbered.groupBy("hash").agg(F.count("*").alias("in_")).where("in_ > 1")
         .withColumn("entry", F.monotonically_increasing_id())
     )
     known = durable(
-        skew.join_to_groups(numbered, spread, "hash", "in_", "id", settle=True).select("id", "entry", "in_", "m")
+        skew.join_to_groups(numbered, spread, "hash", "in_", "id", settle=True).select("id", "entry", "in_", "m", "big")
     )
+    by_pairs = None
+    if few:
+        small = F.when(~F.col("big"), F.col("in_") - 1)
+        seen = known.agg(F.sum(small).alias("met"), F.count(small).alias("rows"), F.bool_or("big").alias("big")).first()
+        if (seen.met or 0) > PAIR_COST * seen.rows * (few - 1):
+            by_pairs = _met_at_pairs(known.where("NOT big"), least)
+            if not seen.big:
+                return by_pairs
+        else:
+            known = known.withColumn("big", F.lit(True))
     light = known.where(F.col("in_") <= heavy_entry)
     heavy = known.where(F.col("in_") > heavy_entry)
 
-    def met(a: str = "l.id", b: str = "r.id") -> list:
+    def met(a: Column, b: Column) -> list:
         weights = [F.col("l.m").alias("m_a"), F.col("r.m").alias("m_b")] if weighted else []
-        return [F.col(a).alias("a"), F.col(b).alias("b"), *weights]
+        return [a.alias("a"), b.alias("b"), *weights]
 
-    meetings = light.alias("l").join(
-        light.alias("r"), (F.col("l.entry") == F.col("r.entry")) & (F.col("l.id") < F.col("r.id"))
-    ).select(*met())
+    meetings = light.where("big").alias("l").join(
+        light.alias("r"), (F.col("l.entry") == F.col("r.entry")) & _once()
+    ).select(*met(*_ordered_ids()))
     if not heavy.isEmpty():
         meetings = meetings.unionByName(_heavy_meetings(meetings, heavy, 1 if weighted else least, met))
     sums = [F.sum("m_a").alias("common_a"), F.sum("m_b").alias("common_b")] if weighted else []
     measure = F.greatest("common_a", "common_b") if weighted else F.col("common")
-    return meetings.groupBy("a", "b").agg(F.count("*").alias("common"), *sums).where(measure >= least)
+    by_entries = meetings.groupBy("a", "b").agg(F.count("*").alias("common"), *sums).where(measure >= least)
+    return by_entries if by_pairs is None else by_entries.unionByName(by_pairs)
+
+
+def _once() -> Column:
+    """Of a big content ``l`` and any content ``r``: each pair in one order only."""
+    return (F.col("l.id") < F.col("r.id")) | (~F.col("r.big") & (F.col("l.id") > F.col("r.id")))
+
+
+def _ordered_ids() -> tuple[Column, Column]:
+    # Two big contents are in order already, as _once asks for it.
+    return F.least("l.id", "r.id"), F.greatest("l.id", "r.id")
+
+
+def _met_at_pairs(known: DataFrame, least: int) -> DataFrame:
+    """Overlaps of contents with few entries, found at their pairs of entries.
+
+    Contents that share n entries meet at n (n - 1) / 2 pairs, which tells n.
+    Most pairs of entries are in one content only and leave before the join;
+    those in many contents are divided by their number.
+    """
+    entries = F.col("_entries")
+    lists = known.groupBy("id").agg(F.sort_array(F.collect_list("entry")).alias("_entries")).where(
+        F.size("_entries") >= least)
+    pairs = lists.select("id", F.inline(F.flatten(F.transform(entries, lambda x, i: F.transform(
+        F.slice(entries, i + 2, F.size(entries)), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
+    ).withColumn("pair", F.xxhash64("x", "y"))
+    counts = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
+    shared = durable(skew.join_to_groups(pairs, counts, "pair", "n", "id"))
+    same = (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
+    met = skew.spread_self_join(shared, shared, "pair", "id", _parts("n"), same & (F.col("l.id") < F.col("r.id")))
+    number = F.round((F.sqrt(F.count("*") * 8 + 1) + 1) / 2).cast("bigint")
+    return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).groupBy("a", "b").agg(
+        number.alias("common")).where(F.col("common") >= least)
 
 
 def _heavy_meetings(meetings: DataFrame, heavy: DataFrame, needed: int, met: Callable[..., list]) -> DataFrame:
@@ -151,9 +204,10 @@ def _heavy_meetings(meetings: DataFrame, heavy: DataFrame, needed: int, met: Cal
         order = Window.partitionBy("id").orderBy(F.col("in_").desc(), F.col("entry").desc())
         left_out = heavy.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") < needed)
         probes = heavy.join(left_out.select("id", "entry"), ["id", "entry"], "left_anti")
+    low, high = _ordered_ids()
     by_heavy = skew.spread_self_join(
-        probes, probes, "entry", "id", _parts("in_"), F.col("l.id") < F.col("r.id")
-    ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        probes.where("big"), probes, "entry", "id", _parts("in_"), _once()
+    ).select(low.alias("a"), high.alias("b"))
     having = heavy.select("id").distinct()
     by_light = (
         meetings.select("a", "b")
@@ -165,7 +219,7 @@ def _heavy_meetings(meetings: DataFrame, heavy: DataFrame, needed: int, met: Cal
         candidates.alias("p")
         .join(heavy.alias("l"), F.col("p.a") == F.col("l.id"))
         .join(heavy.alias("r"), (F.col("p.b") == F.col("r.id")) & (F.col("l.entry") == F.col("r.entry")))
-        .select(*met("p.a", "p.b"))
+        .select(*met(F.col("p.a"), F.col("p.b")))
     )
 
 
@@ -233,7 +287,8 @@ def _listed(pairs: DataFrame, found: _Profile, weighted: bool, least: int) -> Da
     return across.unionByName(twins)
 
 
-def container_overlap(entries: DataFrame, min_overlap: int = 2, heavy_entry: int = HEAVY_ENTRY) -> DataFrame:
+def container_overlap(entries: DataFrame, min_overlap: int = 2, heavy_entry: int = HEAVY_ENTRY,
+                      few_entries: int = FEW_ENTRIES) -> DataFrame:
     """All pairs of containers sharing at least ``min_overlap`` different entries.
 
     One row per pair: the report form. Its length is that of the answer, which
@@ -241,7 +296,7 @@ def container_overlap(entries: DataFrame, min_overlap: int = 2, heavy_entry: int
     compactly.
     """
     found = _profile(entries)
-    return _listed(_overlapping(found, min_overlap, heavy_entry), found, False, min_overlap)
+    return _listed(_overlapping(found, min_overlap, heavy_entry, few_entries=few_entries), found, False, min_overlap)
 
 
 def container_overlap_entries(entries: DataFrame, min_overlap: int = 2,
