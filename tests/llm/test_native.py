@@ -159,7 +159,7 @@ def test_chat_round_trip(spark):
     turns = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     chats = chat.format_chats(turns.withColumn("parts", chat.text_part(F.col("text"))))
     out = {r.conv_id: r for r in chats.select(
-        "*", chat.read_turns(F.col("formatted")).alias("back"), chat.masked_text(F.col("segments")).alias("loss")).collect()}
+        "*", chat.read_turns(F.col("formatted")).alias("back"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
     order = lambda c: sorted((x for x in said if x[0] == c), key=lambda x: (x[1] is not None, x[1] or 0))
     assert set(out) == {1, 2, None}
     for conv, r in out.items():
@@ -170,6 +170,19 @@ def test_chat_round_trip(spark):
         assert r.formatted.count("<|turn|>") == r.n_turns and not re.search(r"</s>|\[/?INST\]", r.formatted)
 
 
+def test_chat_of_many_turns(spark):
+    """Reading back takes time in proportion to the conversation; blocks end inside spans and characters."""
+    import time
+    texts = [("ä😀\n<s>" * (i % 150)) for i in range(12_000)]
+    turns = spark.createDataFrame([(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(texts)],
+                                  "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(turns.withColumn("parts", chat.text_part(F.col("text"))))
+    begin = time.perf_counter()
+    r = chats.select(chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert r.loss == "".join(texts[1::2])
+    assert time.perf_counter() - begin < 40
+
+
 def test_chat_parts(spark):
     one = [("text", "look at <|this|> ", None, None), ("image", None, "s3/a.png", 4), ("strange", "kept", None, None),
            ("audio", None, "b.wav", None), ("document", None, None, 2), (None, None, None, None)]

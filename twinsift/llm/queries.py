@@ -60,7 +60,7 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     chats = chat.format_chats(turns.withColumn("parts", chat.text_part(F.col("text"))))
     back = chats.withColumn("_turns", chat.read_turns(F.col("formatted"))).withColumn(
-        "_loss", chat.masked_text(F.col("segments")))
+        "_loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
     flat = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("_turns").cast("long").alias("n_turns"), _sha(flat).alias("turns_sha256"),
