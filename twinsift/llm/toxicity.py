@@ -31,12 +31,11 @@ def _pairs(rows: DataFrame) -> DataFrame:
         F.coalesce(F.get("_words", i - 1), F.lit("")).alias("v"), w.alias("w")))))
 
 
-def class_models(rows: DataFrame, least: int, discount: float, most: int) -> tuple[list, list, list]:
+def class_models(rows: DataFrame, least: int, discount: float) -> tuple[list, list, list]:
     """Log-likelihood ratios (word, ratio), (word before, word, ratio) and (beginning, ratio).
 
     ``rows`` has ``_text`` and ``toxic``. Counted are expressions seen at least
-    ``least`` times in both classes together, the ``most`` frequent ones of
-    each order. A class without texts leaves nothing to compare.
+    ``least`` times in both classes together, all of them. A class without texts leaves nothing to compare.
     """
     seen = _pairs(rows).groupBy("v", "w").agg(
         F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") == 0, 1)).alias("o"))
@@ -58,15 +57,13 @@ def class_models(rows: DataFrame, least: int, discount: float, most: int) -> tup
         F.array(*[F.when(F.length("w") > n, F.substr("w", F.lit(1), F.lit(n))) for n in PIECES]),
         lambda x: x.isNotNull())).alias("w"), "n", "s", "t", "o")
     pieces = begun.groupBy("w").agg(F.sum("n").alias("n"), F.least(F.sum("s"), F.lit(least)).alias("s"), *[
-        F.sum(c).alias(c) for c in "to"]).where(F.col("n") >= least).orderBy(F.col("n").desc(), "w").limit(most)
+        F.sum(c).alias(c) for c in "to"]).where(F.col("n") >= least)
 
-    known = words.where(F.col("n") >= least).orderBy(F.col("n").desc(), "w").limit(most).select(
-        "w", unigram("t").alias("pt"), unigram("o").alias("po"))
+    known = words.where(F.col("n") >= least).select("w", unigram("t").alias("pt"), unigram("o").alias("po"))
     known = durable(known)
     contexts = bigrams.groupBy("v").agg(*[F.sum(c).alias(f"n{c}") for c in "to"], *[
         F.count(F.when(F.col(c) > 0, 1)).alias(f"k{c}") for c in "to"])
-    common = bigrams.where((F.col("t") + F.col("o") >= least) & (F.col("v") != "")).orderBy(
-        (F.col("t") + F.col("o")).desc(), "v", "w").limit(most)
+    common = bigrams.where((F.col("t") + F.col("o") >= least) & (F.col("v") != ""))
 
     def bigram(c: str) -> Column:
         n = F.col(f"n{c}")
@@ -145,14 +142,14 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01)
 def toxicity(
     docs: DataFrame, labels: DataFrame, train: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", class_texts: int = 4_000, least: int = 8, discount: float = 0.75,
-    ngrams: int = 200_000,
 ) -> DataFrame:
     """(id, held_out, score, predicted) of every row.
 
     ``train`` tells by the id which rows to learn from; labels of other rows are not read.
     The models learn from up to ``class_texts`` texts of each class, those with
-    the smallest hash of their id, and keep up to ``ngrams`` expressions of
-    each order: the documented bounds of the classifier. Half of the texts
+    the smallest hash of their id: the documented bound of the classifier,
+    which bounds its expressions too, as each occurs ``least`` times in them.
+    Half of the texts
     give the counts, the other half the weights that turn likelihoods into a
     probability at the share of toxic rows among all training labels.
 
@@ -174,7 +171,7 @@ def toxicity(
         sample = part if sample is None else sample.unionByName(part)
     learned = durable(rows.join(durable(sample), F.col(id_col) == F.col("_id")).select(
         "toxic", "_text", (F.xxhash64(F.lit(1), "_id") % 2 == 0).alias("_count")))
-    models = class_models(learned.where("_count"), least, discount, ngrams)
+    models = class_models(learned.where("_count"), least, discount)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     fitted = learned.where("NOT _count").select("toxic", text_features(F.col("_text"), models).alias("x")).collect() if models[0] else []
     y = np.array([r.toxic for r in fitted], float)
