@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from twinsift import operators as op
@@ -55,3 +56,12 @@ def test_nothing(spark):
 def test_smallest_reachable():
     a, b = np.array([5, 3, 9, 1, 7]), np.array([3, 8, 1, 0, 9])
     assert components.smallest_reachable(10, a, b).tolist() == [0, 0, 2, 3, 4, 3, 6, 0, 3, 0]
+
+
+def test_portions_of_never_null_columns(monkeypatch):
+    """Batches as Spark hands them over for columns without nulls, more than one portion of them."""
+    monkeypatch.setattr(components, "FOREST_EDGES", 6)
+    never = pa.schema([pa.field("u", pa.int64(), nullable=False), pa.field("v", pa.int64(), nullable=False)])
+    batches = [pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 1]), pa.array([2, 3, 1, 2])], schema=never) for _ in range(5)]
+    links = [(u, v) for found in components._forest(batches) for u, v in zip(*(c.to_pylist() for c in found.columns))]
+    assert sorted(links) == [(2, 1), (3, 1)]

@@ -71,7 +71,8 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         if batch.num_rows:
-            held.append(batch)
+            # Spark marks columns that are never null; the links of a portion are not marked.
+            held.append(pa.RecordBatch.from_arrays(batch.columns, names=["u", "v"]))
             size += batch.num_rows
         if size >= FOREST_EDGES:
             done = stars()
