@@ -200,6 +200,38 @@ def test_container_groups(spark):
     assert got == {(c, root[c], shared[root[c]]) for c in nodes}
 
 
+def pairs_listed(monkeypatch):
+    """Every join that writes out container or content pairs fails from here on."""
+    def refused(*_args, **_more):
+        raise AssertionError("all pairs are listed")
+
+    monkeypatch.setattr(containers, "_overlapping", refused)
+    monkeypatch.setattr(containers, "_listed", refused)
+
+
+@pytest.mark.parametrize("heavy_entry", [1000, 5, 1])
+def test_groups_and_strongest_overlaps_without_pairs(spark, monkeypatch, heavy_entry):
+    rows = entry_rows(7) + [(f"z{i}", f"solo{k}") for i in range(3) for k in range(9)]
+    frame = spark.createDataFrame(rows, "container string, hash string").cache()
+    contents = defaultdict(set)
+    for c, h in rows:
+        contents[c].add(h)
+    shared = {(a, b): len(contents[a] & contents[b]) for a, b in combinations(sorted(contents), 2)}
+    pairs_listed(monkeypatch)
+    least = 2
+    pairs = {p: n for p, n in shared.items() if n >= least}
+    root = closure({c for p in pairs for c in p}, list(pairs))
+    best = defaultdict(int)
+    for (a, _), n in pairs.items():
+        best[root[a]] = max(best[root[a]], n)
+    got = {(r.container, r.root, r.shared) for r in op.container_groups(frame, least, heavy_entry).collect()}
+    assert got == {(c, root[c], best[root[c]]) for c in root}
+    want = sorted((-n, *p) for p, n in pairs.items())
+    for n in (2, 40, 400):
+        got = [(-r.common, r.container_a, r.container_b) for r in op.strongest_overlaps(frame, least, n, heavy_entry).collect()]
+        assert got == want[:n]
+
+
 @pytest.mark.parametrize("measure", ["mean_min", "aligned"])
 @pytest.mark.parametrize("hot_rows, hot_frame", [(skew.HOT_ROWS, 1000), (64, 12)])
 def test_sequences(spark, measure, hot_rows, hot_frame):

@@ -14,7 +14,7 @@ from .containers import (
     overlap_classes,
     overlap_ratios,
     shared_hashes,
-    top_overlaps,
+    strongest_overlaps, top_overlaps,
 )
 from .durable import durable, new_folder, release, reused, shared_folder
 from .exact import (
