@@ -624,7 +624,7 @@ def sort_groups(t: Tables) -> DataFrame:
 
 @query
 def top_overlaps(t: Tables) -> DataFrame:
-    return op.top_overlaps(op.container_overlap(in_containers(t.entries), 2), 5).select(
+    return op.strongest_overlaps(in_containers(t.entries), 2, 5).select(
         "container_a", "container_b", "common"
     )
 
