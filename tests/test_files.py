@@ -4,10 +4,13 @@ import os
 import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from twinsift import operators as op, sources as src
+from twinsift.plans import fixture_files
+from twinsift.sources import archives
 
 
 @pytest.fixture
@@ -128,3 +131,13 @@ def test_session_round_trip(spark, tmp_path):
     assert sorted(map(str, back.select(*columns).collect())) == sorted(map(str, members(spark).select(*columns).collect()))
     manifest = {r.tab: r.groups for r in spark.read.json(f"{folder}/manifest").collect()}
     assert manifest == {"regular": 1, "image": 1}
+
+
+def test_containers_are_handed_on_by_their_bytes(monkeypatch):
+    """One large batch of texts goes in; no batch of containers is much above the limit."""
+    monkeypatch.setattr(fixture_files, "PACK_BYTES", 5_000)
+    texts = pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(200)], "text": [f"a{i}\n\nb{i}" for i in range(200)]})
+    out = list(fixture_files._packed(archives.one_by_one([texts]), fixture_files._write_zip))
+    assert len(out) > 5 and max(b.nbytes for b in out) < 7_000
+    rows = list(archives._zip_rows(out))
+    assert [(r[0], r[1]) for r in rows] == [(f"p{i}", f"part{k}") for i in range(200) for k in (1, 3)]

@@ -9,9 +9,11 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.durable import new_folder
+from ..sources.archives import one_by_one
 from .tables import Tables
 
 
@@ -46,6 +48,7 @@ def write_one_file_each(t: Tables) -> str:
 
 
 _CONTAINERS = "path string, content binary"
+PACK_BYTES = 4 << 20
 
 
 def _named_lines(text: str) -> list[tuple[str, bytes]]:
@@ -53,20 +56,35 @@ def _named_lines(text: str) -> list[tuple[str, bytes]]:
     return [(f"part{i}", line.encode()) for i, line in enumerate(text.split("\n"), 1) if line]
 
 
+def _packed(rows: Iterator[tuple], write: Callable[[io.BytesIO, list[tuple[str, bytes]]], None]) -> Iterator[pa.RecordBatch]:
+    """Containers of (path, text) rows, handed on whenever they have ``PACK_BYTES``."""
+    held: list[tuple[str, bytes]] = []
+    size = 0
+    for row in rows:
+        buffer = io.BytesIO()
+        write(buffer, _named_lines(row.text))
+        held.append((row.path, buffer.getvalue()))
+        size += len(held[-1][1])
+        if size >= PACK_BYTES:
+            yield _containers(held)
+            held, size = [], 0
+    if held:
+        yield _containers(held)
+
+
+def _containers(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    paths, contents = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+
 def _pack(t: Tables, write: Callable[[io.BytesIO, list[tuple[str, bytes]]], None]) -> DataFrame:
     """(path, content): each document as a container of its lines."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            contents = []
-            for text in frame["text"]:
-                buffer = io.BytesIO()
-                write(buffer, _named_lines(text))
-                contents.append(buffer.getvalue())
-            yield pd.DataFrame({"path": frame["path"], "content": contents})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(one_by_one(batches), write)
 
     path = F.concat(F.lit("/data/"), F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".zip"))
     documents = t.table("documents").select(path.alias("path"), "text").repartition("path")
-    return documents.mapInPandas(run, _CONTAINERS)
+    return documents.mapInArrow(run, _CONTAINERS)
 
 
 def _write_zip(buffer: io.BytesIO, lines: list[tuple[str, bytes]]) -> None:

@@ -6,9 +6,11 @@ import hashlib
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections import namedtuple
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _ENTRIES = "container string, entry string, path string, type string, size bigint, hash string"
@@ -30,15 +32,27 @@ def _row(container: str, name: str, kind: str, size: int, digest: str) -> tuple:
     return container, name, f"{container}::{name}", kind, size, digest
 
 
-def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*rows)], names=_COLUMNS)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
         held.append(row)
         if len(held) >= _ROWS_PER_FRAME:
-            yield pd.DataFrame(held, columns=_COLUMNS)
+            yield _batch(held)
             held = []
     if held:
-        yield pd.DataFrame(held, columns=_COLUMNS)
+        yield _batch(held)
+
+
+def one_by_one(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows with named fields; Python has one row's values at a time, not a batch of them."""
+    for batch in batches:
+        kind = namedtuple("Container", batch.schema.names)
+        for at in range(batch.num_rows):
+            yield kind(*(column[at].as_py() for column in batch.columns))
 
 
 def _open(row) -> object:
@@ -46,22 +60,21 @@ def _open(row) -> object:
     return row.path if content is None else io.BytesIO(content)
 
 
-def _zip_rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            try:
-                archive = zipfile.ZipFile(_open(row))
-            except (OSError, zipfile.BadZipFile):
-                continue
-            with archive:
-                files = [i for i in archive.infolist() if not i.is_dir()]
-                for info in files[getattr(row, "first", 0):getattr(row, "last", None)]:
-                    try:
-                        with archive.open(info) as stream:
-                            digest = _sha256(stream)
-                    except (OSError, RuntimeError, NotImplementedError, EOFError, zipfile.BadZipFile, zipfile.zlib.error):
-                        continue
-                    yield _row(row.path, info.filename, "zip_entry", info.file_size, digest)
+def _zip_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for row in one_by_one(batches):
+        try:
+            archive = zipfile.ZipFile(_open(row))
+        except (OSError, zipfile.BadZipFile):
+            continue
+        with archive:
+            files = [i for i in archive.infolist() if not i.is_dir()]
+            for info in files[getattr(row, "first", 0):getattr(row, "last", None)]:
+                try:
+                    with archive.open(info) as stream:
+                        digest = _sha256(stream)
+                except (OSError, RuntimeError, NotImplementedError, EOFError, zipfile.BadZipFile, zipfile.zlib.error):
+                    continue
+                yield _row(row.path, info.filename, "zip_entry", info.file_size, digest)
 
 
 def _zip_slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,24 +114,23 @@ def zip_entries(containers: DataFrame) -> DataFrame:
         )
     else:
         containers = containers.select("path", "content")
-    return containers.mapInPandas(lambda frames: _frames(_zip_rows(frames)), _ENTRIES)
+    return containers.mapInArrow(lambda batches: _batches(_zip_rows(batches)), _ENTRIES)
 
 
-def _tar_rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            try:
-                source = _open(row)
-                where = {"name": source} if isinstance(source, str) else {"fileobj": source}
-                with tarfile.open(mode="r:*", **where) as archive:
-                    for info in archive:
-                        if not info.isfile():
-                            continue
-                        stream = archive.extractfile(info)
-                        if stream is not None:
-                            yield _row(row.path, info.name, "tar_entry", info.size, _sha256(stream))
-            except (OSError, EOFError, tarfile.TarError, zipfile.zlib.error):
-                continue
+def _tar_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for row in one_by_one(batches):
+        try:
+            source = _open(row)
+            where = {"name": source} if isinstance(source, str) else {"fileobj": source}
+            with tarfile.open(mode="r:*", **where) as archive:
+                for info in archive:
+                    if not info.isfile():
+                        continue
+                    stream = archive.extractfile(info)
+                    if stream is not None:
+                        yield _row(row.path, info.name, "tar_entry", info.size, _sha256(stream))
+        except (OSError, EOFError, tarfile.TarError, zipfile.zlib.error):
+            continue
 
 
 def tar_entries(containers: DataFrame) -> DataFrame:
@@ -130,7 +142,7 @@ def tar_entries(containers: DataFrame) -> DataFrame:
     spread = containers.select(*columns)
     if "content" not in columns:
         spread = spread.repartition("path")
-    return spread.mapInPandas(lambda frames: _frames(_tar_rows(frames)), _ENTRIES)
+    return spread.mapInArrow(lambda batches: _batches(_tar_rows(batches)), _ENTRIES)
 
 
 def union_items(files: DataFrame, *entries: DataFrame) -> DataFrame:
