@@ -1,5 +1,7 @@
 """File trees, containers on disk, saved sessions."""
 
+import gzip
+import io
 import os
 import tarfile
 import zipfile
@@ -141,3 +143,15 @@ def test_containers_are_handed_on_by_their_bytes(monkeypatch):
     assert len(out) > 5 and max(b.nbytes for b in out) < 7_000
     rows = list(archives._zip_rows(out))
     assert [(r[0], r[1]) for r in rows] == [(f"p{i}", f"part{k}") for i in range(200) for k in (1, 3)]
+
+
+def test_tar_is_compressed_at_once(monkeypatch):
+    """One call for the whole container, whatever the number of its entries; it reads back whole."""
+    calls = []
+    write = gzip.GzipFile.write
+    monkeypatch.setattr(gzip.GzipFile, "write", lambda self, data: (calls.append(1), write(self, data))[1])
+    buffer = io.BytesIO()
+    fixture_files._write_tar(buffer, [(f"part{i}", b"x" * i) for i in range(1, 40)])
+    assert len(calls) == 1
+    batch = pa.RecordBatch.from_pydict({"path": ["p"], "content": [buffer.getvalue()]})
+    assert [(r[1], r[4]) for r in archives._tar_rows([batch])] == [(f"part{i}", i) for i in range(1, 40)]
