@@ -171,6 +171,32 @@ def test_container_overlap(spark, monkeypatch, heavy_entry, least):
     assert len(got) == len(weighted) and set(got) == weighted
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_overlap_at_frequent_entries_meets_by_pattern(spark, monkeypatch, weighted):
+    met, meetings = [], containers._heavy_meetings
+
+    def counted(wanted, heavy, *more):
+        met.append(heavy.select("id").distinct().count())
+        return meetings(wanted, heavy, *more)
+
+    monkeypatch.setattr(containers, "_heavy_meetings", counted)
+    monkeypatch.setattr(containers, "CELL_ROWS", 7, raising=False)     # several lots of one pattern
+    # Forty contents of one pattern, some copied, some that also share a rare entry.
+    rows = [(f"c{i:02d}", h) for i in range(40) for h in ("often1", "often2", f"own{i}", f"rare{i // 2 % 9}")]
+    rows += [(f"d{i}", h) for i in range(3) for h in ("often1", "often2", "own0", "rare0")]
+    rows += [(f"e{i}", h) for i in range(9) for h in ("often2", "often2", f"of{i}")]
+    contents = defaultdict(Counter)
+    for c, h in rows:
+        contents[c][h] += 1
+    want = {(a, b, n) for a, b in combinations(sorted(contents), 2)
+            if (n := sum(contents[a][h] if weighted else 1 for h in contents[a].keys() & contents[b].keys())) >= 2}
+    frame = spark.createDataFrame(rows, "container string, hash string")
+    listed = (op.container_overlap_entries if weighted else op.container_overlap)(frame, 2, 12)
+    got = [tuple(r) for r in listed.select("container_a", "container_b", "common").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert met and max(met) <= 4
+
+
 def test_compact_overlap_says_the_same(spark):
     frame = spark.createDataFrame(entry_rows(9), "container string, hash string")
     classes = defaultdict(list)
