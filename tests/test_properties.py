@@ -171,6 +171,21 @@ def test_container_overlap(spark, monkeypatch, heavy_entry, least):
     assert len(got) == len(weighted) and set(got) == weighted
 
 
+def test_baskets_meet_at_pairs_of_entries(spark, monkeypatch):
+    """Where entries are in thirty containers each, pairs of entries are fewer than meetings."""
+    rnd = random.Random(3)
+    rows = [(f"c{i:03d}", f"p{k}") for i in range(300) for k in rnd.sample(range(30), 1 + i % 4)]
+    contents = defaultdict(set)
+    for c, h in rows:
+        contents[c].add(h)
+    want = {(a, b, n) for a, b in combinations(sorted(contents), 2) if (n := len(contents[a] & contents[b])) >= 3}
+    found, at_pairs = [], containers._met_at_pairs
+    monkeypatch.setattr(containers, "_met_at_pairs", lambda *a: found.append(at_pairs(*a)) or found[-1])
+    frame = spark.createDataFrame(rows, "container string, hash string")
+    got = {tuple(r) for r in op.container_overlap(frame, 3).select("container_a", "container_b", "common").collect()}
+    assert got == want and found[0] is not None
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_overlap_at_frequent_entries_meets_by_pattern(spark, monkeypatch, weighted):
     met, meetings = [], containers._heavy_meetings

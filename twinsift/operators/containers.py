@@ -19,7 +19,7 @@ HEAVY_ENTRY = 1_000     # entries found in more containers are treated apart
 PART_ROWS = 1_000       # rows of one key that a task has on its divided side
 FEW_ENTRIES = 8         # containers with no more different entries may meet at pairs of entries
 CELL_ROWS = 250         # contents of one pattern that meet as a whole; a task holds the pairs of two such lots
-PAIR_COST = 16          # a pair of entries costs about as much as this many meetings of two containers
+PAIR_COST = 2           # a pair of entries costs about as much as this many meetings of two containers
 SMALL_TABLE = 1_000_000     # a list of no more numbers may be sent to all tasks
 FACTS = ["rep", "total", "copies"]
 
