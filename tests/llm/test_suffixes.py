@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -100,3 +102,22 @@ def test_hot_digits(spark, part_bytes):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for hot in (1, 4, 10_000):
         assert run(docs, part_bytes=part_bytes, hot_digit=hot) == plain(rows)
+
+
+def test_first_exchange_is_let_go(spark):
+    """What the first pass exchanged is off the disk before the second one begins."""
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    rows = [(i, letters[rng.integers(0, len(letters), 2_000)].tobytes().decode()) for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def exchanged():
+        return {f for f in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+
+    before = exchanged()
+    out = suffixes.remove_repeats(docs, part_bytes=1 << 20)
+    until = time.time() + 20            # files are deleted in the background
+    while (left := sum(f.stat().st_size for f in exchanged() - before if f.exists())) > 1 << 20 and time.time() < until:
+        time.sleep(0.2)
+    assert left < 1 << 20
+    assert out.where("n_removed = 0 AND n_bytes = 2000").count() == 1_500
