@@ -1,12 +1,13 @@
 """Answers that went wrong once: excludes, sessions, links, plans, limits."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinsift import operators as op
-from twinsift.operators import skew
+from twinsift.operators import containers, skew
 from twinsift.plans.scan import ScanOptions, scan
 from twinsift.sources import sessions
 
@@ -86,3 +87,32 @@ def test_all_hot_keys_are_divided(spark):
     groups = rows.groupBy("k").agg(F.count("*").alias("n"))
     joined = skew.join_to_groups(rows, groups, "k", "n", "path", hot_rows=10, settle=True)
     assert joined.count() == 60_000 and joined.where("n <> 40").isEmpty()
+
+
+@pytest.mark.parametrize("heavy_entry", [1000, 5, 1])
+@pytest.mark.parametrize("copies", [0, 12])
+def test_hashes_of_all_overlaps(spark, monkeypatch, heavy_entry, copies):
+    """What all pairs share, with lists and lots of a few rows."""
+    for name, rows in (("CELL_ROWS", 3), ("LIST_ROWS", 2), ("PART_ROWS", 4)):
+        monkeypatch.setattr(containers, name, rows)
+    rng = random.Random(heavy_entry)
+    has = {f"c{i:03}": {f"h{int(rng.paretovariate(.5)) % 60}" for _ in range(rng.randrange(9))} for i in range(60)}
+    has |= {f"b{i:03}": {f"h{k}" for k in range(7)} for i in range(copies)}
+    rows = [(c, h) for c, hs in has.items() for h in hs for _ in range(rng.choice([1, 1, 2]))] + [("c001", None)]
+    frame = spark.createDataFrame(rows, "container string, hash string")
+    expected = sorted((a, b, h) for a in has for b in has if a < b and len(has[a] & has[b]) >= 2 for h in has[a] & has[b])
+    assert sorted(map(tuple, op.overlap_hashes(frame, 2, heavy_entry).collect())) == expected and len(expected) > 100
+
+
+def test_hashes_of_overlaps_do_not_exchange_pairs(spark):
+    """400 containers with 12 frequent entries: 957,600 rows, none of which is exchanged."""
+    rows = [(f"c{i}", f"{k:064}" if k < 12 else f"{i}-{k}") for i in range(400) for k in range(13)]
+    frame = spark.createDataFrame(rows, "container string, hash string")
+    found = op.overlap_hashes(frame, 2, 100)
+
+    def exchanged():
+        return {f: f.stat().st_size for f in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data") if f.exists()}
+
+    before = exchanged()
+    assert found.count() == 400 * 399 // 2 * 12
+    assert sum(n for f, n in exchanged().items() if f not in before) < 1 << 20

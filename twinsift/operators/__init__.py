@@ -12,6 +12,7 @@ from .containers import (
     container_pair_rollup,
     min_container_entries,
     overlap_classes,
+    overlap_hashes,
     overlap_ratios,
     shared_hashes,
     strongest_overlaps, top_overlaps,
