@@ -1,10 +1,12 @@
 """What is written piece by piece: cache versions, the deletion log, the report."""
 
+import csv
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from twinsift import sources as src
+from twinsift.operators.containers import container_pair_rollup
 from twinsift.sources import cache_store
 
 CACHE = "path string, size long, mtime long, hash string, phash string, frames array<bigint>"
@@ -81,3 +83,19 @@ def test_report_tells_groups_apart(spark, tmp_path):
     back = spark.read.option("header", "true").csv(f"{tmp_path}/groups")
     assert {(r.group_id, r.hash, r.path, r.created) for r in back.collect()} == {
         (h, "0123abcd", p.split("::")[0], None if "::" in p else d) for h, p, _, _, d in rows}
+
+
+def test_report_sorts_pairs_by_position(spark, tmp_path):
+    """Positions of containers are in the order of their names, and so are the written pairs."""
+    has = {f"/d{'ab'[i % 2]}/doc{i * 37 % 101}.zip": {f"h{k}" for k in range(12) if (i + k) % 5 < 2} for i in range(40)}
+    rows = [(h, f"{c}::e{h}", 10, len(hs)) for c, hs in has.items() for h in hs]
+    members = spark.createDataFrame(rows, "hash string, path string, size long, total long").repartition(3)
+    expected = {(a, b): len(has[a] & has[b]) for a in has for b in has if a < b and has[a] & has[b]}
+    pairs = container_pair_rollup(members, heavy_entry=3, placed=True).collect()
+    at = {name: i + 1 for i, name in enumerate(sorted(has))}
+    assert {(r.container_a.name, r.container_b.name): r.shared for r in pairs} == expected and len(pairs) == len(expected)
+    assert all(at[c.name] == c.position for r in pairs for c in (r.container_a, r.container_b))
+    src.export_duplicates_report(members, str(tmp_path))
+    files = sorted((tmp_path / "pairs").glob("*.csv"))
+    back = [tuple(line) for f in files for line in list(csv.reader(f.open()))[1:]]
+    assert back == [(a, b, str(n)) for (a, b), n in sorted(expected.items())]
