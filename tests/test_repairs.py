@@ -1,6 +1,7 @@
 """Answers that went wrong once: excludes, sessions, links, plans, limits."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -116,3 +117,53 @@ def test_hashes_of_overlaps_do_not_exchange_pairs(spark):
     before = exchanged()
     assert found.count() == 400 * 399 // 2 * 12
     assert sum(n for f, n in exchanged().items() if f not in before) < 1 << 20
+
+
+@pytest.mark.parametrize("heavy_entry", [1000, 5, 1])
+def test_lots_of_copies_are_all_named(spark, monkeypatch, heavy_entry):
+    """Contents with up to 40 copies, whose names come in lots of one or two."""
+    for name, rows in (("CELL_ROWS", 3), ("LIST_ROWS", 2), ("PART_ROWS", 4), ("LOT_BITS", 1)):
+        monkeypatch.setattr(containers, name, rows)
+    rng = random.Random(heavy_entry)
+    has = {}
+    for i, copies in enumerate([1] * 20 + [2, 2, 3, 5, 9, 40]):
+        content = Counter(f"h{int(rng.paretovariate(.5)) % 20}" for _ in range(rng.randrange(2, 9)))
+        has |= {f"c{i:02}-{k:02}": content for k in range(copies)}
+    rows = [(c, h) for c, hs in has.items() for h, n in hs.items() for _ in range(n)]
+    frame = spark.createDataFrame(rows, "container string, hash string")
+    pairs = [(a, b) for a in has for b in has if a < b]
+    shared = {(a, b): set(has[a]) & set(has[b]) for a, b in pairs}
+    totals = {c: sum(hs.values()) for c, hs in has.items()}
+    want = sorted((a, b, len(s), totals[a], totals[b]) for (a, b), s in shared.items() if len(s) >= 2)
+    assert sorted(map(tuple, op.container_overlap(frame, 2, heavy_entry).collect())) == want and len(want) > 300
+    counted = ((a, b, sum(has[a][h] for h in s), totals[a], totals[b]) for (a, b), s in shared.items())
+    assert sorted(map(tuple, op.container_overlap_entries(frame, 2, heavy_entry).collect())) == sorted(x for x in counted if x[2] >= 2)
+    hashes = sorted((a, b, h) for (a, b), s in shared.items() if len(s) >= 2 for h in s)
+    assert sorted(map(tuple, op.overlap_hashes(frame, 2, heavy_entry).collect())) == hashes
+
+
+def exchanged_rows(plan):
+    """Rows that the exchanges of a plan that has run wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return exchanged_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return exchanged_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(exchanged_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_pairs_of_copies_are_not_exchanged(spark):
+    """30 contents with 100 copies each share an entry: 4,350,000 pairs, of which the 435 of contents are exchanged."""
+    rows = [(f"/data/{c}.zip::{e}", e) for c in range(3000) for e in ("shared", f"own{c % 30}")]
+    members = spark.createDataFrame(rows, "path string, hash string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = op.container_pair_rollup(members).agg(
+            F.count("*").alias("n"), F.sum("shared").alias("shared"), F.max("container_a"), F.max("container_b"))
+        facts = found.collect()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    twins = 30 * 100 * 99 // 2
+    assert (facts.n, facts.shared) == (3000 * 2999 // 2, 3000 * 2999 // 2 + twins)
+    assert exchanged_rows(found._jdf.queryExecution().executedPlan()) < 20_000

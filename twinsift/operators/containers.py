@@ -24,6 +24,8 @@ PAIR_COST = 2           # a pair of entries costs about as much as this many mee
 LIST_ROWS = 1_000       # shared entries of two contents that are one row until the end
 SMALL_TABLE = 1_000_000     # a list of no more numbers may be sent to all tasks
 FACTS = ["rep", "total", "copies"]
+COPIES_BITS = 54        # a content's number has the bit length of its copies from this bit on
+LOT_BITS = 8            # names of a content's containers that are one row: fewer than 2 to this power, or half of them and more
 
 
 def _parts(count: str, rows: int = PART_ROWS) -> Column:
@@ -52,8 +54,9 @@ def min_container_entries(entries: DataFrame, least: int, hot_rows: int = skew.H
 class _Profile:
     """An entry table in the forms the overlap operators need.
 
-    Different contents are numbered. Everything between the entry table and
-    the result works on these numbers, which are a fraction of the names.
+    Different contents are numbered, those with more copies higher. Everything
+    between the entry table and the result works on these numbers, which are a
+    fraction of the names.
     """
 
     contents: DataFrame     # container, hash, m: each hash once with its multiplicity
@@ -67,6 +70,25 @@ class _Profile:
         single = self.kinds.where("copies = 1").withColumn("container", F.col("rep"))
         return single.unionByName(self.copied) if self.any_copied else single
 
+    @property
+    def lots(self) -> DataFrame:
+        """(id, lot, names, total): the containers of every content, in ``_lots`` rows."""
+        single = self.kinds.where("copies = 1").select("id", F.lit(0).alias("lot"), F.array("rep").alias("names"), "total")
+        if not self.any_copied:
+            return single
+        lot = F.pmod(F.xxhash64("container"), _lots(F.col("id"))).cast("int").alias("lot")
+        return single.unionByName(
+            self.copied.groupBy("id", lot).agg(F.collect_list("container").alias("names"), F.max("total").alias("total")))
+
+
+def _lots(content: Column) -> Column:
+    """In how many lots the containers of a content are, told by its number."""
+    return F.pow(F.lit(2), F.greatest(F.shiftright(content, COPIES_BITS) - LOT_BITS, F.lit(0))).cast("int")
+
+
+def _every_lot(content: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), _lots(content) - 1))
+
 
 def _profile(entries: DataFrame) -> _Profile:
     """Find containers with equal contents.
@@ -88,7 +110,7 @@ def _profile(entries: DataFrame) -> _Profile:
     profile = durable(contents.groupBy("container").agg(signature.alias("_key")))
     twins = durable(
         profile.groupBy("_key").agg(F.min("container").alias("rep"), F.count("*").alias("copies"))
-        .withColumn("id", F.monotonically_increasing_id())
+        .withColumn("id", F.shiftleft(F.length(F.bin("copies")).cast("bigint"), COPIES_BITS) + F.monotonically_increasing_id())
     )
     facts = ["id", "rep", "_key.kinds", "_key.total", "copies"]
     several = twins.where("copies > 1")
@@ -123,7 +145,7 @@ def _shared_entries(found: _Profile, few: int = 0, *more: str) -> DataFrame:
 
 
 def _overlapping(found: _Profile, least: int, heavy_entry: int, weighted: bool = False,
-                 few_entries: int = FEW_ENTRIES) -> DataFrame:
+                 few_entries: int = FEW_ENTRIES, named: bool = False) -> DataFrame:
     """Overlapping pairs a, b of different contents, each once, with what is known of both.
 
     Columns are ``a``, ``b``, ``common`` and, with ``_a`` and ``_b``, ``rep``,
@@ -131,6 +153,9 @@ def _overlapping(found: _Profile, least: int, heavy_entry: int, weighted: bool =
     ``weighted`` there are also ``common_a``, the entries of a that have one
     of them, and ``common_b``; the larger of the two is compared with ``least``.
 
+    With ``named`` there are ``names`` and ``total`` instead, for every lot of
+    a's containers with every lot of b's.
+
     Where two shared entries are asked for, contents of at most ``few_entries``
     entries meet at pairs of entries, so those that share a single one never
     do; unless the counts say that meeting as in ``_blocks`` is cheaper. The
@@ -150,7 +175,7 @@ def _overlapping(found: _Profile, least: int, heavy_entry: int, weighted: bool =
             known = known.withColumn("big", F.lit(True))
             woven = woven and _Patterns(*(x.withColumn("big", F.lit(True)) for x in (woven.members, woven.patterns, woven.rows)))
         elif not seen.big:
-            return _with_facts(by_pairs, found)
+            return _with_names(by_pairs, found) if named else _with_facts(by_pairs, found)
     shared = ["common", "common_a", "common_b"] if weighted else ["common"]
     if any_heavy:
         blocks = _blocks(known, woven, least, heavy_entry, weighted)
@@ -159,8 +184,8 @@ def _overlapping(found: _Profile, least: int, heavy_entry: int, weighted: bool =
         listed = _met(known, weighted).where(_measure(weighted) >= least)
     if by_pairs is not None:
         listed = listed.unionByName(by_pairs)
-    listed = _with_facts(listed, found)
-    return listed.unionByName(_written_out(blocks, found, least, shared)) if any_heavy else listed
+    listed = _with_names(listed, found) if named else _with_facts(listed, found)
+    return listed.unionByName(_written_out(blocks, found, least, shared, named)) if any_heavy else listed
 
 
 def _with_facts(pairs: DataFrame, found: _Profile) -> DataFrame:
@@ -170,6 +195,18 @@ def _with_facts(pairs: DataFrame, found: _Profile) -> DataFrame:
     return pairs
 
 
+def _with_names(pairs: DataFrame, found: _Profile) -> DataFrame:
+    """Attach number of entries and containers of both contents, a row for two lots of them.
+
+    The side with fewer copies, ``a``, comes first, so that what is exchanged
+    for the other one is a short list, and never the pairs of containers.
+    """
+    for s in ("a", "b"):
+        of_s = found.lots.select(F.col("id").alias(s), "lot", F.col("names").alias(f"names_{s}"), F.col("total").alias(f"total_{s}"))
+        pairs = pairs.withColumn("lot", _every_lot(F.col(s))).join(of_s, [s, "lot"]).drop("lot")
+    return pairs
+
+
 def _once() -> Column:
     """Of a big content ``l`` and any content ``r``: each pair in one order only."""
     return (F.col("l.id") < F.col("r.id")) | (~F.col("r.big") & (F.col("l.id") > F.col("r.id")))
@@ -368,34 +405,37 @@ def _measure(weighted: bool) -> Column:
     return F.greatest("common_a", "common_b") if weighted else F.col("common")
 
 
-def _cells(blocks: _Blocks, sets: DataFrame, links: DataFrame) -> DataFrame:
+def _cells(blocks: _Blocks, sets: DataFrame, links: DataFrame, named: bool) -> DataFrame:
     """Pairs x, y of ``sets`` elements for the linked patterns, less those that ``blocks.pairs`` has.
 
-    Patterns are divided into parts of about ``CELL_ROWS`` elements, and what is
-    exchanged are pairs of parts: elements meet within a row, so that all the
-    pairs a part takes part in cost as much as its elements. ``sets`` has
-    ``pattern``, ``id`` and ``item``, ``links`` has p, q and columns that are kept.
+    Patterns are divided into parts of about ``CELL_ROWS`` contents or names, and
+    what is exchanged are pairs of parts: elements meet within a row, so that all
+    the pairs a part takes part in cost as much as its elements. ``sets`` is made
+    by ``_elements``, ``links`` has p, q and columns that are kept.
     """
     kept = [c for c in links.columns if c not in ("p", "q")]
-    sizes = blocks.patterns.select("pattern", _parts("size", CELL_ROWS).alias("parts"))
+    sizes = durable(sets.groupBy("pattern").agg(F.sum("weight").alias("size")).select("pattern", _parts("size", CELL_ROWS).alias("parts")))
 
-    def part_of(element: str, parts: str = "parts") -> Column:
-        return F.pmod(F.xxhash64(element), F.col(parts)).cast("int")
+    def part_of(element: str, lot: str, parts: str = "parts") -> Column:
+        return F.pmod(F.xxhash64(element, lot), F.col(parts)).cast("int")
 
     parts = durable(
-        sets.join(sizes, "pattern").groupBy("pattern", part_of("id").alias("part")).agg(F.collect_list("item").alias("items"))
+        sets.join(sizes, "pattern").groupBy("pattern", part_of("id", "lot").alias("part")).agg(F.collect_list("item").alias("items"))
     )
     of_p = sizes.select(F.col("pattern").alias("p"), F.col("parts").alias("parts_p"))
     of_q = sizes.select(F.col("pattern").alias("q"), F.col("parts").alias("parts_q"))
     numbers = links.join(of_p, "p").join(of_q, "q").withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.col("parts_p") - 1))).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.col("parts_q") - 1))).where("p <> q OR i <= j")
-    placed = blocks.known.join(of_p, "p").join(of_q, "q").withColumns(
-        {"i": part_of("u", "parts_p"), "j": part_of("v", "parts_q")})
+    lots = blocks.known
+    for x in ("u", "v"):
+        lots = lots.withColumn(f"lot_{x}", _every_lot(F.col(x)) if named else F.lit(0))
+    placed = lots.join(of_p, "p").join(of_q, "q").withColumns(
+        {"i": part_of("u", "lot_u", "parts_p"), "j": part_of("v", "lot_v", "parts_q")})
     turned = "p = q AND (i > j OR (i = j AND u > v))"
     known = placed.select("p", "q", *[
         F.when(F.expr(turned), F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("i", "j"), ("j", "i"), ("u", "v"), ("v", "u"))
-    ]).groupBy("p", "q", "i", "j", "u").agg(F.collect_list("v").alias("vs")).groupBy("p", "q", "i", "j").agg(
+    ]).groupBy("p", "q", "i", "j", "u").agg(F.collect_set("v").alias("vs")).groupBy("p", "q", "i", "j").agg(
         F.map_from_entries(F.collect_list(F.struct("u", "vs"))).alias("known"))
     # Rows are few and long, so their number says how to deal them, not their size.
     tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -411,7 +451,8 @@ def _cells(blocks: _Blocks, sets: DataFrame, links: DataFrame) -> DataFrame:
                      F.explode("xs").alias("x"))
         .select(*kept, "ys", "_same", "x", F.try_element_at("known", F.col("x.id")).alias("_known"))
         .select(*kept, "_same", "x", "_known", F.explode("ys").alias("y"))
-        .where((~same | (F.col("x.id") < F.col("y.id"))) & ~F.coalesce(F.array_contains("_known", F.col("y.id")), F.lit(False)))
+        # Lots of one content are in different parts, or in the same one.
+        .where((~same | (F.col("x.id") < F.col("y.id"))) & (F.col("x.id") != F.col("y.id")) & ~F.coalesce(F.array_contains("_known", F.col("y.id")), F.lit(False)))
         .select("x", "y", *kept)
     )
 
@@ -424,12 +465,19 @@ def _links(blocks: _Blocks, least: int, shared: list[str]) -> DataFrame:
     return blocks.touching.select("p", "q", *shared).unionByName(alike)
 
 
-def _written_out(blocks: _Blocks, found: _Profile, least: int, shared: list[str]) -> DataFrame:
+def _elements(blocks: _Blocks, found: _Profile, named: bool) -> DataFrame:
+    """(pattern, id, lot, weight, item): the contents of each pattern, as a whole or by lots of their containers."""
+    of = found.lots if named else found.kinds.withColumn("lot", F.lit(0))
+    facts = ["names", "total"] if named else FACTS
+    return blocks.members.join(of, "id").select(
+        "pattern", "id", "lot", (F.size("names") if named else F.lit(1)).alias("weight"), F.struct("id", *facts).alias("item"))
+
+
+def _written_out(blocks: _Blocks, found: _Profile, least: int, shared: list[str], named: bool) -> DataFrame:
     """The pairs of contents that share heavy entries alone, as in ``_overlapping``."""
-    sets = blocks.members.join(found.kinds, "id").select("pattern", "id", F.struct("id", *FACTS).alias("item"))
-    return _cells(blocks, sets, _links(blocks, least, shared)).select(
+    return _cells(blocks, _elements(blocks, found, named), _links(blocks, least, shared), named).select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b"), *shared,
-        *[F.col(f"{x}.{c}").alias(f"{c}_{s}") for x, s in (("x", "a"), ("y", "b")) for c in FACTS],
+        *[F.col(f"{x}.{c}").alias(f"{c}_{s}") for x, s in (("x", "a"), ("y", "b")) for c in (["names", "total"] if named else FACTS)],
     )
 
 
@@ -462,26 +510,11 @@ def overlap_classes(entries: DataFrame, min_overlap: int = 2, heavy_entry: int =
     return across.unionByName(within)
 
 
-def _named(pairs: DataFrame, found: _Profile, s: str, name: str) -> DataFrame:
-    """Pairs of contents with every container of one side as ``name``; many containers are dealt to tasks."""
-    parts = _parts(f"copies_{s}")
-    names = found.classes.select(
-        F.col("id").alias(s), F.col("container").alias(name),
-        F.pmod(F.xxhash64("container"), _parts("copies")).cast("int").alias("_part"),
-    )
-    return pairs.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).join(names, [s, "_part"]).drop("_part")
-
-
 def _listed(pairs: DataFrame, found: _Profile, weighted: bool, least: int) -> DataFrame:
-    """Write content pairs out as container pairs, smaller name first."""
+    """Write content pairs with ``names`` out as container pairs, smaller name first."""
     shared = ["common_a", "common_b"] if weighted else ["common"]
-    facts = ["x", "y", "total_a", "total_b", *shared]
-    single = (F.col("copies_a") == 1) & (F.col("copies_b") == 1)
-    across = pairs.where(single).withColumnsRenamed({"rep_a": "x", "rep_b": "y"}).select(*facts)
-    if found.any_copied:
-        # Only pairs of contents with copies are exchanged for the names.
-        several = _named(_named(pairs.where(~single), found, "a", "x"), found, "b", "y")
-        across = across.unionByName(several.select(*facts))
+    facts = ["total_a", "total_b", *shared]
+    across = pairs.select(*facts, "names_b", F.explode("names_a").alias("x")).select(*facts, "x", F.explode("names_b").alias("y"))
     forward = F.col("x") < F.col("y")
 
     def first(a: str, b: str) -> Column:
@@ -516,7 +549,7 @@ def container_overlap(entries: DataFrame, min_overlap: int = 2, heavy_entry: int
     compactly.
     """
     found = _profile(entries)
-    return _listed(_overlapping(found, min_overlap, heavy_entry, few_entries=few_entries), found, False, min_overlap)
+    return _listed(_overlapping(found, min_overlap, heavy_entry, few_entries=few_entries, named=True), found, False, min_overlap)
 
 
 def container_overlap_entries(entries: DataFrame, min_overlap: int = 2,
@@ -527,7 +560,7 @@ def container_overlap_entries(entries: DataFrame, min_overlap: int = 2,
     times when the second one has it. Containers are ordered by name.
     """
     found = _profile(entries)
-    return _listed(_overlapping(found, min_overlap, heavy_entry, True), found, True, min_overlap)
+    return _listed(_overlapping(found, min_overlap, heavy_entry, True, named=True), found, True, min_overlap)
 
 
 def overlap_ratios(pairs: DataFrame) -> DataFrame:
@@ -561,15 +594,11 @@ def _lists(rows: DataFrame, key: list[str], value: str, number: str) -> DataFram
     return rows.groupBy(*key, part).agg(F.collect_list(value).alias("shared")).drop("_list")
 
 
-def _spelled(lists: DataFrame, found: _Profile, name: str) -> DataFrame:
+def _spelled(lists: DataFrame, name: str) -> DataFrame:
     """(container_a, container_b, name): the ``shared`` lists of pairs of contents, for all their containers."""
-    single = (F.col("copies_a") == 1) & (F.col("copies_b") == 1)
-    out = lists.where(single).select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y"), "shared")
-    if found.any_copied:
-        several = _named(_named(lists.where(~single), found, "a", "x"), found, "b", "y")
-        out = out.unionByName(several.select("x", "y", "shared"))
-    return out.select(F.least("x", "y").alias("container_a"), F.greatest("x", "y").alias("container_b"),
-                      F.explode("shared").alias(name))
+    return lists.select("names_b", "shared", F.explode("names_a").alias("x")).select(
+        "shared", "x", F.explode("names_b").alias("y")).select(
+        F.least("x", "y").alias("container_a"), F.greatest("x", "y").alias("container_b"), F.explode("shared").alias(name))
 
 
 def overlap_hashes(entries: DataFrame, min_overlap: int = 2, heavy_entry: int = HEAVY_ENTRY) -> DataFrame:
@@ -584,14 +613,13 @@ def overlap_hashes(entries: DataFrame, min_overlap: int = 2, heavy_entry: int =
     known = spelled.drop("hash")
     woven = _patterns(known, heavy_entry)
     blocks = _blocks(known, woven, min_overlap, heavy_entry)
-    pairs = durable(_with_facts(blocks.placed, found))
-    facts = [f"{c}_{x}" for c in ("rep", "copies") for x in ("a", "b")]
+    pairs = blocks.placed
 
     light = spelled.where(F.col("in_") <= heavy_entry)
     met = light.alias("l").join(
         light.select("id", "entry").alias("r"), (F.col("l.entry") == F.col("r.entry")) & (F.col("l.id") < F.col("r.id"))
     ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "hash")
-    at_light = _lists(met.join(pairs, ["a", "b"]), ["a", "b", *facts], "hash", "common")
+    at_light = _with_names(_lists(met.join(pairs, ["a", "b"]), ["a", "b"], "hash", "common"), found)
 
     of = woven.rows.select("id", "entry")
     touching = blocks.touching.select("p", "q").unionByName(pairs.where("both AND p < q").select("p", "q")).distinct()
@@ -601,19 +629,17 @@ def overlap_hashes(entries: DataFrame, min_overlap: int = 2, heavy_entry: int =
     )
     widths = blocks.patterns.select(F.col("pattern").alias("p"), "width")
     lists = durable(_lists(shared.join(widths, "p"), ["p", "q"], "entry", "width"))
-    sets = blocks.members.join(found.kinds, "id").select("pattern", "id", F.struct("id", *FACTS).alias("item"))
     links = _links(blocks, min_overlap, ["common"]).select("p", "q").join(lists, ["p", "q"])
-    alone = _cells(blocks, sets, links).select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b"), "shared",
-        *[F.col(f"{x}.{c}").alias(f"{c}_{y}") for c in ("rep", "copies") for x, y in (("x", "a"), ("y", "b"))])
-    at_heavy = pairs.where("both").join(lists, ["p", "q"]).select("a", "b", "shared", *facts).unionByName(alone)
+    alone = _cells(blocks, _elements(blocks, found, True), links, True).select(
+        F.col("x.names").alias("names_a"), F.col("y.names").alias("names_b"), "shared")
+    named = _with_names(pairs.where("both").select("a", "b", "p", "q"), found)
+    at_heavy = named.join(lists, ["p", "q"]).select("names_a", "names_b", "shared").unionByName(alone)
 
     names = durable(spelled.where(F.col("in_") > heavy_entry).select("entry", "hash").distinct())
     if names.count() <= SMALL_TABLE:
         names = F.broadcast(names)
     columns = ["container_a", "container_b", "hash"]
-    out = _spelled(at_light, found, "hash").unionByName(
-        _spelled(at_heavy, found, "entry").join(names, "entry").select(*columns))
+    out = _spelled(at_light, "hash").unionByName(_spelled(at_heavy, "entry").join(names, "entry").select(*columns))
     if not found.any_copied:
         return out
     same = found.copied.where(F.col("kinds") >= min_overlap)
