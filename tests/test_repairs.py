@@ -167,3 +167,33 @@ def test_pairs_of_copies_are_not_exchanged(spark):
     twins = 30 * 100 * 99 // 2
     assert (facts.n, facts.shared) == (3000 * 2999 // 2, 3000 * 2999 // 2 + twins)
     assert exchanged_rows(found._jdf.queryExecution().executedPlan()) < 20_000
+
+
+@pytest.mark.parametrize("options", [{}, {"few_entries": 0}])
+def test_groups_do_not_write_what_meets_at_one_entry(spark, options):
+    """900 containers share an entry and two by two another one: 404,550 meetings, 450 pairs."""
+    rows = [(f"c{i:03}", h) for i in range(900) for h in ("everywhere", f"own{i}", f"two{i // 2}")]
+    frame = spark.createDataFrame(rows, "container string, hash string")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.rglob("part-*"))
+    groups = op.container_groups(frame, 2, **options).collect()
+    assert sorted((r.container, r.root, r.n, r.shared) for r in groups) == [
+        (f"c{i:03}", f"c{i // 2 * 2:03}", 2, 2) for i in range(900)]
+    assert sum(f.stat().st_size for f in set(folder.rglob("part-*")) - before) < 500_000
+
+
+@pytest.mark.parametrize("heavy_entry, few_entries", [(1000, 4), (12, 8), (10, 4)])
+def test_groups_by_pairs_of_entries(spark, heavy_entry, few_entries):
+    """Small and larger baskets: the same groups as from all pairs, whichever way they meet."""
+    rng = random.Random(heavy_entry * 10 + few_entries)
+    has = {f"o{i:03}": {f"p{rng.choice([rng.randrange(5), *[rng.randrange(5, 250)] * 3])}" for _ in range(rng.choice([1, 2, 3, 3, 4, 7, 12]))}
+           for i in range(150)}
+    frame = spark.createDataFrame([(c, h) for c, hs in has.items() for h in hs], "container string, hash string")
+    shared = {(a, b): len(has[a] & has[b]) for a in has for b in has if a < b and len(has[a] & has[b]) >= 2}
+    root = {c: c for pair in shared for c in pair}
+    for _ in root:
+        for a, b in shared:
+            root[a] = root[b] = min(root[a], root[b])
+    best = {r: max(n for (a, _), n in shared.items() if root[a] == r) for r in set(root.values())}
+    got = {(r.container, r.root, r.shared) for r in op.container_groups(frame, 2, heavy_entry, few_entries=few_entries).collect()}
+    assert got == {(c, r, best[r]) for c, r in root.items()} and len(best) > 1
