@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twinsift import operators as op
 from twinsift.operators import containers, skew
 from twinsift.plans.scan import ScanOptions, scan
-from twinsift.sources import sessions
+from twinsift.sources import exports, sessions
 
 
 def test_excludes_hold_for_every_tab(spark):
@@ -197,3 +197,18 @@ def test_groups_by_pairs_of_entries(spark, heavy_entry, few_entries):
     best = {r: max(n for (a, _), n in shared.items() if root[a] == r) for r in set(root.values())}
     got = {(r.container, r.root, r.shared) for r in op.container_groups(frame, 2, heavy_entry, few_entries=few_entries).collect()}
     assert got == {(c, r, best[r]) for c, r in root.items()} and len(best) > 1
+
+
+def test_pair_reports_may_be_compressed(spark, tmp_path):
+    members = spark.createDataFrame(
+        [(f"/d/a{c:03}.zip::{e}", 5, e, 2) for c in range(60) for e in ("x", "y")], "path string, size long, hash string, total long")
+    exports.export_duplicates_report(members, f"{tmp_path}/plain")
+    exports.export_duplicates_report(members, f"{tmp_path}/packed", "gzip")
+    plain, packed = (sorted(map(tuple, spark.read.option("header", "true").csv(f"{tmp_path}/{x}/pairs").collect())) for x in ("plain", "packed"))
+    assert plain == packed and len(plain) == 60 * 59 // 2
+    size = {x: sum(f.stat().st_size for f in (tmp_path / x / "pairs").glob(f"part-*{end}")) for x, end in (("plain", ".csv"), ("packed", ".csv.gz"))}
+    assert 0 < size["packed"] < size["plain"] / 4
+    pairs = spark.createDataFrame([("a", "b", 2, 3, 4)], "container_a string, container_b string, common long, total_a long, total_b long")
+    exports.export_overlap_csv(pairs, f"{tmp_path}/overlap", "gzip")
+    assert [tuple(r) for r in spark.read.option("header", "true").csv(f"{tmp_path}/overlap").collect()] == [
+        ("a", "b", "2", "3", "4", "66.7", "50.0")] and list((tmp_path / "overlap").glob("*.csv.gz"))
